@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oligoweave.plans import catalog_profile, catalog_sequences
+from oligoweave.plans import catalog_profile, catalog_sequences, catalog_tables
 
-_PARTS = [catalog_profile, catalog_sequences]
+_PARTS = [catalog_profile, catalog_sequences, catalog_tables]
 
 FLAGSHIP = "consensus_string"
 QUERIES: dict = {}

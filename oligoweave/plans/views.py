@@ -7,7 +7,7 @@ written separately, for the value checks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALIGNMENT_WIDTH = 96
@@ -228,56 +228,63 @@ def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimer reports as text lines, one report per order.
+    """Dimer reports as numbered text lines, one report per supplier.
 
-    A report lists, per primer, its self-dimers as four-line drawings, then the
-    cross-dimers of primer pairs. Line numbers are made from the sort position.
+    Every line item gives one self-dimer block (one or two four-line drawings) and one
+    cross-dimer block. The numbering window is part of the fixture only.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("rep"), F.col("l_orderkey").cast("string"), F.lit(".txt")).alias("file"),
-        (F.col("l_partkey") * 1000003 + F.col("l_suppkey") * 101 + F.col("l_linenumber")).alias("ord"),
-        F.col("l_linenumber").alias("primer"),
+    supp, comp = F.col("supp"), F.col("comp")
+    items = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("supp"),
+        F.col("l_linenumber").alias("primer"),
+        F.pmod("l_orderkey", F.lit(40)).cast("int").alias("partner"),
         F.col("l_quantity").cast("int").alias("comp"),
         F.pmod("l_partkey", F.lit(13)).cast("int").alias("lead"),
+        F.pmod("l_orderkey", F.lit(7)).cast("int").alias("tail"),
+        (F.pmod("l_partkey", F.lit(2)) == 0).alias("twice"),
     )
-    # Every line item makes one self-dimer block and one cross-dimer block; rows that
-    # share a position are the same drawing and are kept once.
-    lines = lines.dropDuplicates(["file", "ord"])
-    flag = F.when(F.pmod("supp", F.lit(2)) == 0, "F").otherwise("R")
-    other = F.when(F.pmod("supp", F.lit(2)) == 0, "R").otherwise("F")
-    drawing = [
-        F.concat(F.space("lead"), F.lit("ATCGATCG")),
-        F.concat(F.space(F.col("lead") + 1), F.repeat(F.lit("|"), F.col("comp"))),
-        F.concat(F.space(F.pmod("supp", F.lit(7)).cast("int")), F.lit("GCTAGCTA")),
+    flag = F.when(F.pmod("partner", F.lit(2)) == 0, "F").otherwise("R")
+    other = F.when(F.pmod("partner", F.lit(2)) == 0, "R").otherwise("F")
+    drawing = F.array(
+        F.concat(F.repeat(F.lit(" "), F.col("lead")), F.lit("ATCGATCG")),
+        F.concat(F.repeat(F.lit(" "), F.col("lead")), F.repeat(F.lit("|"), comp)),
+        F.concat(F.repeat(F.lit(" "), F.col("tail")), F.lit("GCTAGCTA")),
         F.lit(""),
-    ]
-    self_block = F.array(
-        F.concat(F.lit("1 dimers for "), flag, F.col("primer").cast("string")), *drawing
     )
-    cross_block = F.array(
-        F.concat(flag, F.col("primer").cast("string"), F.lit(" with "), other, F.col("supp").cast("string")),
-        F.lit("leading primer"),
-        *drawing,
+    primer = F.col("primer").cast("string")
+    self_block = F.when(
+        F.col("twice"),
+        F.concat(F.array(F.concat(F.lit("2 dimers for "), flag, primer)), drawing, drawing),
+    ).otherwise(F.concat(F.array(F.concat(F.lit("1 dimer for "), flag, primer)), drawing))
+    cross_block = F.concat(
+        F.array(
+            F.concat(flag, primer, F.lit(" with "), other, F.col("partner").cast("string")),
+            F.lit("leading primer"),
+        ),
+        drawing,
     )
-    head = lines.select("file").distinct()
-    pieces = (
-        lines.select("file", F.lit(1).alias("part"), "ord", self_block.alias("block"))
-        .unionByName(lines.select("file", F.lit(3).alias("part"), "ord", cross_block.alias("block")))
-        .unionByName(
-            head.select("file", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("ord"),
-                        F.array(F.lit("Self-Dimers:")).alias("block"))
-        )
-        .unionByName(
-            head.select("file", F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("ord"),
-                        F.array(F.lit("Cross Primer Dimers:")).alias("block"))
+    order = ["primer", "partner", "comp", "lead", "tail", "twice"]
+    heads = items.select("supp").distinct()
+
+    def head(part: int, text: str) -> DataFrame:
+        return heads.select(
+            "supp", *[F.lit(0).alias(c) for c in order[:-1]], F.lit(False).alias("twice"),
+            F.lit(part).alias("part"), F.array(F.lit(text)).alias("block"),
         )
+
+    pieces = (
+        items.select("supp", *order, F.lit(1).alias("part"), self_block.alias("block"))
+        .unionByName(items.select("supp", *order, F.lit(3).alias("part"), cross_block.alias("block")))
+        .unionByName(head(0, "Self-Dimers:"))
+        .unionByName(head(2, "Cross Primer Dimers:"))
     )
-    exploded = pieces.select("file", "part", "ord", F.posexplode("block").alias("row", "text"))
-    # A sparse, strictly increasing line number: (part, position, row in block).
-    return exploded.select(
-        "file",
-        (F.col("part") * F.lit(10**13) + F.col("ord") * 8 + F.col("row")).alias("line_no"),
+    # Equal rows make equal blocks; the number keeps the lines of each block together.
+    by_block = Window.partitionBy("supp").orderBy("part", *order)
+    numbered = pieces.withColumn("block_no", F.row_number().over(by_block))
+    by_line = Window.partitionBy("supp").orderBy("block_no", "row")
+    return numbered.select("supp", "block_no", F.posexplode("block").alias("row", "text")).select(
+        F.format_string("rig%d@set%d.txt", F.pmod(supp, F.lit(21)) - 10, supp).alias("file"),
+        (F.row_number().over(by_line) - 1).cast("bigint").alias("line_no"),
         "text",
     )
 
