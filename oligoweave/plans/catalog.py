@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from oligoweave.plans import catalog_profile, catalog_sequences, catalog_tables
+from oligoweave.plans import catalog_profile, catalog_search, catalog_sequences, catalog_tables
 
-_PARTS = [catalog_profile, catalog_sequences, catalog_tables]
+_PARTS = [catalog_profile, catalog_sequences, catalog_tables, catalog_search]
 
-FLAGSHIP = "consensus_string"
+FLAGSHIP = "greedy_panel_selection"
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _part in _PARTS:

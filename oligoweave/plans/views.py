@@ -106,8 +106,14 @@ def params(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def adapters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ADAPTERS, "i int, forward string, reverse string")
+def panel_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter list of every panel."""
+    rows = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(f).alias("forward"), F.lit(r).alias("reverse"))
+        for i, f, r in ADAPTERS
+    ])
+    panels = targets(spark, sf_dir).select("panel_id").distinct()
+    return panels.withColumn("a", F.explode(rows)).select("panel_id", "a.*")
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
