@@ -408,34 +408,21 @@ def overlap_dimer_score(first, second) -> Column:
     return _encoded(first, second, overlap_dimer_encoded, encode_overlap)
 
 
-def root_of_squares(scores: list[Column]) -> Column:
-    """Root of the summed squares of the four part scores, over four."""
-    total = None
-    for score in scores:
-        squared = score * score
-        total = squared if total is None else total + squared
-    return F.sqrt(total) / 4
-
-
 def quad_dimer_score(f_adapter, f_binding, r_adapter, r_binding) -> Column:
-    """Overlap dimer scores of the four adapter/binding combinations of a pair."""
-    oligos = F.struct(
-        encode_overlap(f_adapter).alias("fa"),
-        encode_overlap(f_binding).alias("fb"),
-        encode_overlap(r_adapter).alias("ra"),
-        encode_overlap(r_binding).alias("rb"),
-    )
+    """Root of the summed squares of the four adapter/binding overlap scores, over four."""
+    oligos = F.array(_col(f_adapter), _col(f_binding), _col(r_adapter), _col(r_binding))
 
-    def scored(v: Column) -> Column:
-        parts = F.array(
-            overlap_dimer_encoded(v["fa"], v["rb"]),
-            overlap_dimer_encoded(v["fb"], v["rb"]),
-            overlap_dimer_encoded(v["fb"], v["ra"]),
-            overlap_dimer_encoded(v["fa"], v["ra"]),
+    def pairings(v: Column) -> Column:
+        chosen = [(0, 3), (1, 3), (1, 2), (0, 2)]
+        return F.array(
+            *[F.struct(F.get(v, F.lit(i)).alias("a"), F.get(v, F.lit(j)).alias("b")) for i, j in chosen]
         )
-        return let(parts, lambda x: root_of_squares([F.get(x, F.lit(i)) for i in range(4)]))
 
-    return let(oligos, scored)
+    scores = F.transform(
+        let(F.transform(oligos, encode_overlap), pairings),
+        lambda p: overlap_dimer_encoded(p["a"], p["b"]),
+    )
+    return F.sqrt(F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x * x)) / 4
 
 
 def region_penalty(mean_conservation, dimer_score) -> Column:
@@ -554,69 +541,66 @@ def max_contained_run(oligo, seq) -> Column:
 # --- thermodynamics ---------------------------------------------------------------
 
 
-def _step_masks(masks: list[Column]) -> dict[str, Column]:
-    """Per dinucleotide the bit of its second base."""
-    steps = {}
-    for i, before in enumerate(C.BASES):
-        for j, after in enumerate(C.BASES):
-            steps[before + after] = _shr(masks[i], F.lit(1)).bitwiseAND(masks[j])
-    return steps
+def _steps_by_masks(seq: Column) -> Column:
+    """How often each of the 16 dinucleotide steps occurs, in order of C.BASES."""
+    masks = F.struct(*[_bits(_marks(seq, {b})).alias(f"m{i}") for i, b in enumerate(C.BASES)])
+    return let(
+        masks,
+        lambda v: F.array(
+            *[
+                _popcount(_shr(v[f"m{i}"], F.lit(1)).bitwiseAND(v[f"m{j}"]))
+                for i in range(4)
+                for j in range(4)
+            ]
+        ),
+    )
 
 
-def _plain_masks(seq: Column) -> list[Column]:
-    return [_bits(_marks(seq, {base})) for base in C.BASES]
+def _steps_by_walking(seq: Column) -> Column:
+    """The same for a sequence of any length."""
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, F.lit(2))
+    )
+    names = F.array(*[F.lit(a + b) for a in C.BASES for b in C.BASES])
+    return let(
+        pieces,
+        lambda p: F.transform(names, lambda name: F.size(F.filter(p, lambda x: x == name))),
+    )
 
 
 def melting_temperature(seq, sodium: float = C.SODIUM_MOLAR, oligo: float = C.OLIGO_MOLAR) -> Column:
     """Nearest-neighbour melting temperature in Celsius of a plain sequence.
 
     Steps are counted, not walked, so the sums are exact integers. NULL for sequences
-    with anything but A, T, C, G, or shorter than two bases.
+    with anything but A, T, C, G, or shorter than two bases. Values are bound to
+    variables to keep the expression small: planning time grows with its size.
     """
     seq = _col(seq)
-    names = sorted(C.step_table())
-
-    def counted(counts: dict[str, Column], v_seq: Column) -> Column:
-        table = C.step_table()
-        ends = [F.left(v_seq, F.lit(1)), F.right(v_seq, F.lit(1))]
-        symmetric = v_seq == reverse_complement(v_seq)
-
-        def total(index: int, gc: int, at: int) -> Column:
-            value = F.lit(0)
-            for name in names:
-                value = value + counts[name] * table[name][index]
-            for end in ends:
-                value = value + F.when(end.isin("G", "C"), gc).otherwise(at)
-            return value
-
-        enthalpy = total(0, C.TERMINAL_GC[0], C.TERMINAL_AT[0]) * 100.0
-        entropy = total(1, C.TERMINAL_GC[1], C.TERMINAL_AT[1]) + F.when(
-            symmetric, C.SYMMETRY_ENTROPY
-        ).otherwise(0)
-        salted = entropy / 10.0 + C.SALT_COEFFICIENT * (F.length(v_seq) - 1) * F.ln(F.lit(sodium))
-        return enthalpy / (salted + C.GAS_CONSTANT * F.ln(F.lit(oligo / 4))) - C.KELVIN
-
-    # NULL, not a branch, for what does not fit: the four masks are then plain common
-    # subexpressions of generated code.
-    valid = F.when((F.length(seq) >= 2) & ~seq.rlike("[^ATCG]"), seq)
-    short = F.when(F.length(valid) <= MASK_LIMIT, valid)
-    steps = _step_masks([F.when(short.isNotNull(), mask) for mask in _plain_masks(short)])
-    masked = counted({name: _popcount(steps[name]) for name in names}, short)
-
-    def walked(v_seq: Column) -> Column:
-        pieces = F.transform(
-            F.sequence(F.lit(1), F.length(v_seq) - 1), lambda i: F.substring(v_seq, i, F.lit(2))
-        )
+    table = C.step_table()
 
-        def occurrences(steps: Column, name: str) -> Column:
-            return F.size(F.filter(steps, lambda s: s == name))
+    def parameter(index: int) -> Column:
+        return F.array(*[F.lit(table[a + b][index]) for a in C.BASES for b in C.BASES])
 
-        return let(
-            pieces,
-            lambda steps: counted({name: occurrences(steps, name) for name in names}, v_seq),
+    def scored(v: Column) -> Column:
+        def total(index: int) -> Column:
+            products = F.zip_with(v["steps"], parameter(index), lambda n, x: n * x)
+            return F.aggregate(products, F.lit(0), lambda acc, x: acc + x)
+
+        strong = F.length(F.regexp_replace(F.concat(F.left(v["seq"], F.lit(1)), F.right(v["seq"], F.lit(1))), "[AT]", ""))
+        enthalpy = total(0) + strong * C.TERMINAL_GC[0] + (2 - strong) * C.TERMINAL_AT[0]
+        entropy = (
+            total(1) + strong * C.TERMINAL_GC[1] + (2 - strong) * C.TERMINAL_AT[1]
+            + F.when(v["seq"] == reverse_complement(v["seq"]), C.SYMMETRY_ENTROPY).otherwise(0)
         )
+        salted = entropy / 10.0 + C.SALT_COEFFICIENT * (F.length(v["seq"]) - 1) * F.ln(F.lit(sodium))
+        return enthalpy * 100.0 / (salted + C.GAS_CONSTANT * F.ln(F.lit(oligo / 4))) - C.KELVIN
+
+    def counted(s: Column) -> Column:
+        steps = F.when(F.length(s) <= MASK_LIMIT, _steps_by_masks(s)).otherwise(_steps_by_walking(s))
+        valid = (F.length(s) >= 2) & ~s.rlike("[^ATCG]")
+        return F.when(valid, let(F.struct(s.alias("seq"), steps.alias("steps")), scored))
 
-    return F.coalesce(masked, let(valid, walked))
+    return let(seq, counted)
 
 
 def _energy_prefix(seq: Column) -> Column:

@@ -251,8 +251,9 @@ def window_profiles(windows: DataFrame, profiles: DataFrame) -> DataFrame:
     Distinct spans are looked up by position; a span is as wide as the search window,
     however wide the alignment.
     """
-    lo = F.greatest(F.least(F.col("f_lo"), F.col("r_lo") - F.col("binding_len_max")), F.lit(0))
-    hi = F.least(F.greatest(F.col("r_hi"), F.col("f_hi") + F.col("binding_len_max")), F.col("aln_len") - 1)
+    longest = F.col("binding_len_max")
+    lo = F.greatest(F.least(F.col("f_lo"), F.col("min_reverse") - longest), F.lit(0))
+    hi = F.least(F.greatest(F.col("r_hi"), F.col("max_forward") + longest), F.col("aln_len") - 1)
     placed = windows.withColumns({"span_lo": lo, "span_hi": hi}).where("span_lo <= span_hi")
     keys = ["aln_id", "span_lo", "span_hi"]
     cells = (
@@ -271,37 +272,48 @@ def window_profiles(windows: DataFrame, profiles: DataFrame) -> DataFrame:
     return placed.join(cells, keys)
 
 
-def enumerate_single_regions(profiled: DataFrame, side: str, carry: list[str] | None = None) -> DataFrame:
-    """Every (5', length) region of one side with its sequence and scores.
-
-    Each region is cut and scored once, however many pairs it will take part in; all of
-    it happens on the target's own row. Regions leaving the alignment are not made.
-    """
-    p = "f" if side == "F" else "r"
-    spark = profiled.sparkSession
+def _side_regions(profiled: DataFrame, side: str) -> DataFrame:
+    """Every (5', length) region of one side, cut from the target's own span."""
+    shortest = F.col("binding_len_min")
+    if side == "F":
+        first, last = F.col("f_lo"), F.col("max_forward") - shortest + 1
+        start = F.col("five_p")
+    else:
+        first, last = F.col("min_reverse") + shortest - 1, F.col("r_hi")
+        start = F.col("five_p") - F.col("len") + 1
     rows = (
-        profiled.where(F.col(f"{p}_lo") <= F.col(f"{p}_hi"))
-        .withColumn("five_p", F.explode(F.sequence(f"{p}_lo", f"{p}_hi")))
-        .withColumn("len", F.explode(f"{p}_lens"))
-    )
-    start = F.col("five_p") if side == "F" else F.col("five_p") - F.col("len") + 1
-    rows = rows.withColumn("start", start).where(
-        (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("aln_len"))
+        profiled.withColumns({"first": first, "last": last})
+        .where("first <= last")
+        .withColumn("five_p", F.explode(F.sequence("first", "last")))
+        .withColumn("len", F.explode(F.sequence("binding_len_min", "binding_len_max")))
+        .withColumn("start", start)
+        .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("aln_len")))
     )
     offset = F.col("start") - F.col("span_lo") + 1
     cut = F.substring(F.col("span_seq"), offset, F.col("len"))
     cons = F.slice("span_cons", offset, F.col("len"))
-    rows = rows.select(
-        *TARGET, "aln_id", *(carry or []), "five_p", "len",
+    return rows.select(
+        *TARGET, "aln_id", F.lit(side).alias("side"), "five_p", "len",
         (cut if side == "F" else S.reverse_complement(cut)).alias("seq"),
         (cons if side == "F" else F.reverse(cons)).alias("cons"),
     )
-    weights = F.broadcast(conservation_weights(spark))  # 96 rows by definition
+
+
+def enumerate_single_regions(windows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every forward and reverse region of every target, scored.
+
+    A region is cut and scored once, however many pairs, length combinations and search
+    steps it takes part in; all of it happens on the target's own row. Regions leaving
+    the alignment are not made.
+    """
+    profiled = window_profiles(windows, profiles)
+    rows = _side_regions(profiled, "F").unionByName(_side_regions(profiled, "R"))
+    weights = F.broadcast(conservation_weights(windows.sparkSession))  # 96 rows by definition
     product = F.zip_with("cons", "weights", lambda x, w: x * w)
     total = F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
     plain = F.aggregate(F.col("cons"), F.lit(0.0), lambda acc, x: acc + x)
     return rows.join(weights, "len").select(
-        *TARGET, "aln_id", *(carry or []), "five_p", "len", "seq",
+        *TARGET, "aln_id", "side", "five_p", "len", "seq",
         total.alias("weighted"),
         (plain / F.col("len")).alias("mean_cons"),
         S.melting_temperature("seq").alias("tm"),
@@ -309,37 +321,42 @@ def enumerate_single_regions(profiled: DataFrame, side: str, carry: list[str] |
     )
 
 
-BOUNDS = ["amp_lo", "amp_hi", "r_lo", "r_hi"]
+def _side(singles: DataFrame, side: str) -> DataFrame:
+    p = side.lower()
+    return singles.where(F.col("side") == side).select(
+        *TARGET, F.col("five_p").alias(f"{p}_5p"), F.col("len").alias(f"{p}_len"),
+        F.col("seq").alias(f"{p}_seq"), F.col("weighted").alias(f"{p}_weighted"),
+        F.col("mean_cons").alias(f"{p}_mean_cons"), F.col("tm").alias(f"{p}_tm"),
+        F.col("gc_end").alias(f"{p}_gc"),
+    )
 
 
-def enumerate_pairs(profiled: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def enumerate_pairs(sized: DataFrame, singles: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Forward and reverse regions whose amplicon length lies in the target's band.
 
-    The band becomes an equi-join: each forward region lists the reverse starts it may
-    pair with. Work is spread by (target, reverse start), so one large target is many
-    small keys.
+    The band becomes equi-joins: windows list their forward starts, each forward region
+    lists the reverse starts it may pair with. Work is spread by (target, start, length),
+    so one large target is many small keys.
     """
     keys = keys or []
-    forward = enumerate_single_regions(profiled, "F", [*keys, *BOUNDS])
-    reverse = enumerate_single_regions(profiled, "R", keys)
-    first = F.greatest(F.col("r_lo"), F.col("five_p") + F.col("amp_lo") - 1)
-    last = F.least(F.col("r_hi"), F.col("five_p") + F.col("amp_hi") - 2)
-    f = (
-        forward.withColumns({"first": first, "last": last})
+    first = F.greatest(F.col("r_lo"), F.col("f_5p") + F.col("amp_lo") - 1)
+    last = F.least(F.col("r_hi"), F.col("f_5p") + F.col("amp_hi") - 2)
+    starts = (
+        _has_room(sized)
+        .select(*TARGET, "aln_id", *keys, "f_lo", "f_hi", "r_lo", "r_hi", "amp_lo", "amp_hi", "f_lens", "r_lens")
+        .withColumn("f_5p", F.explode(F.sequence("f_lo", "f_hi")))
+        .withColumns({"first": first, "last": last})
         .where("first <= last")
-        .withColumn("r_5p", F.explode(F.sequence("first", "last")))
-        .select(
-            *TARGET, "aln_id", *keys, F.col("five_p").alias("f_5p"), F.col("len").alias("f_len"), "r_5p",
-            F.col("seq").alias("f_seq"), F.col("weighted").alias("f_weighted"),
-            F.col("mean_cons").alias("f_mean_cons"), F.col("tm").alias("f_tm"), F.col("gc_end").alias("f_gc"),
-        )
+        .withColumn("f_len", F.explode("f_lens"))
+        .select(*TARGET, "aln_id", *keys, "f_5p", "f_len", "first", "last", "r_lens")
     )
-    r = reverse.select(
-        *TARGET, *keys, F.col("five_p").alias("r_5p"), F.col("len").alias("r_len"),
-        F.col("seq").alias("r_seq"), F.col("weighted").alias("r_weighted"),
-        F.col("mean_cons").alias("r_mean_cons"), F.col("tm").alias("r_tm"), F.col("gc_end").alias("r_gc"),
+    forward = starts.join(_side(singles, "F"), [*TARGET, "f_5p", "f_len"])
+    wanted = (
+        forward.withColumn("r_5p", F.explode(F.sequence("first", "last")))
+        .withColumn("r_len", F.explode("r_lens"))
+        .drop("first", "last", "r_lens")
     )
-    return f.join(r, [*TARGET, *keys, "r_5p"])
+    return wanted.join(_side(singles, "R"), [*TARGET, "r_5p", "r_len"])
 
 
 def prune_used_regions(candidates: DataFrame, chosen: DataFrame, distance: Column | str, column: str) -> DataFrame:

@@ -204,24 +204,24 @@ def structure_energies(
     With each partner (chosen binding sequences and adapters): forward and reverse; with
     itself: two homodimers and the cross dimer. Oligos are encoded once per row.
     """
-    oligos = F.struct(
-        S.encode_energy(f_seq).alias("f"),
-        S.encode_energy(r_seq).alias("r"),
-        F.transform(partners, S.encode_energy).alias("p"),
-    )
+    encoded = F.transform(F.concat(F.array(f_seq, r_seq), partners), S.encode_energy)
+
+    def pairings(v: Column) -> Column:
+        f, r = F.get(v, F.lit(0)), F.get(v, F.lit(1))
+        others = F.slice(v, F.lit(3), F.size(v))
+
+        def pair(a: Column, b: Column) -> Column:
+            return F.struct(a.alias("a"), b.alias("b"))
 
-    def energies(v: Column) -> Column:
         return F.concat(
-            F.transform(v["p"], lambda x: S.dimer_energy_encoded(v["f"], x)),
-            F.transform(v["p"], lambda x: S.dimer_energy_encoded(v["r"], x)),
-            F.array(
-                S.dimer_energy_encoded(v["f"], v["f"]),
-                S.dimer_energy_encoded(v["r"], v["r"]),
-                S.dimer_energy_encoded(v["r"], v["f"]),
-            ),
+            F.transform(others, lambda x: pair(f, x)),
+            F.transform(others, lambda x: pair(r, x)),
+            F.array(pair(f, f), pair(r, r), pair(r, f)),
         )
 
-    return S.let(oligos, energies)
+    return F.transform(
+        S.let(encoded, pairings), lambda p: S.dimer_energy_encoded(p["a"], p["b"])
+    )
 
 
 def worst_share_mean(energies: Column, share: float = C.WORST_SHARE) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from oligoweave.functions import dimensions as D
@@ -13,6 +15,7 @@ from oligoweave.plans import panel_search as PS
 from oligoweave.plans import views as V
 from oligoweave.plans.catalog_sequences import _TM, overlap_ctes
 from oligoweave.plans.views import duck_with
+from oligoweave.session import cut_lineage
 from oligoweave.sources import sinks as K
 
 TARGET = C.TARGET
@@ -22,7 +25,7 @@ PAIR = G.PAIR
 def dense_targets(spark, sf_dir):
     """One target per document on 5000-column alignments: many meet their neighbours."""
     d = F.col("doc_id")
-    p = F.pmod(d * 37, F.lit(5000)).cast("int")
+    p = F.pmod(d * 29, F.lit(5000)).cast("int")
     return V.table(spark, sf_dir, "documents").select(
         F.floor(d / 250).cast("bigint").alias("panel_id"),
         F.concat(F.lit("d"), d.cast("string")).alias("target"),
@@ -34,12 +37,13 @@ def dense_targets(spark, sf_dir):
 
 def dense_regions(spark, sf_dir):
     t = dense_targets(spark, sf_dir)
-    params = t.select("panel_id").distinct().select("panel_id", *[F.lit(v).alias(k) for k, v in V.PARAMS.items()])
+    values = {**V.PARAMS, "primer_primer_distance": 3}
+    params = t.select("panel_id").distinct().select("panel_id", *[F.lit(v).alias(k) for k, v in values.items()])
     lengths = t.select("aln_id", F.lit(5000).alias("aln_len")).distinct()
     return C.designate_regions(t, params, lengths)
 
 
-def inputs(spark, sf_dir) -> PS.PanelInputs:
+def raw_inputs(spark, sf_dir) -> PS.PanelInputs:
     profiles = P.profile(V.alignments(spark, sf_dir))
     return PS.PanelInputs(
         V.targets(spark, sf_dir), V.params(spark, sf_dir), V.panel_adapters(spark, sf_dir),
@@ -47,47 +51,75 @@ def inputs(spark, sf_dir) -> PS.PanelInputs:
     )
 
 
-def windows(spark, sf_dir):
-    return PS.planned_windows(inputs(spark, sf_dir))
+class Search:
+    """The stages of the first search step over all targets, each built once per query."""
 
+    def __init__(self, spark, sf_dir):
+        self.spark, self.sf_dir = spark, sf_dir
 
-def profiled(spark, sf_dir, sized):
-    return C.window_profiles(sized(windows(spark, sf_dir)), P.profile(V.alignments(spark, sf_dir)))
+    @cached_property
+    def inputs(self):
+        return raw_inputs(self.spark, self.sf_dir).written()
 
+    @cached_property
+    def windows(self):
+        return cut_lineage(PS.planned_windows(self.inputs))
 
-def singles(spark, sf_dir):
-    p = profiled(spark, sf_dir, C.open_length_windows)
-    return C.enumerate_single_regions(p, "F").withColumn("side", F.lit("F")).unionByName(
-        C.enumerate_single_regions(p, "R").withColumn("side", F.lit("R"))
-    )
+    @cached_property
+    def singles(self):
+        return C.enumerate_single_regions(self.windows, self.inputs.profiles)
+
+    @cached_property
+    def written_singles(self):
+        return cut_lineage(self.singles)
+
+    @cached_property
+    def pairs(self):
+        return C.enumerate_pairs(C.open_length_windows(self.windows), self.written_singles)
+
+    @cached_property
+    def restricted_pairs(self):
+        return C.enumerate_pairs(C.restricted_windows(self.windows), self.written_singles)
 
+    @cached_property
+    def temperatures(self):
+        return G.panel_temperatures(self.inputs.params, None)
 
-def open_pairs(spark, sf_dir):
-    return C.enumerate_pairs(profiled(spark, sf_dir, C.open_length_windows))
+    @cached_property
+    def judged(self):
+        return G.judged_pairs(self.pairs, self.inputs.params, self.temperatures)
 
+    @cached_property
+    def kept(self):
+        return G.top_n_conserved(self.judged)
 
-def judged(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    return G.judged_pairs(open_pairs(spark, sf_dir), i.params, G.panel_temperatures(i.params, None))
+    @cached_property
+    def close(self):
+        return G.near_best(cut_lineage(self.kept))
 
+    @cached_property
+    def partners(self):
+        return G.panel_partners(self.inputs.adapters, None, self.inputs.targets)
 
-def kept(spark, sf_dir):
-    return G.top_n_conserved(judged(spark, sf_dir))
+    @cached_property
+    def steps(self):
+        """Length adjustment of every length combination of every target."""
+        tried = C.enumerate_pairs(C.length_grid_windows(self.windows), self.written_singles, ["f_try", "r_try"])
+        judged = G.judged_pairs(tried, self.inputs.params, self.temperatures)
+        limits = self.windows.select(*TARGET, "binding_len_min", "binding_len_max", "ideal_binding_size")
+        return G.next_lengths(G.rejection_counters(judged, [*TARGET, "f_try", "r_try"]).join(limits, TARGET))
 
+    @cached_property
+    def penalties(self):
+        return cut_lineage(G.scored_single_regions(self.written_singles, self.inputs.adapters))
 
-def partners(spark, sf_dir):
-    i = inputs(spark, sf_dir)
-    return G.panel_partners(i.adapters, None, i.targets)
+    @cached_property
+    def best_pairs(self):
+        return G.best_region_pairs(G.scored_region_pairs(self.restricted_pairs, self.inputs.adapters), 25)
 
 
-def grid_counters(spark, sf_dir):
-    """Rejection counters of every length combination of every target."""
-    i = inputs(spark, sf_dir)
-    grid = C.length_grid_windows(windows(spark, sf_dir))
-    pairs = C.enumerate_pairs(C.window_profiles(grid, i.profiles), ["f_try", "r_try"])
-    tried = G.judged_pairs(pairs, i.params, G.panel_temperatures(i.params, None))
-    limits = windows(spark, sf_dir).select(*TARGET, "binding_len_min", "binding_len_max", "ideal_binding_size")
-    return G.rejection_counters(tried, [*TARGET, "f_try", "r_try"]).join(limits, TARGET)
+def search(build):
+    return lambda spark, sf_dir: build(Search(spark, sf_dir))
 
 
 def chosen_fixture(spark, sf_dir):
@@ -101,84 +133,73 @@ def six(*names):
 
 
 def region_report(spark, sf_dir):
-    picked = PS.greedy_panel_selection(inputs(spark, sf_dir))
+    picked = PS.greedy_panel_selection(raw_inputs(spark, sf_dir))
     return K.binding_report(picked.withColumn("score", F.round("score", 6)))
 
 
 QUERIES = {
     "designate_regions": lambda s, d: C.designate_regions(
-        V.targets(s, d), V.params(s, d), inputs(s, d).lengths
+        V.targets(s, d), V.params(s, d), P.alignment_lengths(P.profile(V.alignments(s, d)))
     ).select(*TARGET, "target_min", "target_max", "min_forward", "max_forward", "min_reverse", "max_reverse",
              "minimal_start", "minimal_end", "designated_start", "designated_end"),
     "check_target_fits": lambda s, d: Q.check_target_fits(dense_regions(s, d)).select("target", "fits", "has_room"),
     "interval_overlap_join": lambda s, d: C.interval_overlap_join(dense_regions(s, d), 2),
     "classify_overlap": lambda s, d: C.classify_overlap(dense_regions(s, d)).select("target", "other", "overlap"),
     "nearest_neighbours": lambda s, d: C.nearest_neighbours(dense_regions(s, d)).select("target", "lower_end", "higher_start"),
-    "allowable_windows": lambda s, d: windows(s, d).select(*TARGET, "f_lo", "f_hi", "r_lo", "r_hi"),
-    "amplicon_band": lambda s, d: C.amplicon_band(windows(s, d), "ideal_binding_size", "ideal_binding_size").select(*TARGET, "amp_lo", "amp_hi"),
-    "enumerate_single_regions": lambda s, d: singles(s, d).select(*TARGET, "side", "five_p", "len", "seq"),
-    "enumerate_pairs": lambda s, d: open_pairs(s, d).select(*TARGET, *PAIR, "f_seq", "r_seq"),
-    "count_pairs": lambda s, d: C.count_pairs(C.open_length_windows(windows(s, d))).select(*TARGET, "n_pairs"),
-    "order_targets": lambda s, d: PS.ranked_windows(inputs(s, d)).select(*TARGET, "n_pairs", "rank"),
-    "prune_used_regions": lambda s, d: C.prune_used_regions(
-        singles(s, d), chosen_fixture(s, d).withColumn("reach", F.lit(3)), "reach", "five_p"
-    ).select(*TARGET, "side", "five_p", "len"),
-    "resize_windows": lambda s, d: C.length_grid_windows(windows(s, d)).select(
-        *TARGET, "f_try", "r_try", "f_hi", "r_lo", "amp_lo", "amp_hi"),
-    "open_length_windows": lambda s, d: C.open_length_windows(windows(s, d)).select(
-        *TARGET, "f_lo", "f_hi", "r_lo", "r_hi", "amp_lo", "amp_hi", F.size("f_lens").alias("n_lens")),
-    "join_targets_alignments": lambda s, d: C.join_targets_alignments(V.targets(s, d), inputs(s, d).lengths).select(
+    "allowable_windows": search(lambda x: x.windows.select(*TARGET, "f_lo", "f_hi", "r_lo", "r_hi")),
+    "amplicon_band": search(lambda x: C.amplicon_band(x.windows, "ideal_binding_size", "ideal_binding_size").select(*TARGET, "amp_lo", "amp_hi")),
+    "enumerate_single_regions": search(lambda x: x.singles.select(*TARGET, "side", "five_p", "len", "seq")),
+    "enumerate_pairs": search(lambda x: x.pairs.select(*TARGET, *PAIR, "f_seq", "r_seq")),
+    "count_pairs": search(lambda x: C.count_pairs(C.open_length_windows(x.windows)).select(*TARGET, "n_pairs")),
+    "order_targets": lambda s, d: PS.ranked_windows(raw_inputs(s, d).written()).select(*TARGET, "n_pairs", "rank"),
+    "prune_used_regions": search(lambda x: C.prune_used_regions(
+        x.singles, chosen_fixture(x.spark, x.sf_dir).withColumn("reach", F.lit(3)), "reach", "five_p"
+    ).select(*TARGET, "side", "five_p", "len")),
+    "resize_windows": search(lambda x: C.length_grid_windows(x.windows).select(
+        *TARGET, "f_try", "r_try", "f_hi", "r_lo", "amp_lo", "amp_hi")),
+    "open_length_windows": search(lambda x: C.open_length_windows(x.windows).select(
+        *TARGET, "f_lo", "f_hi", "r_lo", "r_hi", "amp_lo", "amp_hi", F.size("f_lens").alias("n_lens"))),
+    "join_targets_alignments": lambda s, d: C.join_targets_alignments(V.targets(s, d), P.alignment_lengths(P.profile(V.alignments(s, d)))).select(
         *TARGET, "aln_id", "aln_len"),
     # scoring
     "conservation_weights": lambda s, d: V.table(s, d, "part").select(
         "p_partkey", (F.pmod("p_size", F.lit(46)) + 5).cast("int").alias("len")
     ).join(F.broadcast(D.conservation_weights(s)), "len").select(
         "p_partkey", "len", F.posexplode("weights").alias("i", "w")).select("p_partkey", "len", "i", *six("w")),
-    "weighted_conservation": lambda s, d: singles(s, d).select(*TARGET, "side", "five_p", "len", *six("weighted")),
-    "mean_pair_conservation": lambda s, d: judged(s, d).select(*TARGET, *PAIR, *six("mean_conservation")),
-    "tm_deviation": lambda s, d: judged(s, d).select(*TARGET, *PAIR, *six("f_dev", "r_dev", "pair_dev")),
-    "tm_compatibility": lambda s, d: judged(s, d).select(*TARGET, *PAIR, "in_range", "f_high", "f_low", "r_high", "r_low"),
-    "rejection_counters": lambda s, d: G.rejection_counters(judged(s, d)).select(
-        *TARGET, "total", "good", "n_f_high", "n_f_low", "n_r_high", "n_r_low", "n_no_gc", *six("mean_score", "max_score")),
-    "length_adjustment": lambda s, d: G.next_lengths(grid_counters(s, d)).select(*TARGET, "f_try", "r_try", "f_next", "r_next"),
-    "adjusted_lengths": lambda s, d: G.adjusted_lengths(G.next_lengths(grid_counters(s, d))),
-    "top_n_conserved": lambda s, d: kept(s, d).select(*TARGET, *PAIR, *six("score")),
-    "panel_dimer_structures": lambda s, d: G.panel_dimer_structures(G.near_best(kept(s, d)), partners(s, d)).select(
-        *TARGET, *PAIR, *six("energy")),
-    "worst_quartile_energy": lambda s, d: G.dimer_scored(G.near_best(kept(s, d)), partners(s, d)).select(
-        *TARGET, *PAIR, *six("dimer_score")),
-    "select_pair": lambda s, d: G.select_pair(G.dimer_scored(G.near_best(kept(s, d)), partners(s, d))).select(
-        *TARGET, *PAIR, *six("score", "dimer_score")),
-    "select_pair_random_k": lambda s, d: G.select_pair_random_k(kept(s, d), 10, "seed").select(*TARGET, *PAIR, *six("score")),
-    "greedy_panel_selection": lambda s, d: PS.greedy_panel_selection(inputs(s, d)).select(
+    "weighted_conservation": search(lambda x: x.singles.select(*TARGET, "side", "five_p", "len", *six("weighted"))),
+    "mean_pair_conservation": search(lambda x: x.judged.select(*TARGET, *PAIR, *six("mean_conservation"))),
+    "tm_deviation": search(lambda x: x.judged.select(*TARGET, *PAIR, *six("f_dev", "r_dev", "pair_dev"))),
+    "tm_compatibility": search(lambda x: x.judged.select(*TARGET, *PAIR, "in_range", "f_high", "f_low", "r_high", "r_low")),
+    "rejection_counters": search(lambda x: G.rejection_counters(x.judged).select(
+        *TARGET, "total", "good", "n_f_high", "n_f_low", "n_r_high", "n_r_low", "n_no_gc", *six("mean_score", "max_score"))),
+    "length_adjustment": search(lambda x: x.steps.select(*TARGET, "f_try", "r_try", "f_next", "r_next")),
+    "adjusted_lengths": search(lambda x: G.adjusted_lengths(x.steps)),
+    "top_n_conserved": search(lambda x: x.kept.select(*TARGET, *PAIR, *six("score"))),
+    "panel_dimer_structures": search(lambda x: G.panel_dimer_structures(x.close, x.partners).select(
+        *TARGET, *PAIR, *six("energy"))),
+    "worst_quartile_energy": search(lambda x: G.dimer_scored(x.close, x.partners).select(
+        *TARGET, *PAIR, *six("dimer_score"))),
+    "select_pair": search(lambda x: G.select_pair(G.dimer_scored(x.close, x.partners)).select(
+        *TARGET, *PAIR, *six("score", "dimer_score"))),
+    "select_pair_random_k": search(lambda x: G.select_pair_random_k(x.kept, 10, "seed").select(*TARGET, *PAIR, *six("score"))),
+    "greedy_panel_selection": lambda s, d: PS.greedy_panel_selection(raw_inputs(s, d)).select(
         *TARGET, "aln_id", "rank", *PAIR, "f_seq", "r_seq", *six("f_tm", "r_tm", "score", "dimer_score")),
     "sink_binding_report": region_report,
     "overlap_dimer_score": lambda s, d: V.oligo_pairs(s, d).select(
         "pair_id", F.round(G.S.overlap_dimer_score("s1", "s2"), 6).alias("score")),
     "quad_dimer_score": lambda s, d: V.panel_seqs(s, d).select(
         "panel_id", "i", F.round(G.S.quad_dimer_score("f_adapt", "f_bind", "r_adapt", "r_bind"), 6).alias("score")),
-    "region_penalty": lambda s, d: G.scored_single_regions(singles(s, d), V.panel_adapters(s, d)).select(
-        *TARGET, "side", "five_p", "len", "adapter", *six("penalty")),
-    "best_single_regions": lambda s, d: G.best_single_regions(
-        G.scored_single_regions(singles(s, d), V.panel_adapters(s, d)), 20
-    ).select(*TARGET, "side", "five_p", "len", "adapter", *six("penalty")),
-    "best_region_pairs": lambda s, d: G.best_region_pairs(
-        G.scored_region_pairs(restricted_pairs(s, d), V.panel_adapters(s, d)), 25
-    ).select(*TARGET, *PAIR, "adapter", *six("penalty")),
-    "tiered_pair_ranking": lambda s, d: tiers(s, d).select(*TARGET, *PAIR, "adapter", "tier", "position", *six("final_score")),
+    "region_penalty": search(lambda x: x.penalties.select(
+        *TARGET, "side", "five_p", "len", "adapter", *six("penalty"))),
+    "best_single_regions": search(lambda x: G.best_single_regions(
+        x.penalties, 20
+    ).select(*TARGET, "side", "five_p", "len", "adapter", *six("penalty"))),
+    "best_region_pairs": search(lambda x: G.best_region_pairs(
+        G.scored_region_pairs(x.restricted_pairs, x.inputs.adapters), 25
+    ).select(*TARGET, *PAIR, "adapter", *six("penalty"))),
+    "tiered_pair_ranking": search(lambda x: G.tiered_pair_ranking(x.best_pairs, G.best_single_regions(x.penalties, 40), 10).select(*TARGET, *PAIR, "adapter", "tier", "position", *six("final_score"))),
 }
 
-
-def restricted_pairs(spark, sf_dir):
-    return C.enumerate_pairs(profiled(spark, sf_dir, C.restricted_windows))
-
-
-def tiers(spark, sf_dir):
-    best = G.best_single_regions(G.scored_single_regions(singles(spark, sf_dir), V.panel_adapters(spark, sf_dir)), 40)
-    pairs = G.best_region_pairs(G.scored_region_pairs(restricted_pairs(spark, sf_dir), V.panel_adapters(spark, sf_dir)), 25)
-    return G.tiered_pair_ranking(pairs, best, 10)
-
-
 # --- SQL ---------------------------------------------------------------------------
 
 def _region_sql(source: str, length: int) -> str:
@@ -192,8 +213,8 @@ def _region_sql(source: str, length: int) -> str:
 _P = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" if isinstance(v, float) else f"{v} AS {k}" for k, v in V.PARAMS.items())
 _W = V.ALIGNMENT_WIDTH
 _DENSE = {
-    "dt": f"""SELECT doc_id//250 AS panel_id, 'd'||doc_id AS target, doc_id//125 AS aln_id, CAST(doc_id*37%5000 AS INTEGER) AS site1, CAST(doc_id*37%5000+3 AS INTEGER) AS site2,
-  doc_id%10=0 AS overlap_ignore, {_P} FROM documents""",
+    "dt": f"""SELECT doc_id//250 AS panel_id, 'd'||doc_id AS target, doc_id//125 AS aln_id, CAST(doc_id*29%5000 AS INTEGER) AS site1, CAST(doc_id*29%5000+3 AS INTEGER) AS site2,
+  doc_id%10=0 AS overlap_ignore, {_P.replace('0 AS primer_primer_distance', '3 AS primer_primer_distance')} FROM documents""",
     "dr": _region_sql("dt", 5000),
     "dp": """SELECT a.target, b.target AS other, CASE WHEN a.min_forward<=b.min_forward AND a.max_reverse<=b.max_reverse THEN 'h'
    WHEN a.min_forward>=b.min_forward AND a.max_reverse>=b.max_reverse THEN 'l' ELSE 'i' END AS overlap, b.designated_start AS bs, b.designated_end AS be
@@ -235,14 +256,15 @@ def _singles_sql(source: str, lens: str) -> dict[str, str]:
     }
 
 
-_OPEN = {**_BASE, **_singles_sql("opn", _LENS)}
+_WIDEST = "(SELECT DISTINCT panel_id, target, aln_id, f_lo, max_forward-8+1 AS f_hi, min_reverse+8-1 AS r_lo, r_hi FROM win)"
+_OPEN = {**_BASE, **_singles_sql(_WIDEST, _LENS)}
 _PAIRS = {
     **_OPEN,
     "pr": """SELECT f.panel_id, f.target, f.five_p AS f_5p, f.len AS f_len, r.five_p AS r_5p, r.len AS r_len, f.seq AS f_seq, r.seq AS r_seq,
      round((f.weighted+r.weighted)/2,9) AS score, (f.mean_cons*f.len+r.mean_cons*r.len)/(f.len+r.len) AS mean_conservation, f.tm AS f_tm, r.tm AS r_tm, f.gc AND r.gc AS clamp,
      (f.mean_cons+r.mean_cons)/2 AS mean_cons
      FROM sg f JOIN sg r ON f.panel_id=r.panel_id AND f.target=r.target AND f.side='F' AND r.side='R' JOIN opn o ON o.panel_id=f.panel_id AND o.target=f.target
-     WHERE r.five_p-f.five_p+1 >= o.amp_lo AND r.five_p-f.five_p+1 < o.amp_hi""",
+     WHERE r.five_p-f.five_p+1 >= o.amp_lo AND r.five_p-f.five_p+1 < o.amp_hi AND f.five_p BETWEEN o.f_lo AND o.f_hi AND r.five_p BETWEEN o.r_lo AND o.r_hi""",
     "jd": f"""SELECT *, abs(f_dev)<=dv AND abs(r_dev)<=dv AND pair_dev<=dv AS in_range, pair_dev>f_dev AND pair_dev>r_dev AND pair_dev>dv AS apart FROM (
      SELECT *, f_tm-{V.PARAMS['target_tm']}::DOUBLE AS f_dev, r_tm-{V.PARAMS['target_tm']}::DOUBLE AS r_dev, abs(f_tm-r_tm) AS pair_dev, {V.PARAMS['max_tm_deviation']}::DOUBLE AS dv FROM pr)""",
     "jf": """SELECT *, NOT in_range AND ((abs(f_dev)>dv AND f_dev>0) OR (apart AND f_dev>r_dev)) AS f_high, NOT in_range AND ((abs(f_dev)>dv AND f_dev<=0) OR (apart AND NOT f_dev>r_dev)) AS f_low,
@@ -267,7 +289,7 @@ _PK = "panel_id, target, f_5p, f_len, r_5p, r_len"
 # Counters per length combination, then one step of adjustment.
 _GRID_PAIRS = {
     **_BASE,
-    **_singles_sql("(SELECT DISTINCT panel_id, target, aln_id, f_lo, max_forward-8+1 AS f_hi, min_reverse+8-1 AS r_lo, r_hi FROM win)", _LENS),
+    **_singles_sql(_WIDEST, _LENS),
     "gp": f"""SELECT g.panel_id, g.target, g.f_try, g.r_try, f.tm-{V.PARAMS['target_tm']}::DOUBLE AS f_dev, r.tm-{V.PARAMS['target_tm']}::DOUBLE AS r_dev, abs(f.tm-r.tm) AS pair_dev, f.gc AND r.gc AS clamp, {V.PARAMS['max_tm_deviation']}::DOUBLE AS dv
       FROM grid g JOIN sg f ON f.panel_id=g.panel_id AND f.target=g.target AND f.side='F' AND f.len=g.f_try AND f.five_p BETWEEN g.f_lo AND g.f_hi
       JOIN sg r ON r.panel_id=g.panel_id AND r.target=g.target AND r.side='R' AND r.len=g.r_try AND r.five_p BETWEEN g.r_lo AND g.r_hi
@@ -314,7 +336,7 @@ _RSING = {
       AND ((side='F' AND five_p BETWEEN f_lo AND f_hi) OR (side='R' AND five_p BETWEEN r_lo AND r_hi))""",
 }
 # Restricted singles reach further than the open ones, so they come from the widest windows.
-_WIDE = {**_BASE, **_singles_sql("(SELECT DISTINCT panel_id, target, aln_id, f_lo, max_forward-8+1 AS f_hi, min_reverse+8-1 AS r_lo, r_hi FROM win)", _LENS), **_RSING, **_RPAIRS}
+_WIDE = {**_BASE, **_singles_sql(_WIDEST, _LENS), **_RSING, **_RPAIRS}
 _QUAD_PARTS = """SELECT DISTINCT a||':'||b AS id, a, b, 0 AS f_skip, 0 AS r_skip FROM (SELECT forward AS a, r_seq AS b FROM rq UNION ALL SELECT f_seq, r_seq FROM rq UNION ALL SELECT f_seq, reverse FROM rq UNION ALL SELECT forward, reverse FROM rq)"""
 _BESTP = {
     **_WIDE,
@@ -327,10 +349,9 @@ _BESTP = {
 }
 _TIERS = {
     **_BESTP,
-    "sgo": f"SELECT sg.* FROM sg JOIN opn USING (panel_id, target) WHERE (side='F' AND five_p BETWEEN f_lo AND f_hi) OR (side='R' AND five_p BETWEEN r_lo AND r_hi)",
     "ads": _PEN["ads"],
-    **_renamed(overlap_ctes("SELECT DISTINCT seq||':'||o AS id, seq AS a, o AS b, 0 AS f_skip, 0 AS r_skip FROM sgo JOIN ads USING (side)"), "2"),
-    "pen": _PEN["pen"].replace("FROM sg JOIN", "FROM sgo AS sg JOIN").replace("ov_scores", "ov_scores2"),
+    **_renamed(overlap_ctes("SELECT DISTINCT seq||':'||o AS id, seq AS a, o AS b, 0 AS f_skip, 0 AS r_skip FROM sg JOIN ads USING (side)"), "2"),
+    "pen": _PEN["pen"].replace("ov_scores", "ov_scores2"),
     "bs": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, target, side ORDER BY penalty, five_p, len, adapter) AS rn FROM pen) WHERE rn <= 40",
     "tr": """SELECT bp.*, CASE WHEN f.adapter IS NULL THEN 0 ELSE 1 END + CASE WHEN r.adapter IS NULL THEN 0 ELSE 1 END AS tier, round(bp.penalty*coalesce(f.dimer_score,1)*coalesce(r.dimer_score,1),6) AS final_score
       FROM bp LEFT JOIN bs f ON f.side='F' AND f.panel_id=bp.panel_id AND f.target=bp.target AND f.adapter=bp.adapter AND f.five_p=bp.f_5p AND f.len=bp.f_len

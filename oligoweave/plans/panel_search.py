@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from oligoweave.operators import candidates as C
 from oligoweave.operators import scoring as G
+from oligoweave.operators.profile import alignment_lengths
 from oligoweave.session import cut_lineage
 
 TARGET = C.TARGET
@@ -31,6 +32,14 @@ class PanelInputs:
     profiles: DataFrame
     lengths: DataFrame
 
+    def written(self) -> PanelInputs:
+        """The same inputs as tables: the alignments are read and profiled once."""
+        profiles = cut_lineage(self.profiles)
+        return PanelInputs(
+            cut_lineage(self.targets), cut_lineage(self.params), cut_lineage(self.adapters),
+            profiles, cut_lineage(alignment_lengths(profiles)),
+        )
+
 
 def planned_windows(inputs: PanelInputs) -> DataFrame:
     """Windows of every target, after neighbours have been given their room."""
@@ -45,44 +54,42 @@ def ranked_windows(inputs: PanelInputs) -> DataFrame:
     return windows.join(ranks, TARGET)
 
 
-def _free_pairs(sized: DataFrame, inputs: PanelInputs, chosen: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Pairs whose two starts keep clear of the pairs already chosen."""
-    pairs = C.enumerate_pairs(C.window_profiles(sized, inputs.profiles), keys)
+def _free_regions(singles: DataFrame, inputs: PanelInputs, chosen: DataFrame | None) -> DataFrame:
+    """Regions whose start keeps clear of the pairs already chosen."""
     if chosen is None:
-        return pairs
+        return singles
     reach = chosen.join(inputs.params.select("panel_id", "primer_primer_distance"), "panel_id").select(
         "panel_id", "aln_id", "f_5p", "r_5p", F.col("primer_primer_distance").alias("reach")
     )
-    pairs = C.prune_used_regions(pairs, reach, "reach", "f_5p")
-    return C.prune_used_regions(pairs, reach, "reach", "r_5p")
+    return C.prune_used_regions(singles, reach, "reach", "five_p")
 
 
-def search_step(windows: DataFrame, inputs: PanelInputs, chosen: DataFrame | None) -> DataFrame:
+def search_step(
+    windows: DataFrame, singles: DataFrame, inputs: PanelInputs, chosen: DataFrame | None
+) -> DataFrame:
     """Best pair of each given target, given what its panel has chosen so far."""
     temperatures = G.panel_temperatures(inputs.params, chosen)
     partners = G.panel_partners(inputs.adapters, chosen, windows)
+    free = _free_regions(singles, inputs, chosen)
 
     # Lengths: count the rejections of every length combination in one aggregate, then
     # follow the adjustments on that small table.
-    grid = C.length_grid_windows(windows)
-    tried = G.judged_pairs(
-        _free_pairs(grid, inputs, chosen, ["f_try", "r_try"]), inputs.params, temperatures
-    )
-    counters = G.rejection_counters(tried, [*TARGET, "f_try", "r_try"])
+    tried = C.enumerate_pairs(C.length_grid_windows(windows), free, ["f_try", "r_try"])
+    judged = G.judged_pairs(tried, inputs.params, temperatures)
+    counters = G.rejection_counters(judged, [*TARGET, "f_try", "r_try"])
     limits = windows.select(*TARGET, "binding_len_min", "binding_len_max", "ideal_binding_size")
     lengths = cut_lineage(G.adjusted_lengths(G.next_lengths(counters.join(limits, TARGET))))
 
     # Targets with a valid pair on their way use its lengths, the others all lengths.
-    fixed = windows.join(lengths.where("found"), TARGET)
-    fixed = C.resize_windows(fixed, "f_try", "r_try").withColumns(
+    found = lengths.where("found")
+    fixed = C.resize_windows(windows.join(found, TARGET), "f_try", "r_try").withColumns(
         {"f_lens": F.array("f_try"), "r_lens": F.array("r_try")}
     )
-    free = windows.join(lengths.where("found").select(*TARGET), TARGET, "left_anti")
-    free = C.open_length_windows(free)
-    sized = fixed.select(*free.columns).unionByName(free)
-    judged = G.judged_pairs(_free_pairs(sized, inputs, chosen, []), inputs.params, temperatures)
-    close = G.near_best(G.top_n_conserved(judged))
-    return G.select_pair(G.dimer_scored(close, partners))
+    opened = C.open_length_windows(windows.join(found.select(*TARGET), TARGET, "left_anti"))
+    sized = fixed.select(*opened.columns).unionByName(opened)
+    judged = G.judged_pairs(C.enumerate_pairs(sized, free), inputs.params, temperatures)
+    kept = cut_lineage(G.top_n_conserved(judged))
+    return G.select_pair(G.dimer_scored(G.near_best(kept), partners))
 
 
 def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) -> DataFrame:
@@ -91,17 +98,18 @@ def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) ->
     Every step ends in a written table, so a lost executor costs one step at most and
     plans do not grow with the number of targets.
     """
-    inputs = PanelInputs(
-        inputs.targets, cut_lineage(inputs.params), cut_lineage(inputs.adapters),
-        cut_lineage(inputs.profiles), cut_lineage(inputs.lengths),
-    )
+    inputs = inputs.written()
     ranked = cut_lineage(ranked_windows(inputs))
+    singles = cut_lineage(
+        C.enumerate_single_regions(ranked, inputs.profiles).join(ranked.select(*TARGET, "rank"), TARGET)
+    )
     deepest = ranked.agg(F.max("rank")).first()[0] or 0
     if max_rank is not None:
         deepest = min(deepest, max_rank)
     chosen: DataFrame | None = None
     for rank in range(1, deepest + 1):
-        step = search_step(ranked.where(F.col("rank") == rank), inputs, chosen)
+        at = F.col("rank") == rank
+        step = search_step(ranked.where(at), singles.where(at).drop("rank"), inputs, chosen)
         step = cut_lineage(step.withColumn("rank", F.lit(rank)).select(*CHOSEN))
         chosen = step if chosen is None else chosen.unionByName(step)
     return chosen
