@@ -171,8 +171,7 @@ def genset_batch(s, d):
 
 
 def elimination(s, d):
-    m = cut_lineage(matrix(s, d))
-    return H.successive_elimination(m, ["run"], 35, 3, 2, 8).select("run", "f", "r")
+    return H.successive_elimination(matrix(s, d), ["run"], 35, 3, 2, 8).select("run", "f", "r")
 
 
 def text(column):
@@ -397,6 +396,24 @@ _POOL = {
     "oe": "SELECT panel_id, i, j, e/100.0::DOUBLE AS energy FROM op JOIN ov_scores ON id=panel_id||':'||i||':'||j",
 }
 _VP = ["v_panel_seqs"]
+def _elimination_sql(n: int, first: int, every: int, rounds: int) -> dict[str, str]:
+    """One CTE per elimination: means of what has been played, then the survivors."""
+    ctes = {"al0": f"SELECT *, (r-f+{n})%{n} AS visit FROM mx"}
+    version, played = 0, []
+    for i in range(rounds):
+        if i >= first and (i - first) % every == 0:
+            a, v = f"al{version}", version + 1
+            ctes[f"seen{v}"] = " UNION ALL ".join(f"SELECT * FROM al{w} WHERE visit={j}" for j, w in played)
+            for column in "fr":
+                ctes[f"out{column}{v}"] = f"""SELECT run, {column} FROM (SELECT run, {column}, row_number() OVER (PARTITION BY run ORDER BY round(avg(score),9) DESC, {column}) AS rn
+                  FROM seen{v} WHERE (run, {column}) IN (SELECT run, {column} FROM {a}) GROUP BY 1,2) WHERE rn=1"""
+            ctes[f"al{v}"] = f"SELECT * FROM {a} WHERE (run, f) NOT IN (SELECT run, f FROM outf{v}) AND (run, r) NOT IN (SELECT run, r FROM outr{v})"
+            version = v
+        played.append((i, version))
+    ctes["survivors"] = f"SELECT run, f, r FROM al{version}"
+    return ctes
+
+
 _HAIR = f"""SELECT id, coalesce(min(e),0) AS e FROM (SELECT id, d, g, sum(CASE WHEN rn > 1 THEN dg ELSE 0 END) AS e FROM (
     SELECT h.*, row_number() OVER (PARTITION BY id, d, g ORDER BY i) AS rn FROM (SELECT id, s, i, d, i - row_number() OVER (PARTITION BY id, d ORDER BY i) AS g FROM (
       SELECT x.id, x.s, x.i, x.i+y.i AS d FROM hb x JOIN hb y ON x.id=y.id AND y.i-x.i > 3 AND y.base = translate(x.base,'ATCG','TAGC'))) h) LEFT JOIN {_STEPS} ON step = substr(s,CAST(i-1 AS BIGINT),2) GROUP BY 1,2,3) GROUP BY 1"""
@@ -431,6 +448,7 @@ ORACLE = {
     "pairing_scores": duck_with(_VS, "SELECT * FROM pp", _PAIRS),
     "best_pairing": duck_with(_VS, "SELECT * FROM bpair", _PAIRS),
     "halfset_averages": duck_with(["v_score_matrix"], "SELECT run, 'F' AS dir, f AS idx, round(avg(score),6) AS mean_score FROM mx GROUP BY 1,3 UNION ALL SELECT run, 'R', r, round(avg(score),6) FROM mx GROUP BY 1,3", _MAT),
+    "successive_elimination": duck_with(["v_score_matrix"], "SELECT * FROM survivors", {**_MAT, **_elimination_sql(35, 3, 2, 8)}),
     "score_matrix_pivot": duck_with(["v_score_matrix"], "SELECT run, r, round(avg(score),6) AS mean_score, " + ", ".join(f"max(score) FILTER (f={i}) AS f{i}" for i in range(35)) + " FROM mx GROUP BY 1,2", _MAT),
     "filter_summary": duck_with(_VS, """SELECT x.locus, n_sets, n_compared, round(avg_f,6) AS avg_f, round(avg_r,6) AS avg_r, round(avg_pair,6) AS avg_pair, min_f, min_r, min_pair, sf.set_score AS best_f, sr.set_score AS best_r, w.score AS best_pair FROM
   (SELECT locus, count(*) FILTER (dir='F') AS n_sets, avg(set_score) FILTER (dir='F') AS avg_f, avg(set_score) FILTER (dir='R') AS avg_r, min(set_score) FILTER (dir='F') AS min_f, min(set_score) FILTER (dir='R') AS min_r FROM ss GROUP BY 1) x

@@ -91,7 +91,7 @@ def _phylip_chunks(lines: DataFrame) -> DataFrame:
     """
     text = F.col("text")
     header = lines.where("line_no = 0").select(
-        "file", F.regexp_extract(text, r"^\s*(\d+)\s+(\d+)", 1).cast("int").alias("count")
+        "file", F.regexp_extract(text, r"^\s*(\d+)\s+(\d+)", 1).try_cast("int").alias("count")
     )
     body = (
         lines.where("line_no > 0")
