@@ -11,12 +11,13 @@ from oligoweave.operators import dimers as R
 from oligoweave.operators import ranking as W
 from oligoweave.plans import views as V
 from oligoweave.plans.views import duck_with
-from oligoweave.session import scratch_path
+from oligoweave.session import cut_lineage, scratch_path
 from oligoweave.sources import alignments as A
 from oligoweave.sources import panels as PT
 from oligoweave.sources import reports as RP
 from oligoweave.sources import sinks as K
 from oligoweave.sources import text_fields as T
+from oligoweave.sources.lines import numbered_records
 
 FASTA_WIDTH = 60
 
@@ -41,8 +42,6 @@ def fasta_files(spark, sf_dir):
 
 def scan_fasta(spark, sf_dir):
     path = fasta_files(spark, sf_dir)
-    from oligoweave.sources.lines import numbered_records
-
     records = numbered_records(spark, path, "\n>")
     fields = A.fasta_fields(F.col("text"))
     return records.select(
@@ -88,13 +87,18 @@ def report_files(spark, sf_dir):
     return path
 
 
+def written_lines(spark, sf_dir):
+    """The numbered lines as a table: the fixture's numbering is not part of the parser."""
+    return cut_lineage(V.report_lines(spark, sf_dir))
+
+
 def load_results_dir(spark, sf_dir):
     """Reports read from files; run parameters from the folder named after the report."""
-    from oligoweave.sources.lines import numbered_records
-
-    lines = numbered_records(spark, report_files(spark, sf_dir)).select(
-        F.regexp_extract("file_path", r"file=([^/]+)/", 1).alias("file"), "line_no", "text"
-    ).withColumn("file", F.url_decode("file"))
+    lines = cut_lineage(
+        numbered_records(spark, report_files(spark, sf_dir)).select(
+            F.url_decode(F.regexp_extract("file_path", r"file=([^/]+)/", 1)).alias("file"), "line_no", "text"
+        )
+    )
     homo = RP.parse_homodimers(lines).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_homo"), F.sum("comp").alias("homo_comp")
     )
@@ -221,10 +225,10 @@ def set_text(spark, sf_dir):
 QUERIES = {
     "scan_fasta": scan_fasta,
     "scan_block_alignment": scan_block_alignment,
-    "scan_dimer_report_self": lambda s, d: RP.parse_homodimers(V.report_lines(s, d)).select(
+    "scan_dimer_report_self": lambda s, d: RP.parse_homodimers(written_lines(s, d)).select(
         "file", "primer", "is_forward", "offset", "comp", "misaligned"
     ),
-    "scan_dimer_report_cross": lambda s, d: RP.parse_heterodimers(V.report_lines(s, d)).select(
+    "scan_dimer_report_cross": lambda s, d: RP.parse_heterodimers(written_lines(s, d)).select(
         "file", "f", "r", "offset", "comp", "misaligned"
     ),
     "load_results_dir": load_results_dir,

@@ -284,13 +284,12 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(head(0, "Self-Dimers:"))
         .unionByName(head(2, "Cross Primer Dimers:"))
     )
-    # Equal rows make equal blocks; the number keeps the lines of each block together.
-    by_block = Window.partitionBy("supp").orderBy("part", *order)
-    numbered = pieces.withColumn("block_no", F.row_number().over(by_block))
-    by_line = Window.partitionBy("supp").orderBy("block_no", "row")
-    return numbered.select("supp", "block_no", F.posexplode("block").alias("row", "text")).select(
+    # A block starts after all lines of the blocks before it; equal rows are equal blocks.
+    so_far = Window.partitionBy("supp").orderBy("part", *order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum(F.size("block")).over(so_far), F.lit(0)))
+    return placed.select("supp", "start", F.posexplode("block").alias("row", "text")).select(
         F.format_string("rig%d@set%d.txt", F.pmod(supp, F.lit(21)) - 10, supp).alias("file"),
-        (F.row_number().over(by_line) - 1).cast("bigint").alias("line_no"),
+        (F.col("start") + F.col("row")).cast("bigint").alias("line_no"),
         "text",
     )
 
