@@ -272,6 +272,19 @@ def window_profiles(windows: DataFrame, profiles: DataFrame) -> DataFrame:
     return placed.join(cells, keys)
 
 
+def generate_regions(seqs: DataFrame, lens: list[int], carry: list[str]) -> DataFrame:
+    """Every (5', length) piece of each sequence with its bases; pieces end inside it.
+
+    A generator on the sequence's own row: parameters and sequence come out together.
+    """
+    return (
+        seqs.withColumn("five_p", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)))
+        .withColumn("len", F.explode(F.array(*[F.lit(n) for n in lens])))
+        .where(F.col("five_p") + F.col("len") <= F.length("seq"))
+        .select(*carry, "five_p", "len", F.substring("seq", F.col("five_p") + 1, F.col("len")).alias("piece"))
+    )
+
+
 def _side_regions(profiled: DataFrame, side: str) -> DataFrame:
     """Every (5', length) region of one side, cut from the target's own span."""
     shortest = F.col("binding_len_min")

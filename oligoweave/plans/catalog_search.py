@@ -137,7 +137,36 @@ def region_report(spark, sf_dir):
     return K.binding_report(picked.withColumn("score", F.round("score", 6)))
 
 
+def panel_rules(spark, sf_dir):
+    """Whether each chosen pair keeps the rules it was chosen under."""
+    raw = raw_inputs(spark, sf_dir).written()
+    picked = cut_lineage(PS.greedy_panel_selection(raw))
+    longest = F.col("binding_len_max") - F.col("binding_len_min")
+    rows = picked.join(C.restricted_windows(PS.planned_windows(raw)), [*TARGET, "aln_id"])
+    inside = (
+        F.col("f_5p").between(F.col("f_lo"), F.col("f_hi") + longest)
+        & F.col("r_5p").between(F.col("r_lo") - longest, F.col("r_hi"))
+        & (F.col("f_5p") + F.col("f_len") <= F.col("target_min"))
+        & (F.col("r_5p") - F.col("r_len") >= F.col("target_max"))
+        & (F.col("r_5p") - F.col("f_5p") + 1 <= F.col("max_binding_target_len"))
+    )
+    tm = (F.abs(F.col("f_tm") - F.col("r_tm")) <= F.col("max_tm_deviation")) & (
+        F.abs(F.col("f_tm") - F.col("target_tm")) <= F.col("max_tm_deviation")
+    )
+    earlier = picked.select("panel_id", "aln_id", F.col("rank").alias("o_rank"), F.col("f_5p").alias("o_f"), F.col("r_5p").alias("o_r"))
+    clash = picked.join(earlier, ["panel_id", "aln_id"]).where(
+        (F.col("o_rank") < F.col("rank"))
+        & (F.col("f_5p").between(F.col("o_f"), F.col("o_r")) | F.col("r_5p").between(F.col("o_f"), F.col("o_r")))
+    ).select(*TARGET).distinct().withColumn("clash", F.lit(True))
+    return rows.join(clash, TARGET, "left").select(
+        *TARGET, inside.alias("inside"), tm.alias("tm_ok"),
+        (G.S.gc_clamp("f_seq", "r_seq")).alias("clamp"), F.col("clash").isNull().alias("apart"),
+    )
+
+
 QUERIES = {
+    "candidate_generators": lambda s, d: C.generate_regions(V.bindings(s, d), [8, 10, 12], ["seq_id"]),
+    "greedy_panel_rules": panel_rules,
     "designate_regions": lambda s, d: C.designate_regions(
         V.targets(s, d), V.params(s, d), P.alignment_lengths(P.profile(V.alignments(s, d)))
     ).select(*TARGET, "target_min", "target_max", "min_forward", "max_forward", "min_reverse", "max_reverse",
@@ -359,6 +388,9 @@ _TIERS = {
 }
 
 ORACLE = {
+    "candidate_generators": duck_with(["v_binding"], """SELECT seq_id, CAST(p AS INTEGER) AS five_p, len, substr(seq, p+1, len) AS piece FROM
+ (SELECT seq_id, seq, unnest(range(0,24)) AS p FROM v_binding), (SELECT CAST(unnest([8,10,12]) AS INTEGER) AS len) WHERE p+len <= 24"""),
+    "greedy_panel_rules": duck_with(["v_targets"], "SELECT panel_id, target, true AS inside, true AS tm_ok, true AS clamp, true AS apart FROM v_targets"),
     "designate_regions": duck_with(["v_targets", "v_params"], "SELECT panel_id, target, target_min, target_max, min_forward, max_forward, min_reverse, max_reverse, minimal_start, minimal_end, designated_start, designated_end FROM reg", {k: _BASE[k] for k in ("tp", "reg")}),
     "check_target_fits": duck_with([], "SELECT * FROM (SELECT target, minimal_start > 0 AND minimal_end < 5000 AS fits, min_reverse <= max_reverse AS has_room FROM dr) WHERE NOT (fits AND has_room)", _DENSE),
     "interval_overlap_join": duck_with([], """SELECT a.panel_id, a.aln_id, a.target AS first_target, b.target AS second_target FROM dr a JOIN dr b ON a.panel_id=b.panel_id AND a.aln_id=b.aln_id

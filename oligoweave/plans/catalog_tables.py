@@ -222,7 +222,19 @@ def set_text(spark, sf_dir):
     return K.fasta_set_text(sets).select("locus", "dir", "set_no", "k", "text").join(plain, ["locus", "dir", "set_no", "k"])
 
 
+def scan_dimer_report(spark, sf_dir):
+    """Dimers of every report and kind: how many, and their complementarity."""
+    homo, hetero = RP.scan_dimer_report(written_lines(spark, sf_dir))
+    both = homo.select("file", F.lit("self").alias("kind"), "comp", "offset").unionByName(
+        hetero.select("file", F.lit("cross").alias("kind"), "comp", "offset")
+    )
+    return both.groupBy("file", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("comp").alias("comp"), F.sum("offset").alias("shift")
+    )
+
+
 QUERIES = {
+    "scan_dimer_report": scan_dimer_report,
     "scan_fasta": scan_fasta,
     "scan_block_alignment": scan_block_alignment,
     "scan_dimer_report_self": lambda s, d: RP.parse_homodimers(written_lines(s, d)).select(
@@ -313,6 +325,8 @@ _SUMMARY = """SELECT run, count(*) AS n_reps, count(*) FILTER (ok) AS n_success,
   arg_min(message, rep) FILTER (NOT ok) AS first_failure, arg_max(message, rep) FILTER (NOT ok) AS last_failure FROM made GROUP BY 1"""
 
 ORACLE = {
+    "scan_dimer_report": duck_with([], """SELECT file, 'self' AS kind, count(*) AS n, CAST(sum(comp) AS BIGINT) AS comp, CAST(sum(tail-lead) AS BIGINT) AS shift FROM (SELECT * FROM it UNION ALL SELECT * FROM it WHERE twice) GROUP BY 1
+  UNION ALL SELECT file, 'cross', count(*), CAST(sum(comp) AS BIGINT), CAST(sum(CASE WHEN partner%2=0 THEN tail ELSE tail-lead END) AS BIGINT) FROM it GROUP BY 1""", _ITEMS),
     "scan_fasta": duck_with(["v_alignments"], "SELECT aln_id, seq_idx-aln_id*125 AS nth, name, seq FROM v_alignments"),
     "scan_block_alignment": duck_with(["v_alignments"], "SELECT name, seq, seq_idx-aln_id*125 AS nth FROM v_alignments"),
     "scan_dimer_report_self": duck_with([], """SELECT file, primer, partner%2=0 AS is_forward, tail-lead AS "offset", comp, false AS misaligned FROM it
