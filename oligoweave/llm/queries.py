@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, packing, sharding
+from oligoweave.llm import byte_bpe, fingerprints, packing, personal, secrets, sharding
 from oligoweave.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -24,5 +36,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_byte_level_bpe,
+        op4_document_fingerprints,
+        op6_secret_scans,
+        op8_personal_data,
+        op10_sharding,
+    )
+}
 ORACLE: dict[str, str] = {}
