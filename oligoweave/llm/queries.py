@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, fingerprints, packing, personal, secrets, sharding
+from oligoweave.llm import byte_bpe, fingerprints, language, packing, personal, secrets, sharding
 from oligoweave.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.predict(documents, language.train(documents))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES = {
         op3_byte_level_bpe,
         op4_document_fingerprints,
         op6_secret_scans,
+        op7_language_id,
         op8_personal_data,
         op10_sharding,
     )
