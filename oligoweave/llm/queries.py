@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, fingerprints, language, packing, personal, secrets, sharding
+from oligoweave.llm import byte_bpe, fingerprints, language, ngram_join, packing, personal, secrets, sharding
 from oligoweave.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -50,6 +54,7 @@ QUERIES = {
         op6_secret_scans,
         op7_language_id,
         op8_personal_data,
+        op9_ngram_jaccard_join,
         op10_sharding,
     )
 }
