@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, fingerprints, language, ngram_join, packing, personal, secrets, sharding
+from oligoweave.llm import byte_bpe, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding
 from oligoweave.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op1_best_fit_packing,
         op3_byte_level_bpe,
         op4_document_fingerprints,
+        op5_line_dedup,
         op6_secret_scans,
         op7_language_id,
         op8_personal_data,
