@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding
+from oligoweave.llm import byte_bpe, embedding_join, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding
 from oligoweave.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_embedding_near_dedup,
         op3_byte_level_bpe,
         op4_document_fingerprints,
         op5_line_dedup,
