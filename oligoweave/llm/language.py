@@ -27,6 +27,8 @@ DOCS_PER_LANGUAGE = 1000
 CALIBRATION = 5
 #: Rejected beyond so many times the distance that this share of calibration documents keeps.
 KEPT_SHARE, SLACK = 0.999, 1.5
+#: Nats a character above the language's middle that are never a reason to reject, so that a few odd words are not.
+LEAST_REACH = 0.75
 UNKNOWN = "und"
 START, END = "\x02", "\x03"
 WORD = re.compile(r"[^\W\d_]+")
@@ -251,7 +253,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if len(own):
             models.mean[i] = own["ce"].median()
             far = (own["ce"] - models.mean[i]).to_numpy() / stretch(own["n"].to_numpy())
-            models.reach[i] = SLACK * max(float(np.quantile(far, KEPT_SHARE)), 0.05)
+            models.reach[i] = max(SLACK * float(np.quantile(far, KEPT_SHARE)), LEAST_REACH)
     return models
 
 
