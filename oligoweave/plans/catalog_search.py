@@ -95,7 +95,7 @@ class Search:
 
     @cached_property
     def close(self):
-        return G.near_best(cut_lineage(self.kept))
+        return G.near_best(cut_lineage(G.valid_pairs(self.judged)))
 
     @cached_property
     def partners(self):
@@ -299,7 +299,8 @@ _PAIRS = {
     "jf": """SELECT *, NOT in_range AND ((abs(f_dev)>dv AND f_dev>0) OR (apart AND f_dev>r_dev)) AS f_high, NOT in_range AND ((abs(f_dev)>dv AND f_dev<=0) OR (apart AND NOT f_dev>r_dev)) AS f_low,
      NOT in_range AND ((abs(r_dev)>dv AND r_dev>0) OR (apart AND NOT f_dev>r_dev)) AS r_high, NOT in_range AND ((abs(r_dev)>dv AND r_dev<=0) OR (apart AND f_dev>r_dev)) AS r_low FROM jd""",
     "kp": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, target ORDER BY score DESC, f_5p, f_len, r_5p, r_len) AS rn FROM jf WHERE in_range AND clamp) WHERE rn <= 1000""",
-    "nr": "SELECT kp.* FROM kp JOIN (SELECT panel_id, target, max(score) AS b FROM kp GROUP BY 1,2) USING (panel_id, target) WHERE score+CAST(0.2 AS DOUBLE) > b",
+    "ok": "SELECT * FROM jf WHERE in_range AND clamp",
+    "nr": "SELECT ok.* FROM ok JOIN (SELECT panel_id, target, max(score) AS b FROM ok GROUP BY 1,2) USING (panel_id, target) WHERE score+CAST(0.2 AS DOUBLE) > b",
     "ad": "SELECT forward AS o FROM v_adapters UNION ALL SELECT reverse FROM v_adapters",
     "st": """SELECT panel_id, target, f_5p, f_len, r_5p, r_len, score, f_seq AS a, o AS b FROM nr, ad UNION ALL SELECT panel_id, target, f_5p, f_len, r_5p, r_len, score, r_seq, o FROM nr, ad
      UNION ALL SELECT panel_id, target, f_5p, f_len, r_5p, r_len, score, f_seq, f_seq FROM nr UNION ALL SELECT panel_id, target, f_5p, f_len, r_5p, r_len, score, r_seq, r_seq FROM nr

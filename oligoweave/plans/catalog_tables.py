@@ -17,7 +17,6 @@ from oligoweave.sources import panels as PT
 from oligoweave.sources import reports as RP
 from oligoweave.sources import sinks as K
 from oligoweave.sources import text_fields as T
-from oligoweave.sources.lines import numbered_records
 
 FASTA_WIDTH = 60
 
@@ -41,14 +40,14 @@ def fasta_files(spark, sf_dir):
 
 
 def scan_fasta(spark, sf_dir):
-    path = fasta_files(spark, sf_dir)
-    records = numbered_records(spark, path, "\n>")
-    fields = A.fasta_fields(F.col("text"))
-    return records.select(
-        F.regexp_extract("file_path", r"aln_id=(\d+)", 1).cast("bigint").alias("aln_id"),
-        F.col("line_no").alias("nth"),
-        fields["name"].alias("name"),
-        fields["seq"].alias("seq"),
+    return numbered(A.scan_fasta(spark, fasta_files(spark, sf_dir)))
+
+
+def numbered(scanned):
+    """The number of an alignment is that of its folder; files of several folders share their names."""
+    return scanned.select(
+        F.regexp_extract("aln_id", r"aln_id=(\d+)", 1).cast("bigint").alias("aln_id"),
+        F.col("seq_idx").cast("bigint").alias("nth"), "name", "seq",
     )
 
 
@@ -69,8 +68,7 @@ def scan_block_alignment(spark, sf_dir):
         .write.partitionBy("aln_id")
         .text(path)
     )
-    scanned = A.scan_block_alignment(spark, path, "clustal")
-    return scanned.select("name", "seq", F.col("seq_idx").cast("bigint").alias("nth"))
+    return numbered(A.scan_block_alignment(spark, path, "clustal"))
 
 
 def report_files(spark, sf_dir):
@@ -94,18 +92,13 @@ def written_lines(spark, sf_dir):
 
 def load_results_dir(spark, sf_dir):
     """Reports read from files; run parameters from the folder named after the report."""
-    lines = cut_lineage(
-        numbered_records(spark, report_files(spark, sf_dir)).select(
-            F.url_decode(F.regexp_extract("file_path", r"file=([^/]+)/", 1)).alias("file"), "line_no", "text"
-        )
-    )
-    homo = RP.parse_homodimers(lines).groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_homo"), F.sum("comp").alias("homo_comp")
-    )
-    hetero = RP.parse_heterodimers(lines).groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_hetero"), F.sum("comp").alias("hetero_comp")
+    folder = F.url_decode(F.regexp_extract("file", r"file=([^/]+)/", 1))
+    found = RP.load_results_dir(spark, report_files(spark, sf_dir), folder)
+    homo, hetero = (
+        df.groupBy("file").agg(F.first("params").alias("params"), F.count(F.lit(1)).alias(f"n_{kind}"), F.sum("comp").alias(f"{kind}_comp"))
+        for df, kind in zip(found, ("homo", "hetero"), strict=True)
     )
-    params = T.run_params(F.col("file"))
+    params = F.coalesce(homo["params"], hetero["params"])
     return homo.join(hetero, "file", "full").select(
         F.try_element_at(params, F.lit("rig")).alias("rig"),
         F.try_element_at(params, F.lit("set")).alias("set_no"),
@@ -328,7 +321,7 @@ ORACLE = {
     "scan_dimer_report": duck_with([], """SELECT file, 'self' AS kind, count(*) AS n, CAST(sum(comp) AS BIGINT) AS comp, CAST(sum(tail-lead) AS BIGINT) AS shift FROM (SELECT * FROM it UNION ALL SELECT * FROM it WHERE twice) GROUP BY 1
   UNION ALL SELECT file, 'cross', count(*), CAST(sum(comp) AS BIGINT), CAST(sum(CASE WHEN partner%2=0 THEN tail ELSE tail-lead END) AS BIGINT) FROM it GROUP BY 1""", _ITEMS),
     "scan_fasta": duck_with(["v_alignments"], "SELECT aln_id, seq_idx-aln_id*125 AS nth, name, seq FROM v_alignments"),
-    "scan_block_alignment": duck_with(["v_alignments"], "SELECT name, seq, seq_idx-aln_id*125 AS nth FROM v_alignments"),
+    "scan_block_alignment": duck_with(["v_alignments"], "SELECT aln_id, name, seq, seq_idx-aln_id*125 AS nth FROM v_alignments"),
     "scan_dimer_report_self": duck_with([], """SELECT file, primer, partner%2=0 AS is_forward, tail-lead AS "offset", comp, false AS misaligned FROM it
 UNION ALL SELECT file, primer, partner%2=0, tail-lead, comp, false FROM it WHERE twice""", _ITEMS),
     "scan_dimer_report_cross": duck_with([], """SELECT file, CASE WHEN partner%2=0 THEN primer ELSE partner END AS f, CASE WHEN partner%2=0 THEN partner ELSE primer END AS r,

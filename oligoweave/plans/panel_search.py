@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from oligoweave.operators import candidates as C
 from oligoweave.operators import scoring as G
 from oligoweave.operators.profile import alignment_lengths
-from oligoweave.session import cut_lineage
+from oligoweave.session import cut_lineage, scratch_path
 
 TARGET = C.TARGET
 CHOSEN = [
@@ -88,14 +88,14 @@ def search_step(
     opened = C.open_length_windows(windows.join(found.select(*TARGET), TARGET, "left_anti"))
     sized = fixed.select(*opened.columns).unionByName(opened)
     judged = G.judged_pairs(C.enumerate_pairs(sized, free), inputs.params, temperatures)
-    kept = cut_lineage(G.top_n_conserved(judged))
-    return G.select_pair(G.dimer_scored(G.near_best(kept), partners))
+    valid = cut_lineage(G.valid_pairs(judged))
+    return G.select_pair(G.dimer_scored(G.near_best(valid), partners))
 
 
 def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) -> DataFrame:
     """One pair per target; targets left without space or valid pairs are absent.
 
-    Every step ends in a written table, so a lost executor costs one step at most and
+    Every step is added to one written table, so a lost executor costs one step at most and
     plans do not grow with the number of targets.
     """
     inputs = inputs.written()
@@ -107,11 +107,13 @@ def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) ->
     if max_rank is not None:
         deepest = min(deepest, max_rank)
     chosen: DataFrame | None = None
+    path = scratch_path(inputs.targets.sparkSession, "chosen")
     for rank in range(1, deepest + 1):
         at = F.col("rank") == rank
         step = search_step(ranked.where(at), singles.where(at).drop("rank"), inputs, chosen)
-        step = cut_lineage(step.withColumn("rank", F.lit(rank)).select(*CHOSEN))
-        chosen = step if chosen is None else chosen.unionByName(step)
+        step = step.withColumn("rank", F.lit(rank)).select(*CHOSEN)
+        step.write.mode("append").parquet(path)
+        chosen = step.sparkSession.read.schema(step.schema).parquet(path)
     return chosen
 
 

@@ -11,10 +11,6 @@ from oligoweave.sources.lines import numbered_records
 FASTA_SUFFIXES = ("fa", "fas", "fst", "fasta")
 
 
-def is_fasta_name(name: str) -> bool:
-    return name.lower().rsplit(".", 1)[-1] in FASTA_SUFFIXES
-
-
 def fasta_fields(record: Column) -> dict[str, Column]:
     """Name (the whole description line) and sequence of one '>'-delimited record."""
     body = F.regexp_replace(record, r"^\s*>", "")
@@ -24,12 +20,15 @@ def fasta_fields(record: Column) -> dict[str, Column]:
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(aln_id, seq_idx, name, seq) of every FASTA file under a path.
+    """(aln_id, seq_idx, name, seq) of every FASTA file under a path; aln_id is the file's path.
 
     Records are cut at '\\n>' by the reader itself, so a file of any size is split over
     tasks and no file is held in memory.
     """
-    records = numbered_records(spark, path, "\n>")
+    return _fasta_rows(numbered_records(spark, path, "\n>"))
+
+
+def _fasta_rows(records: DataFrame) -> DataFrame:
     fields = fasta_fields(F.col("text"))
     return records.where(F.trim("text") != "").select(
         F.col("file").alias("aln_id"),
@@ -55,7 +54,10 @@ def scan_block_alignment(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     seq_idx is the line on which a sequence first appears, counted from the first
     sequence line of its file; it increases in file order.
     """
-    lines = numbered_records(spark, path)
+    return _block_rows(numbered_records(spark, path), fmt)
+
+
+def _block_rows(lines: DataFrame, fmt: str) -> DataFrame:
     if fmt in ("clustal", "stockholm"):
         chunks = _named_chunks(lines, fmt)
     elif fmt == "phylip-relaxed":
@@ -116,5 +118,12 @@ def _phylip_chunks(lines: DataFrame) -> DataFrame:
 
 
 def scan_alignments(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFrame:
-    """Any supported format; a FASTA file ending overrides the format asked for."""
-    return scan_fasta(spark, path) if fmt == "fasta" or is_fasta_name(path) else scan_block_alignment(spark, path, fmt)
+    """Any supported format, decided file by file: a FASTA file ending overrides the format asked for.
+
+    The ending is a condition on the file's path, so each reading opens its own files only.
+    """
+    if fmt == "fasta":
+        return scan_fasta(spark, path)
+    is_fasta = F.lower("file").rlike(rf"\.({'|'.join(FASTA_SUFFIXES)})$")
+    fasta = _fasta_rows(numbered_records(spark, path, "\n>").where(is_fasta))
+    return fasta.unionByName(_block_rows(numbered_records(spark, path).where(~is_fasta), fmt))

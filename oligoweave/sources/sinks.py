@@ -78,8 +78,23 @@ def sink_scores_csv(scores: DataFrame, path: str) -> None:
     scores.write.option("header", True).csv(path)
 
 
-def append_run_log(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append run titles, results and failures; concurrent runs add files, never rewrite."""
+def append_run_log(
+    rows: DataFrame, path: str, partition_by: list[str] | None = None, batch_id: int | None = None
+) -> None:
+    """Append run titles, results and failures; concurrent runs add files, never rewrite.
+
+    With a batch id the rows are that batch's partition of the log, so a batch that is
+    written again replaces itself.
+    """
+    if batch_id is not None:
+        (
+            rows.withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id", *(partition_by or []))
+            .parquet(path)
+        )
+        return
     writer = rows.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -16,9 +16,9 @@ from oligoweave.sources.alignments import fasta_fields
 
 
 def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, seq) of FASTA files as they land in a folder."""
+    """(file, name, seq) of FASTA files as they land in a folder; file is the whole path."""
     records = spark.readStream.text(path, lineSep="\n>").select(
-        F.col("_metadata.file_name").alias("file"), F.col("value")
+        F.col("_metadata.file_path").alias("file"), F.col("value")
     )
     fields = fasta_fields(F.col("value"))
     return records.where(F.trim("value") != "").select(
@@ -27,11 +27,15 @@ def stream_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_batches(
-    stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str
+    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
-    """Hand every micro-batch to a batch sink; stops when the folder has been read."""
+    """Hand every micro-batch and its number to a batch sink; stops when the folder has been read.
+
+    A batch may come again after a failure, under the same number: a sink that writes by
+    it, such as ``append_run_log``, has its rows once.
+    """
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: sink(batch))
+        stream.writeStream.foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -14,8 +14,9 @@ from oligoweave.operators import ranking as W
 from oligoweave.operators import scoring as G
 from oligoweave.operators import spacers as H
 from oligoweave.sources import reports as R
-from oligoweave.sources.alignments import scan_block_alignment, scan_fasta
+from oligoweave.sources.alignments import scan_alignments, scan_block_alignment, scan_fasta
 from oligoweave.sources.lines import carry_down
+from oligoweave.sources.sinks import append_run_log
 from oligoweave.streaming.ingest import append_batches, stream_fasta
 
 KNOWN = ["AAAAAAAAAAAAAAAA", "TTTTAAAAAAAAAAAA", "CCCCCCCCAAAAAAAA", "GGGGCCCCGGGGAAAA"]
@@ -256,12 +257,12 @@ def test_files_and_stream(spark, tmp_path):
     (folder / "one.fas").write_text(">first seq\nACGT\nAC-T\n>second\nACGTACGT\n")
     (folder / "two.fasta").write_text(">x\nTTTT\n")
     rows = scan_fasta(spark, str(folder)).orderBy("aln_id", "seq_idx").collect()
-    assert [tuple(r) for r in rows] == [
+    assert [(r.aln_id.rsplit("/", 1)[1], *r[1:]) for r in rows] == [
         ("one.fas", 0, "first seq", "ACGTAC-T"), ("one.fas", 1, "second", "ACGTACGT"), ("two.fasta", 0, "x", "TTTT")
     ]
     out = str(tmp_path / "out")
     query = append_batches(
-        stream_fasta(spark, str(folder)), lambda b: b.write.mode("append").parquet(out), str(tmp_path / "cp")
+        stream_fasta(spark, str(folder)), lambda b, n: append_run_log(b, out, batch_id=n), str(tmp_path / "cp")
     )
     query.awaitTermination(120)
     assert {(r.name, r.seq) for r in spark.read.parquet(out).collect()} == {
@@ -269,6 +270,26 @@ def test_files_and_stream(spark, tmp_path):
     }
 
 
+def test_a_batch_written_again_replaces_itself(spark, tmp_path):
+    rows, out = spark.range(3), str(tmp_path / "log")
+    for batch in (0, 1, 1, 0):
+        append_run_log(rows, out, batch_id=batch)
+    assert spark.read.parquet(out).count() == 6
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for sub, base in (("a", "A"), ("b", "T")):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "aln.fasta").write_text(f">x\n{base}{base}\n>y\n{base}C\n")
+        (tmp_path / sub / "aln.aln").write_text(f"CLUSTAL W\n\nx   {base}{base}\n\nx   GG\n")
+    rows = scan_alignments(spark, str(tmp_path), "clustal").collect()
+    got = sorted((*r.aln_id.split("/")[-2:], r.seq_idx, r.name, r.seq) for r in rows)
+    assert got == [
+        ("a", "aln.aln", 0, "x", "AAGG"), ("a", "aln.fasta", 0, "x", "AA"), ("a", "aln.fasta", 1, "y", "AC"),
+        ("b", "aln.aln", 0, "x", "TTGG"), ("b", "aln.fasta", 0, "x", "TT"), ("b", "aln.fasta", 1, "y", "TC"),
+    ]
+
+
 def test_block_formats(spark, tmp_path):
     texts = {
         "clustal": "CLUSTAL W\n\na   ACGT\nb   AC-T\n    ** *\n\na   GG\nb   GC\n",
