@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oligoweave.functions import constants as C
 from oligoweave.functions import sequence as S
 from oligoweave.operators.ranking import top_n
+from oligoweave.session import cut_lineage
 
 
 def _poured(unassigned: Column, counts: Column) -> Column:
@@ -152,10 +156,22 @@ def nth_compositions(compositions: DataFrame, parts: int) -> DataFrame:
 # --- searches -----------------------------------------------------------------------
 
 
-def balanced_combos(panels: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
-    """Spacer combos of each panel whose worst column is as diverse as can be.
+def by_panel_size(panels: DataFrame, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``search(panels of n sequences, n)`` for every panel size there is; the sizes are few."""
+    panels = cut_lineage(panels)
+    sizes = sorted(r[0] for r in panels.select(F.size("seqs")).distinct().collect())
+    return reduce(DataFrame.unionByName, [search(panels.where(F.size("seqs") == n), n) for n in sizes or [1]])
+
+
+def balanced_combos(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
+    """Spacer combos of each panel, at its own size, whose worst column is as diverse as can be."""
+    return by_panel_size(panels, lambda sized, n: _balanced(sized, n, n_hetero, limit))
+
+
+def _balanced(sized: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
+    """The same for panels(panel_id, seqs) of n sequences.
 
-    panels(panel_id, seqs). Sequences are added one by one; a prefix is cut as soon as a
+    Sequences are added one by one; a prefix is cut as soon as a
     column holds more than ceil(n / 4) of one base, which no best combo does.
     """
     quota = -(-n // 4)
@@ -176,7 +192,6 @@ def balanced_combos(panels: DataFrame, n: int, n_hetero: int, limit: int) -> Dat
         columns = F.when(F.col("s") < n_hetero, F.sequence(F.col("s"), F.lit(n_hetero - 1)))
         return F.coalesce(F.forall(columns, fits), F.lit(True))
 
-    sized = panels.where(F.size("seqs") == n)
     grown = _grow(sized, n, F.lit(limit), keep)
     score = min_diversity(F.col("seqs"), F.col("combo"), F.lit(n_hetero))
     return grown.withColumn("score", score).where(F.col("score") >= max_diversity(F.lit(n)))
@@ -186,18 +201,18 @@ def _combo_order(df: DataFrame) -> list[Column]:
     return [F.aggregate("combo", F.lit(0), lambda a, x: a + x).alias("total"), F.reverse("combo").alias("rev")]
 
 
-def balanced_spacer_search(panels: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
+def balanced_spacer_search(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
     """Balanced combo of the smallest total per panel, and how many there are."""
-    found = balanced_combos(panels, n, n_hetero, limit)
+    found = balanced_combos(panels, n_hetero, limit)
     best = F.min(F.struct(*_combo_order(found), "combo")).alias("b")
     return found.groupBy("panel_id").agg(best, F.count(F.lit(1)).alias("n_balanced")).select(
         "panel_id", F.col("b.combo").alias("combo"), F.col("b.total").alias("total"), "n_balanced"
     )
 
 
-def smallest_max_spacer(panels: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
+def smallest_max_spacer(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
     """Balanced combo with the smallest longest spacer, then the smallest total."""
-    found = balanced_combos(panels, n, n_hetero, limit)
+    found = balanced_combos(panels, n_hetero, limit)
     best = F.min(F.struct(F.array_max("combo").alias("longest"), *_combo_order(found), "combo")).alias("b")
     return found.groupBy("panel_id").agg(best).select(
         "panel_id", F.col("b.combo").alias("combo"), F.col("b.longest").alias("longest"), F.col("b.total").alias("total")
@@ -230,15 +245,22 @@ def sampled_spacer_search(panels: DataFrame, n_hetero: int, total: Column, draws
     )
 
 
-def spacer_landscape(panels: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
-    """Mean, sample deviation and worst column of every spacer vector of every panel."""
-    vectors = all_spacer_vectors(panels.where(F.size("seqs") == n), n, limit)
+def spacer_landscape(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
+    """Mean, sample deviation and worst column of every spacer vector of every panel, at its own size.
+
+    A panel of one sequence has no deviation.
+    """
+    return by_panel_size(panels, lambda sized, n: _landscape(sized, n, n_hetero, limit))
+
+
+def _landscape(sized: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
+    vectors = all_spacer_vectors(sized, n, limit)
     total = F.aggregate("combo", F.lit(0), lambda a, x: a + x)
     squares = F.aggregate("combo", F.lit(0), lambda a, x: a + x * x)
     return vectors.select(
         "panel_id", "ord", "combo",
         (total / n).alias("mean_length"),
-        F.sqrt((n * squares - total * total) / F.lit(n * (n - 1))).alias("sd_length"),
+        F.sqrt((n * squares - total * total) / F.nullif(F.lit(n * (n - 1)), F.lit(0))).alias("sd_length"),
         min_diversity(F.col("seqs"), F.col("combo"), F.lit(n_hetero)).alias("score"),
     )
 

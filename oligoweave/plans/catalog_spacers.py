@@ -72,6 +72,10 @@ def panels(s, d):
     return M.panel_rows(V.panel_seqs(s, d), "f_bind")
 
 
+def mixed_panels(s, d):
+    return M.panel_rows(V.mixed_panels(s, d), "f_bind")
+
+
 def requests(s, d):
     p = V.panel_seqs(s, d).select("panel_id").distinct()
     return p.select("panel_id", F.lit(4).alias("limit"), F.pmod("panel_id", F.lit(13)).cast("int").alias("total"))
@@ -233,9 +237,9 @@ QUERIES = {
     "count_compositions": lambda s, d: requests(s, d).select(
         "panel_id", M.count_compositions(F.lit(4), F.col("limit"), F.col("total")).alias("n")),
     "nth_compositions": lambda s, d: M.nth_compositions(compositions(s, d), 5).select("panel_id", "part", "range_size", text("combo")),
-    "balanced_spacer_search": lambda s, d: M.balanced_spacer_search(panels(s, d), 4, M_HETERO, M_LIMIT).select(
+    "balanced_spacer_search": lambda s, d: M.balanced_spacer_search(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), "total", "n_balanced"),
-    "smallest_max_spacer": lambda s, d: M.smallest_max_spacer(panels(s, d), 4, M_HETERO, M_LIMIT).select(
+    "smallest_max_spacer": lambda s, d: M.smallest_max_spacer(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), "longest", "total"),
     "sampled_spacer_search": lambda s, d: M.sampled_spacer_search(
         panels(s, d), M_HETERO, F.pmod("panel_id", F.lit(9)).cast("int") + 2, 6, "seed"
@@ -244,7 +248,7 @@ QUERIES = {
         panels(s, d), M_HETERO, F.pmod("panel_id", F.lit(9)).cast("int") + 2, 6, "seed"
     ).select("panel_id", "draw", F.aggregate("combo", F.lit(0), lambda a, x: a + x).alias("total"),
              (F.array_max("combo") <= M_HETERO).alias("within")),
-    "spacer_landscape": lambda s, d: M.spacer_landscape(panels(s, d), 4, M_HETERO, M_LIMIT).select(
+    "spacer_landscape": lambda s, d: M.spacer_landscape(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), *six("mean_length", "sd_length"), "score"),
     "hetero_alignment": lambda s, d: M.hetero_alignment(shifted_rows(s, d)),
     "column_base_quota": lambda s, d: M.column_base_quota(M.hetero_alignment(shifted_rows(s, d))),
@@ -370,16 +374,19 @@ def _cells(width: str) -> str:
 
 
 _COUNTED = "count(*) FILTER (base='-') AS u, count(*) FILTER (base='A') AS a, count(*) FILTER (base='T') AS t, count(*) FILTER (base='G') AS g, count(*) FILTER (base='C') AS c"
+# Panels of three, four and five: all vectors of each size, and the best a column of so many copies can score.
+_AXES = [f"(SELECT unnest(range(0,{M_LIMIT + 1})) AS {x})" for x in "abcde"]
 _VECTORS = {
-    "pn": "SELECT panel_id, max(f_bind) FILTER (i=0) AS q0, max(f_bind) FILTER (i=1) AS q1, max(f_bind) FILTER (i=2) AS q2, max(f_bind) FILTER (i=3) AS q3 FROM v_panel_seqs GROUP BY 1",
-    "vc": f"SELECT CAST(a AS INTEGER) AS s0, CAST(b AS INTEGER) AS s1, CAST(c AS INTEGER) AS s2, CAST(d AS INTEGER) AS s3 FROM (SELECT unnest(range(0,{M_LIMIT + 1})) AS a), (SELECT unnest(range(0,{M_LIMIT + 1})) AS b), (SELECT unnest(range(0,{M_LIMIT + 1})) AS c), (SELECT unnest(range(0,{M_LIMIT + 1})) AS d)",
-    "cl": f"""SELECT panel_id, s0, s1, s2, s3, col, unnest([CASE WHEN col<s0 THEN '-' ELSE substr(q0,col-s0+1,1) END, CASE WHEN col<s1 THEN '-' ELSE substr(q1,col-s1+1,1) END,
-      CASE WHEN col<s2 THEN '-' ELSE substr(q2,col-s2+1,1) END, CASE WHEN col<s3 THEN '-' ELSE substr(q3,col-s3+1,1) END]) AS base FROM pn, vc, (SELECT unnest(range(0,{M_HETERO})) AS col)""",
-    "cnt": f"SELECT panel_id, s0, s1, s2, s3, col, {_COUNTED} FROM cl GROUP BY 1,2,3,4,5,6",
+    "pn": "SELECT panel_id, list(f_bind ORDER BY i) AS qs, count(*) AS n FROM v_mixed_panels GROUP BY 1",
+    "vc": " UNION ALL ".join(f"SELECT {n} AS n, [{','.join('abcde'[:n])}] AS s FROM {', '.join(_AXES[:n])}" for n in range(1, 6)),
+    "cl": f"""SELECT panel_id, n, s, col, unnest(list_transform(range(1,n+1), lambda x: CASE WHEN col<s[x] THEN '-' ELSE substr(qs[x],col-s[x]+1,1) END)) AS base
+      FROM pn JOIN vc USING (n), (SELECT unnest(range(0,{M_HETERO})) AS col)""",
+    "cnt": f"SELECT panel_id, n, s, col, {_COUNTED} FROM cl GROUP BY 1,2,3,4",
     "kinds": "SELECT DISTINCT u, a, t, g, c FROM cnt",
     "dv": _diversity("kinds", "u, a, t, g, c"),
-    "ld": "SELECT panel_id, s0, s1, s2, s3, min(diversity) AS score FROM cnt JOIN dv USING (u, a, t, g, c) GROUP BY 1,2,3,4,5",
-    "bal": "SELECT *, s0+s1+s2+s3 AS total, greatest(s0,s1,s2,s3) AS longest FROM ld WHERE score = 390625",
+    "ld": "SELECT panel_id, n, s, min(diversity) AS score FROM cnt JOIN dv USING (u, a, t, g, c) GROUP BY 1,2,3",
+    "bal": """SELECT *, CAST(list_sum(s) AS INTEGER) AS total, CAST(list_max(s) AS INTEGER) AS longest, list_reverse(s) AS rev
+      FROM ld WHERE score >= [100, 2500, 37037, 390625, 320000][n]""",
 }
 _TUPLES = "(SELECT unnest([0,1,2,3,4]) AS a), (SELECT unnest([0,1,2,3,4]) AS b), (SELECT unnest([0,1,2,3,4]) AS c), (SELECT unnest([0,1,2,3,4]) AS d)"
 _COMPS = {
@@ -473,11 +480,11 @@ ORACLE = {
     "count_compositions": duck_with(_VP, "SELECT panel_id, count(*) AS n FROM cm GROUP BY 1", _COMPS),
     "nth_compositions": duck_with(_VP, """SELECT panel_id, part, CAST(nx-st AS INTEGER) AS range_size, combo FROM (SELECT panel_id, CAST(p AS INTEGER) AS part, floor(p*n/5.0) AS st, floor((p+1)*n/5.0) AS nx FROM (SELECT panel_id, count(*) AS n FROM cm GROUP BY 1), (SELECT unnest([0,1,2,3,4]) AS p))
   JOIN cm USING (panel_id) WHERE ord=st AND nx > st""", _COMPS),
-    "balanced_spacer_search": duck_with(_VP, """SELECT panel_id, s0||','||s1||','||s2||','||s3 AS combo, total, n_balanced FROM (SELECT *, count(*) OVER (PARTITION BY panel_id) AS n_balanced, row_number() OVER (PARTITION BY panel_id ORDER BY total, s3, s2, s1, s0) AS rn FROM bal) WHERE rn=1""", _VECTORS),
-    "smallest_max_spacer": duck_with(_VP, """SELECT panel_id, s0||','||s1||','||s2||','||s3 AS combo, longest, total FROM (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY longest, total, s3, s2, s1, s0) AS rn FROM bal) WHERE rn=1""", _VECTORS),
+    "balanced_spacer_search": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, total, n_balanced FROM (SELECT *, count(*) OVER (PARTITION BY panel_id) AS n_balanced, row_number() OVER (PARTITION BY panel_id ORDER BY total, rev) AS rn FROM bal) WHERE rn=1""", _VECTORS),
+    "smallest_max_spacer": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, longest, total FROM (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY longest, total, rev) AS rn FROM bal) WHERE rn=1""", _VECTORS),
     "sampled_spacer_invariants": duck_with(_VP, "SELECT panel_id, draw, CAST(panel_id%9+2 AS INTEGER) AS total, true AS within FROM (SELECT DISTINCT panel_id FROM v_panel_seqs), (SELECT CAST(unnest([1,2,3,4,5,6]) AS INTEGER) AS draw)"),
-    "spacer_landscape": duck_with(_VP, """SELECT panel_id, s0||','||s1||','||s2||','||s3 AS combo, round((s0+s1+s2+s3)/4.0::DOUBLE,6) AS mean_length,
-  round(sqrt((4*(s0*s0+s1*s1+s2*s2+s3*s3)-(s0+s1+s2+s3)*(s0+s1+s2+s3))/12.0::DOUBLE),6) AS sd_length, score FROM ld""", _VECTORS),
+    "spacer_landscape": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, round(total/n::DOUBLE,6) AS mean_length,
+  round(sqrt((n*squares-total*total)/nullif(n*(n-1),0)::DOUBLE),6) AS sd_length, score FROM (SELECT *, list_sum(s) AS total, list_sum(list_transform(s, lambda x: x*x)) AS squares FROM ld)""", _VECTORS),
     "hetero_alignment": duck_with(_VP, "SELECT * FROM ce", {**_SHIFT, "ce": _cells("width")}),
     "column_base_quota": duck_with(_VP, """SELECT panel_id, col, vacant, base, q AS quota, q < 0 AS overfull FROM (SELECT panel_id, col, vacant, b.base, CAST(ceil(n/4.0) AS BIGINT) - (SELECT count(*) FROM ce x WHERE x.panel_id=y.panel_id AND x.col=y.col AND x.base=b.base) AS q
   FROM (SELECT panel_id, col, count(*) AS n, count(*) FILTER (base='-') AS vacant FROM ce GROUP BY 1,2) y, (SELECT unnest(['A','T','C','G']) AS base) b)""", {**_SHIFT, "ce": _cells("width")}),

@@ -154,6 +154,18 @@ def panel_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The binding sequences of ``panel_seqs`` in panels of three, four and five."""
+    key, part = F.col("s_suppkey"), F.pmod("s_suppkey", F.lit(12))
+    size = F.when(part < 3, 0).when(part < 7, 1).otherwise(2)
+    first = F.when(part < 3, 0).when(part < 7, 3).otherwise(7)
+    return table(spark, sf_dir, "supplier").select(
+        (F.floor(key / 12) * 3 + size).cast("bigint").alias("panel_id"),
+        (part - first).cast("int").alias("i"),
+        F.substring(_dna(_digest("fb", key)), 1, 14).alias("f_bind"),
+    )
+
+
 def spacer_sets(spark: SparkSession, sf_dir: str, n_sets: int = 3) -> DataFrame:
     """Four-copy primer sets: per supplier, direction and set four primers in long form."""
     key = F.col("s_suppkey")
@@ -379,6 +391,10 @@ SELECT s_suppkey // 4 AS panel_id, CAST(s_suppkey % 4 AS INTEGER) AS i,
   substr(translate(md5('fb'||s_suppkey),{_T}),1,14) AS f_bind, substr(translate(md5('rb'||s_suppkey),{_T}),1,14) AS r_bind,
   substr(translate(md5('fa'||s_suppkey),{_T}),1,10) AS f_adapt, substr(translate(md5('ra'||s_suppkey),{_T}),1,10) AS r_adapt
 FROM supplier""",
+    "v_mixed_panels": f"""
+SELECT s_suppkey // 12 * 3 + CASE WHEN s_suppkey % 12 < 3 THEN 0 WHEN s_suppkey % 12 < 7 THEN 1 ELSE 2 END AS panel_id,
+  s_suppkey % 12 - CASE WHEN s_suppkey % 12 < 3 THEN 0 WHEN s_suppkey % 12 < 7 THEN 3 ELSE 7 END AS i,
+  substr(translate(md5('fb'||s_suppkey),{_T}),1,14) AS f_bind FROM supplier""",
     "v_spacer_sets": f"""
 SELECT s_suppkey AS locus, dir, set_no, k,
   substr(translate(md5('ad:'||dir||':'||s_suppkey),{_T}),1,9) AS adapter,

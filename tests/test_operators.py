@@ -135,7 +135,7 @@ def test_balanced_search_matches_brute_force(spark):
     panels = [(1, ["ATGCATGCA", "ATGCATGCA", "ATGCATGCA", "ATGCATGCA"]), (2, ["AACCGGTTA", "ACGTACGTA", "TTGGCCAAT", "GATTACAGA"])]
     for n_hetero, limit in ((4, 4),):
         df = spark.createDataFrame(panels, "panel_id int, seqs array<string>")
-        got = {r.panel_id: r for r in M.balanced_spacer_search(df, 4, n_hetero, limit).collect()}
+        got = {r.panel_id: r for r in M.balanced_spacer_search(df, n_hetero, limit).collect()}
         for panel, seqs in panels:
             good = [c for c in itertools.product(range(limit + 1), repeat=4) if brute_diversity(seqs, c, n_hetero) == 390625]
             best = min(good, key=lambda c: (sum(c), c[::-1]))
