@@ -149,16 +149,18 @@ def encode_overlap(seq: Column | str) -> Column:
 
 
 def encode_energy(seq: Column | str) -> Column:
-    """An oligo made ready for dimer energies: 3'-most bases, masks, running stack energy.
+    """An oligo made ready for dimer energies: masks and running stack energy.
 
     ``l0`` marks plain bases, ``l1`` and ``l2`` tell the four bases apart; ``s*`` hold the
-    reverse complement, in which T/G and A/C change places and C/G stay.
+    reverse complement, in which T/G and A/C change places and C/G stay. Oligos too long for
+    a mask are compared by their bases.
     """
-    seq = trim_to_solver_limit(seq)
+    seq = _col(seq)
 
     def build(v: Column) -> Column:
         plain = _bits(F.reverse(v["t0"]))
         return F.struct(
+            v["seq"].alias("seq"),
             F.length(v["seq"]).alias("n"),
             *[_bits(v[f"t{i}"]).alias(f"l{i}") for i in range(3)],
             plain.alias("s0"),
@@ -167,8 +169,9 @@ def encode_energy(seq: Column | str) -> Column:
             _energy_prefix(v["seq"]).alias("prefix"),
         )
 
+    short = F.when(F.length(seq) <= MASK_LIMIT, seq).otherwise("")
     marks = [
-        _marks(seq, set(codes)).alias(f"t{i}") for i, codes in enumerate(("ATCG", "TG", "CG"))
+        _marks(short, set(codes)).alias(f"t{i}") for i, codes in enumerate(("ATCG", "TG", "CG"))
     ]
     return let(F.struct(seq.alias("seq"), *marks), build)
 
@@ -669,17 +672,74 @@ def dimer_energy_encoded(first, second) -> Column:
     stacks; 0.0 where no two adjacent bases pair.
     """
     first, second = _col(first), _col(second)
+    fits = F.greatest(first["n"], second["n"]) <= MASK_LIMIT
+    return F.when(fits, _mask_energy(first, second)).otherwise(_base_energy(first, second)) / 100.0
+
+
+def _mask_energy(first: Column, second: Column) -> Column:
     strands = _strand_masks(first, second, 3, F.lit(0), F.lit(0))
     bound = F.struct(
         _stacks(_slide(strands, _pair_by_identity)).alias("stacks"),
         F.when(first["n"] < second["n"], second["prefix"]).otherwise(first["prefix"]).alias("prefix"),
         F.greatest(first["n"], second["n"]).alias("size"),
     )
-    return let(bound, lambda v: _lowest_run_energy(v["stacks"], v["prefix"], v["size"])) / 100.0
+    return let(bound, lambda v: _lowest_run_energy(v["stacks"], v["prefix"], v["size"]))
+
+
+def _walked_energy(first: Column, last: Column, paired: Callable[[Column], Column], prefix: Column) -> Column:
+    """Lowest energy of a run of paired positions from first to last; every stack lowers a run's energy."""
+
+    def step(state: Column, i: Column) -> Column:
+        def with_pair(now: Column) -> Column:
+            energy = F.when(now & state["on"], state["run"] + F.get(prefix, i) - F.get(prefix, i - 1)).otherwise(0)
+            return let(
+                energy,
+                lambda e: F.struct(e.alias("run"), F.least(state["best"], e).alias("best"), now.alias("on")),
+            )
+
+        return let(paired(i), with_pair)
+
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(False).alias("on"))
+    return F.when(
+        first <= last, F.aggregate(F.sequence(first, last), start, step, lambda s: s["best"])
+    ).otherwise(F.lit(0))
+
+
+def _pairing_bases(seq: Column) -> Column:
+    """The base that pairs with each; degenerate and other signs pair with nothing."""
+    return F.translate(F.regexp_replace(seq, "[^ATCG]", "."), "ATCG", "TAGC")
+
+
+def _base_energy(first: Column, second: Column) -> Column:
+    """The same as the masks give, base by base, for oligos of any length."""
+    swap = first["n"] < second["n"]
+    strands = F.struct(
+        F.when(swap, second["seq"]).otherwise(first["seq"]).alias("l"),
+        F.reverse(_pairing_bases(F.when(swap, first["seq"]).otherwise(second["seq"]))).alias("s"),
+        F.when(swap, second["prefix"]).otherwise(first["prefix"]).alias("prefix"),
+        F.greatest(first["n"], second["n"]).alias("m"),
+        F.least(first["n"], second["n"]).alias("n"),
+    )
+
+    def over_shifts(v: Column) -> Column:
+        def at_shift(shift: Column) -> Column:
+            def paired(i: Column) -> Column:
+                return F.substring(v["l"], i + 1, F.lit(1)) == F.substring(v["s"], i - shift + 1, F.lit(1))
+
+            return _walked_energy(F.greatest(F.lit(0), shift), F.least(v["m"], v["n"] + shift) - 1, paired, v["prefix"])
+
+        low, high = _shift_bounds(v["m"], v["n"], F.lit(0), F.lit(0))
+        shifts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.least(F.coalesce(F.array_min(F.transform(shifts, at_shift)), F.lit(0)), F.lit(0))
+
+    return let(strands, over_shifts)
 
 
 def dimer_energy(first, second) -> Column:
-    """Energy of two 5'-3' oligos, both cut to the 3'-most 60 bases."""
+    """Energy of two 5'-3' oligos of any length.
+
+    ``trim_to_solver_limit`` is there for who wants the bound of an outside solver.
+    """
     return _encoded(first, second, dimer_energy_encoded, encode_energy)
 
 
@@ -690,6 +750,27 @@ def homodimer_energy(seq) -> Column:
 def hairpin_energy_encoded(oligo) -> Column:
     """Energy of the best stem an encoded oligo folds into, loops of three or more."""
     v = _col(oligo)
+    return F.when(v["n"] <= MASK_LIMIT, _mask_hairpin(v)).otherwise(_base_hairpin(v)) / 100.0
+
+
+def _base_hairpin(v: Column) -> Column:
+    """The same as the masks give, base by base: base i pairs with base turn - i."""
+
+    def folded(s: Column) -> Column:
+        def at_turn(turn: Column) -> Column:
+            def paired(i: Column) -> Column:
+                return F.substring(s["l"], i + 1, F.lit(1)) == F.substring(s["p"], turn - i + 1, F.lit(1))
+
+            last = F.floor((turn - 1 - C.MIN_LOOP) / 2).cast("int")
+            return _walked_energy(F.greatest(F.lit(0), turn - s["n"] + 1), last, paired, s["prefix"])
+
+        return F.least(F.coalesce(F.array_min(F.transform(F.sequence(F.lit(1), 2 * s["n"] - 3), at_turn)), F.lit(0)), F.lit(0))
+
+    strands = F.struct(v["seq"].alias("l"), _pairing_bases(v["seq"]).alias("p"), v["prefix"].alias("prefix"), v["n"].alias("n"))
+    return let(strands, folded)
+
+
+def _mask_hairpin(v: Column) -> Column:
 
     def five_prime_arm(pairs: Column, shift: Column) -> Column:
         # Base i pairs with base shift + size - 1 - i: keep the arm before the loop.
@@ -705,7 +786,7 @@ def hairpin_energy_encoded(oligo) -> Column:
     # A stem of two pairs around the smallest loop needs 2 + 2 + loop bases.
     furthest = v["n"] - 4 - C.MIN_LOOP
     stems = F.concat(_shifted(F.lit(0), furthest, left), _shifted(F.lit(1), furthest, right))
-    return let(_stacks(stems), lambda x: _lowest_run_energy(x, v["prefix"], v["n"])) / 100.0
+    return let(_stacks(stems), lambda x: _lowest_run_energy(x, v["prefix"], v["n"]))
 
 
 def hairpin_energy(seq) -> Column:

@@ -121,6 +121,10 @@ QUERIES = {
     "dimer_energy": per_pair(lambda: [F.round(S.dimer_energy("s1", "s2"), 2).alias("dg"),
         S.energy_as_int(S.dimer_energy("s1", "s2")).alias("score")]),
     "hairpin_energy": per_pair(lambda: [F.round(S.hairpin_energy(F.concat("s1", "s2")), 2).alias("dg")]),
+    # oligos beyond the length of a mask
+    "dimer_energy_long": lambda s, d: V.long_pairs(s, d).select(
+        "pair_id", F.round(S.dimer_energy("s1", "s2"), 2).alias("dg"), S.max_overlap_run("s1", "s2").alias("run"), S.max_overlap_total("s1", "s2").alias("total")),
+    "hairpin_energy_long": lambda s, d: V.long_pairs(s, d).select("pair_id", F.round(S.hairpin_energy("s1"), 2).alias("dg")),
     "gc_band": per_part(lambda: [F.round(S.gc_fraction("seq"), 6).alias("gc"), S.gc_band("seq").alias("band")]),
     # data quality
     "check_sites_in_bounds": lambda s, d: Q.check_sites_in_bounds(
@@ -198,6 +202,17 @@ def overlap_ctes(source: str) -> dict[str, str]:
     }
 
 
+def _hairpins(view: str, seq: str) -> tuple[str, dict[str, str]]:
+    return f"""
+SELECT p.pair_id, round(coalesce(min(e),0)/100.0::DOUBLE,2) AS dg FROM {view} p LEFT JOIN (
+  SELECT pair_id, d, g, sum(CASE WHEN rn > 1 THEN dg ELSE 0 END) AS e FROM (
+    SELECT h.*, row_number() OVER (PARTITION BY pair_id, d, g ORDER BY i) AS rn FROM h) LEFT JOIN {_STEPS} ON step = substr(s,CAST(i-1 AS BIGINT),2) GROUP BY 1,2,3) USING (pair_id) GROUP BY 1""", {
+        "hb": f"SELECT pair_id, {seq} AS s, unnest(range(1,length({seq})+1)) AS i, unnest(string_split({seq},'')) AS base FROM {view}",
+        "h": """SELECT pair_id, s, i, d, i - row_number() OVER (PARTITION BY pair_id, d ORDER BY i) AS g FROM (
+  SELECT x.pair_id, x.s, x.i, x.i+y.i AS d FROM hb x JOIN hb y ON x.pair_id=y.pair_id AND y.i-x.i > 3 AND y.base = translate(x.base,'ATCG','TAGC'))""",
+    }
+
+
 _PAIR_SRC = "SELECT pair_id AS id, s1 AS a, s2 AS b, f_skip, r_skip FROM v_oligo_pairs"
 _PAIR_SRC0 = "SELECT pair_id AS id, s1 AS a, s2 AS b, 0 AS f_skip, 0 AS r_skip FROM v_oligo_pairs"
 
@@ -267,14 +282,10 @@ SELECT p.pair_id, CAST(coalesce(max(t.c),0) AS INTEGER) AS total, CAST(coalesce(
     "melting_temperature": duck_with(["v_binding"], "SELECT seq_id, round(tm,6) AS tm FROM v_binding LEFT JOIN tmv ON id = seq_id",
         {"tm_in": "SELECT seq_id AS id, seq AS s FROM v_binding WHERE seq NOT LIKE '%N%'", "tmv": _TM}),
     "dimer_energy": duck_with(["v_oligo_pairs"], "SELECT id AS pair_id, round(e/100.0::DOUBLE,2) AS dg, CAST(-trunc(e/100.0::DOUBLE) AS BIGINT) AS score FROM ov_scores", overlap_ctes(_PAIR_SRC0)),
-    "hairpin_energy": duck_with(["v_oligo_pairs"], """
-SELECT p.pair_id, round(coalesce(min(e),0)/100.0::DOUBLE,2) AS dg FROM v_oligo_pairs p LEFT JOIN (
-  SELECT pair_id, d, g, sum(CASE WHEN rn > 1 THEN dg ELSE 0 END) AS e FROM (
-    SELECT h.*, row_number() OVER (PARTITION BY pair_id, d, g ORDER BY i) AS rn FROM h) LEFT JOIN """ + _STEPS + """ ON step = substr(s,CAST(i-1 AS BIGINT),2) GROUP BY 1,2,3) USING (pair_id) GROUP BY 1""", {
-        "hb": "SELECT pair_id, s1||s2 AS s, unnest(range(1,length(s1||s2)+1)) AS i, unnest(string_split(s1||s2,'')) AS base FROM v_oligo_pairs",
-        "h": """SELECT pair_id, s, i, d, i - row_number() OVER (PARTITION BY pair_id, d ORDER BY i) AS g FROM (
-  SELECT x.pair_id, x.s, x.i, x.i+y.i AS d FROM hb x JOIN hb y ON x.pair_id=y.pair_id AND y.i-x.i > 3 AND y.base = translate(x.base,'ATCG','TAGC'))""",
-    }),
+    "hairpin_energy": duck_with(["v_oligo_pairs"], *_hairpins("v_oligo_pairs", "s1||s2")),
+    "dimer_energy_long": duck_with(["v_long_pairs"], "SELECT id AS pair_id, round(e/100.0::DOUBLE,2) AS dg, run, total FROM ov_scores", overlap_ctes(
+        "SELECT pair_id AS id, s1 AS a, s2 AS b, 0 AS f_skip, 0 AS r_skip FROM v_long_pairs")),
+    "hairpin_energy_long": duck_with(["v_long_pairs"], *_hairpins("v_long_pairs", "s1")),
     "gc_band": duck_with(["v_binding"], """
 SELECT seq_id, round(gc,6) AS gc, CAST(least(floor(gc*10),9) AS INTEGER) AS band FROM (SELECT seq_id, length(regexp_replace(seq,'[^GC]','','g'))/length(seq)::DOUBLE AS gc FROM v_binding)"""),
     "check_sites_in_bounds": duck_with([], "SELECT target, site FROM (SELECT target, unnest([a,b]) AS site FROM td) WHERE site <= 200 OR site >= 4800", {"td": _TARGET_DOCS}),

@@ -141,6 +141,17 @@ def oligo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two oligos per supplier, the first of 61 to 90 bases, the second of 20 to 90."""
+    key = F.col("s_suppkey")
+    both = [F.concat(*(_dna(_digest(f"{tag}{i}", key)) for i in range(3))) for tag in ("lx", "ly")]
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("pair_id"),
+        F.substring(both[0], F.lit(1), 61 + F.pmod(key, F.lit(30)).cast("int")).alias("s1"),
+        F.substring(both[1], F.lit(1), 20 + F.pmod(key * 7, F.lit(71)).cast("int")).alias("s2"),
+    )
+
+
 def panel_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels of four loci: adapters and binding sequences per direction."""
     key = F.col("s_suppkey")
@@ -386,6 +397,11 @@ SELECT p_partkey AS seq_id,
 SELECT p_partkey AS pair_id, substr(translate(md5('x'||p_partkey),{_T}),1,14+p_partkey%9) AS s1,
   substr(translate(md5('y'||p_partkey),{_T}),1,12+p_partkey%11) AS s2,
   CAST(p_partkey%5 AS INTEGER) AS f_skip, CAST(p_partkey%7 AS INTEGER) AS r_skip FROM part""",
+    "v_long_pairs": f"""
+SELECT s_suppkey AS pair_id,
+  substr(translate(md5('lx0'||s_suppkey)||md5('lx1'||s_suppkey)||md5('lx2'||s_suppkey),{_T}),1,CAST(61+s_suppkey%30 AS INTEGER)) AS s1,
+  substr(translate(md5('ly0'||s_suppkey)||md5('ly1'||s_suppkey)||md5('ly2'||s_suppkey),{_T}),1,CAST(20+s_suppkey*7%71 AS INTEGER)) AS s2
+FROM supplier""",
     "v_panel_seqs": f"""
 SELECT s_suppkey // 4 AS panel_id, CAST(s_suppkey % 4 AS INTEGER) AS i,
   substr(translate(md5('fb'||s_suppkey),{_T}),1,14) AS f_bind, substr(translate(md5('rb'||s_suppkey),{_T}),1,14) AS r_bind,
