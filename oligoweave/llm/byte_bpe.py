@@ -1,20 +1,21 @@
 """Byte-level BPE encoding and decoding with a rank queue.
 
-Each pre-token starts as a linked list of bytes. Every adjacent pair that is a token
-stands in the bucket of its merge rank; a bitmap of three levels marks the buckets that
-hold something, so the lowest rank is found by three find-first-set steps. Merging a pair
-re-files the two pairs beside it; entries of pairs that are gone are skipped when they
-come up. The cost of a pre-token is its length times the cost of a bucket, also where a
-pre-token is a whole text.
+The pre-tokens of a block of texts stand in one linked list of tokens, bytes at first.
+Every adjacent pair of a pre-token that can merge stands in the bucket of its merge rank;
+a bitmap of three levels marks the buckets that hold something, so the lowest rank is
+found by three find-first-set steps. A bucket is merged as a whole, left to right, which
+re-files the pairs beside each merge; entries of pairs that are gone are skipped when they
+come up. The cost of a pre-token grows with its length alone, also where it is a whole
+text, and pre-tokens do not meet, so it does not matter how many share a queue.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from oligoweave.llm.common import rows_of, text_or_empty, tokenizer_file
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: Characters of texts whose new pre-tokens share a queue.
+BLOCK = 6_000_000
 
 
 class RankBitmap:
@@ -64,8 +67,15 @@ class ByteBpe:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self._marks = RankBitmap(max(ranks.values()) + 1)
-        self._buckets: dict[int, list[int]] = {}
+        self._bytes = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+        pairs = {
+            (ranks[token[:i]] << 32) + ranks[token[i:]]: rank
+            for token, rank in ranks.items()
+            for i in range(1, len(token))
+            if token[:i] in ranks and token[i:] in ranks
+        }
+        self._pairs = np.array(sorted(pairs), np.int64)
+        self._merged = np.array([pairs[x] for x in self._pairs.tolist()], np.int64)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
@@ -75,56 +85,85 @@ class ByteBpe:
     def pre_tokens(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def _file(self, rank: int, at: int) -> None:
-        bucket = self._buckets.get(rank)
-        if bucket is None:
-            self._buckets[rank] = [at]
-            self._marks.add(rank)
-        else:
-            heapq.heappush(bucket, at)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: a whole token by itself, else the merges of least rank, leftmost first."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        get, buckets, n = self.ranks.get, self._buckets, len(piece)
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        for at, rank in enumerate(pairs):
-            if rank >= 0:
-                self._file(rank, at)
-        while (rank := self._marks.first()) >= 0:
-            bucket = buckets[rank]
-            at = heapq.heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                self._marks.remove(rank)
-            if pairs[at] != rank:
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs of tokens, -1 where they do not merge."""
+        wanted = (left << 32) + right
+        at = np.minimum(np.searchsorted(self._pairs, wanted), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == wanted, self._merged[at], -1)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens: a whole token by itself, else the merges of least rank, leftmost first."""
+        out = [[whole] if (whole := self.ranks.get(x)) is not None else [] for x in pieces]
+        split = [i for i, x in enumerate(pieces) if x and not out[i]]
+        if split:
+            for i, ids in zip(split, self._queue([pieces[i] for i in split]), strict=True):
+                out[i] = ids
+        return out
+
+    def _queue(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        token = self._bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        n = len(token)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(lengths) - lengths
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[starts + lengths - 1] = -1
+        before[starts] = -1
+        alive = np.ones(n, bool)
+        pair = np.full(n, -1)
+        buckets: dict[int, list[np.ndarray]] = {}
+        marks = RankBitmap(len(self.tokens) + 256)
+
+        def file(at: np.ndarray) -> None:
+            """Work out the ranks of the pairs at these places and put them into their buckets."""
+            follower = after[at]
+            rank = np.where(follower >= 0, self._rank(token[at], token[follower]), -1)
+            pair[at] = rank
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            if len(at):
+                order = np.argsort(rank, kind="stable")
+                at, rank = at[order], rank[order]
+                cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+                ranks = rank[np.concatenate([[0], cuts])].tolist()
+                bounds = [0, *cuts.tolist(), len(at)]
+                for i, r in enumerate(ranks):
+                    held = buckets.get(r)
+                    if held is None:
+                        buckets[r] = [at[bounds[i] : bounds[i + 1]]]
+                        marks.add(r)
+                    else:
+                        held.append(at[bounds[i] : bounds[i + 1]])
+
+        file(np.arange(n))
+        while (rank := marks.first()) >= 0:
+            held = buckets.pop(rank)
+            marks.remove(rank)
+            at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            at = at[pair[at] == rank]
+            if not len(at):
                 continue
-            gone = ends[at]
-            end = ends[at] = ends[gone]
-            pairs[gone] = -1
-            if end < n:
-                before[end] = at
-                pairs[at] = get(piece[at : ends[end]], -1)
-            else:
-                pairs[at] = -1
-            if pairs[at] >= 0:
-                self._file(pairs[at], at)
+            if len(at) > 1:  # of pairs that overlap in a row, every second one is left to merge
+                nth = np.arange(len(at))
+                free = np.ones(len(at), bool)
+                free[1:] = after[at[:-1]] != at[1:]
+                if not free.all():
+                    at = at[(nth - np.maximum.accumulate(np.where(free, nth, 0))) % 2 == 0]
+            gone = after[at]
+            follower = after[gone]
+            alive[gone] = False
+            pair[gone] = -1
+            token[at] = rank
+            after[at] = follower
+            on = follower >= 0
+            before[follower[on]] = at[on]
             left = before[at]
-            if left >= 0:
-                pairs[left] = get(piece[left:end], -1)
-                if pairs[left] >= 0:
-                    self._file(pairs[left], left)
-        ids, at = [], 0
-        while at < n:
-            ids.append(self.ranks[piece[at : ends[at]]])
-            at = ends[at]
-        return ids
+            file(np.unique(np.concatenate([at, left[left >= 0]])))
+        ids = token[alive].tolist()
+        ends = np.cumsum(np.add.reduceat(alive.astype(np.int64), starts)).tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield ids[a:b]
 
     def encode(self, text: str) -> list[int]:
-        return [x for piece in self.pre_tokens(text) for x in self.encode_piece(piece.encode())]
+        return [x for ids in self.encode_pieces([piece.encode() for piece in self.pre_tokens(text)]) for x in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -166,35 +205,29 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(rank_file)
         pieces: dict[str, tuple] = {}
-
-        def value(piece: str) -> tuple:
-            ids = bpe.encode_piece(piece.encode())
-            return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
+        written = {x: str(x) for x in bpe.tokens}
 
         def values(chunks: list[str]) -> list[tuple]:
-            if len(pieces) > 200_000:
+            if len(pieces) > 300_000:
                 pieces.clear()
+            split = [bpe.pre_tokens(chunk) for chunk in chunks]
+            new = sorted({piece for parts in split for piece in parts if piece not in pieces})
+            for piece, ids in zip(new, bpe.encode_pieces([x.encode() for x in new]), strict=True):
+                pieces[piece] = len(ids), " ".join([written[x] for x in ids]), bpe.decode(ids)
             out = []
-            for chunk in chunks:
-                parts = []
-                for piece in bpe.pre_tokens(chunk):
-                    part = pieces.get(piece)
-                    if part is None:
-                        part = value(piece)
-                        if len(piece) < 100:
-                            pieces[piece] = part
-                    parts.append(part)
+            for parts in split:
                 if len(parts) == 1:
-                    out.append(parts[0])
+                    out.append(pieces[parts[0]])
                 else:
-                    out.append((sum(x[0] for x in parts), " ".join(x[1] for x in parts), b"".join(x[2] for x in parts)))
+                    found = [pieces[x] for x in parts]
+                    out.append((sum(x[0] for x in found), " ".join([x[1] for x in found]), b"".join([x[2] for x in found])))
             return out
 
         memory = ChunkValues(values, bpe.pre_tokens)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n, ids_sha, bytes_sha = [], [], []
-            for block in text_blocks(texts):
+            for block in text_blocks(texts, BLOCK):
                 for found in memory.of([texts[i] for i in block]):
                     n.append(sum(x[0] for x in found))
                     ids_sha.append(hashlib.sha256(" ".join(x[1] for x in found if x[0]).encode()).hexdigest())
