@@ -32,7 +32,6 @@ def brute_overlap(a, b, f_skip, r_skip):
 
 def brute_energy(a, b):
     table = C.step_table()
-    a, b = a[-60:], b[-60:]
     if len(a) < len(b):
         a, b = b, a
     rc = b.translate(SWAP)[::-1]
