@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oligoweave.functions import constants as C
@@ -22,11 +22,18 @@ def iupac_pairs(spark: SparkSession) -> DataFrame:
 
 
 def conservation_weights(spark: SparkSession, shortest: int = 5, longest: int = 100) -> DataFrame:
-    """(len, weights): the last five bases share half of the weight, more in short primers.
+    """(len, weights) of a range of lengths."""
+    return spark.range(shortest, longest + 1).select(F.col("id").cast("int").alias("len")).select(
+        "len", weights_of(F.col("len")).alias("weights")
+    )
+
 
-    Within the last five the share grows as ((x + 3) / 6) ^ (x + 3) + 1; the rest is even.
+def weights_of(n: Column) -> Column:
+    """Weights of a region of n bases: the last five share half of the weight, more in short primers.
+
+    Within the last five the share grows as ((x + 3) / 6) ^ (x + 3) + 1; the rest is even. A
+    region of fewer than five has the end of that curve, scaled to the whole weight.
     """
-    n = F.col("len")
     short = F.when(n <= 15, (n - 5) / 10.0).otherwise(F.lit(1.0))
     tail_share = 0.5 * (2 - short)
     head_share = 0.5 * short
@@ -37,9 +44,9 @@ def conservation_weights(spark: SparkSession, shortest: int = 5, longest: int =
     head = F.when(n > 5, F.array_repeat(head_share / (n - 5), (n - 5).cast("int"))).otherwise(
         F.array().cast("array<double>")
     )
-    return spark.range(shortest, longest + 1).select(F.col("id").cast("int").alias("len")).select(
-        "len", F.concat(head, tail).alias("weights")
-    )
+    few = F.slice(F.array(*[F.lit(v) for v in curve]), 6 - n, n)
+    scaled = F.transform(few, lambda v: v / F.aggregate(few, F.lit(0.0), lambda a, x: a + x))
+    return F.when(n >= 5, F.concat(head, tail)).otherwise(scaled)
 
 
 def arrangements(spark: SparkSession, states: int, positions: int) -> DataFrame:

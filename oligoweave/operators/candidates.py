@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oligoweave.functions import sequence as S
-from oligoweave.functions.dimensions import conservation_weights
+from oligoweave.functions.dimensions import weights_of
 
 TARGET = ["panel_id", "target"]
 # Columns per bucket of the interval join.
@@ -321,11 +321,10 @@ def enumerate_single_regions(windows: DataFrame, profiles: DataFrame) -> DataFra
     """
     profiled = window_profiles(windows, profiles)
     rows = _side_regions(profiled, "F").unionByName(_side_regions(profiled, "R"))
-    weights = F.broadcast(conservation_weights(windows.sparkSession))  # 96 rows by definition
-    product = F.zip_with("cons", "weights", lambda x, w: x * w)
+    product = F.zip_with("cons", weights_of(F.col("len")), lambda x, w: x * w)
     total = F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
     plain = F.aggregate(F.col("cons"), F.lit(0.0), lambda acc, x: acc + x)
-    return rows.join(weights, "len").select(
+    return rows.select(
         *TARGET, "aln_id", "side", "five_p", "len", "seq",
         total.alias("weighted"),
         (plain / F.col("len")).alias("mean_cons"),

@@ -13,7 +13,7 @@ from oligoweave.functions import constants as C
 from oligoweave.functions import dimensions as D
 from oligoweave.functions import sequence as S
 from oligoweave.operators.ranking import top_n
-from oligoweave.session import cut_lineage
+from oligoweave.session import cut_lineage, scratch_path
 
 COMBO = ["s1", "s2", "s3", "s4"]
 
@@ -398,27 +398,27 @@ def successive_elimination(
     In round i the cells with (r - f) mod n = i are scored; from round ``first`` on, every
     ``every`` rounds, the row and the column with the highest mean so far drop out. Each
     elimination is one aggregate over all matrices at once; dropped rows and columns are
-    two values per matrix. The survivors are written out after each elimination, so the
-    plan does not grow with the rounds.
+    two values per matrix. What was scored since the last elimination is added to one table,
+    and the survivors are written out after each, so the plan does not grow with the rounds.
     """
-    seen, alive = None, cut_lineage(matrix.withColumn("visit", D.latin_round("f", "r", n)))
-    for i in range(rounds):
-        if i >= first and (i - first) % every == 0:
-            means = halfset_averages(seen, keys)
-            active = alive.select(*keys, F.lit("F").alias("dir"), F.col("f").alias("idx")).unionByName(
-                alive.select(*keys, F.lit("R").alias("dir"), F.col("r").alias("idx"))
-            ).distinct()
-            worst = cut_lineage(
-                means.join(active, [*keys, "dir", "idx"], "left_semi").groupBy(*keys, "dir").agg(
-                    F.min_by("idx", F.struct(-F.round("mean_score", 9), "idx")).alias("out")
-                )
+    alive = cut_lineage(matrix.withColumn("visit", D.latin_round("f", "r", n)))
+    path, start = scratch_path(matrix.sparkSession, "played"), 0
+    for i in range(first, rounds, every):
+        alive.where((F.col("visit") >= start) & (F.col("visit") < i)).write.mode("append").parquet(path)
+        start = i
+        means = halfset_averages(matrix.sparkSession.read.schema(alive.schema).parquet(path), keys)
+        active = alive.select(*keys, F.lit("F").alias("dir"), F.col("f").alias("idx")).unionByName(
+            alive.select(*keys, F.lit("R").alias("dir"), F.col("r").alias("idx"))
+        ).distinct()
+        worst = cut_lineage(
+            means.join(active, [*keys, "dir", "idx"], "left_semi").groupBy(*keys, "dir").agg(
+                F.min_by("idx", F.struct(-F.round("mean_score", 9), "idx")).alias("out")
             )
-            for direction, column in (("F", "f"), ("R", "r")):
-                gone = worst.where(F.col("dir") == direction).select(*keys, F.col("out").alias(column))
-                alive = alive.join(gone, [*keys, column], "left_anti")
-            alive = cut_lineage(alive)
-        played = alive.where(F.col("visit") == i)
-        seen = played if seen is None else seen.unionByName(played)
+        )
+        for direction, column in (("F", "f"), ("R", "r")):
+            gone = worst.where(F.col("dir") == direction).select(*keys, F.col("out").alias(column))
+            alive = alive.join(gone, [*keys, column], "left_anti")
+        alive = cut_lineage(alive)
     return alive
 
 

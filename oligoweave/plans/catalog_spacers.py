@@ -175,7 +175,7 @@ def genset_batch(s, d):
 
 
 def elimination(s, d):
-    return H.successive_elimination(matrix(s, d), ["run"], 35, 3, 2, 8).select("run", "f", "r")
+    return H.successive_elimination(matrix(s, d), ["run"], 35, 3, 2, 35).select("run", "f", "r")
 
 
 def text(column):
@@ -455,7 +455,7 @@ ORACLE = {
     "pairing_scores": duck_with(_VS, "SELECT * FROM pp", _PAIRS),
     "best_pairing": duck_with(_VS, "SELECT * FROM bpair", _PAIRS),
     "halfset_averages": duck_with(["v_score_matrix"], "SELECT run, 'F' AS dir, f AS idx, round(avg(score),6) AS mean_score FROM mx GROUP BY 1,3 UNION ALL SELECT run, 'R', r, round(avg(score),6) FROM mx GROUP BY 1,3", _MAT),
-    "successive_elimination": duck_with(["v_score_matrix"], "SELECT * FROM survivors", {**_MAT, **_elimination_sql(35, 3, 2, 8)}),
+    "successive_elimination": duck_with(["v_score_matrix"], "SELECT * FROM survivors", {**_MAT, **_elimination_sql(35, 3, 2, 35)}),
     "score_matrix_pivot": duck_with(["v_score_matrix"], "SELECT run, r, round(avg(score),6) AS mean_score, " + ", ".join(f"max(score) FILTER (f={i}) AS f{i}" for i in range(35)) + " FROM mx GROUP BY 1,2", _MAT),
     "filter_summary": duck_with(_VS, """SELECT x.locus, n_sets, n_compared, round(avg_f,6) AS avg_f, round(avg_r,6) AS avg_r, round(avg_pair,6) AS avg_pair, min_f, min_r, min_pair, sf.set_score AS best_f, sr.set_score AS best_r, w.score AS best_pair FROM
   (SELECT locus, count(*) FILTER (dir='F') AS n_sets, avg(set_score) FILTER (dir='F') AS avg_f, avg(set_score) FILTER (dir='R') AS avg_r, min(set_score) FILTER (dir='F') AS min_f, min(set_score) FILTER (dir='R') AS min_r FROM ss GROUP BY 1) x
