@@ -34,7 +34,7 @@ class ChunkValues:
     changes the work, never a value.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], split: Callable[[str], list[str]], limit: int = 4_000_000):
+    def __init__(self, compute: Callable[[list[str]], list], split: Callable[[str], list[str]], limit: int = 8_000_000):
         self._compute, self._split, self._limit = compute, split, limit
         self._spaced: dict[str, object] = {}
         self._plain: dict[str, object] = {}

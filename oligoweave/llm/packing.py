@@ -63,11 +63,22 @@ def tokenized_pieces(
         tokenizer.encode_special_tokens = True
         pre_tokenizer = tokenizer.pre_tokenizer
 
+        mark = tokenizer.encode("\r", add_special_tokens=False).ids
+
         def ids(chunks: list[str]) -> list[bytes]:
-            out = []
-            for at in range(0, len(chunks), 2000):
-                found = tokenizer.encode_batch_fast(chunks[at : at + 2000], add_special_tokens=False)
-                out.extend(np.array(x.ids, "<u4").tobytes() for x in found)
+            """Words after a space go to the tokenizer many at a time, with a sign between them that they do not hold."""
+            joined = [i for i, x in enumerate(chunks) if len(mark) == 1 and x[:1] == " " and "\r" not in x and not x[1:2].isspace() and x[1:] and not x[-1].isspace()]
+            out: list[bytes] = [b""] * len(chunks)
+            lines = ["\r".join([chunks[i] for i in joined[a : a + 500]]) for a in range(0, len(joined), 500)]
+            place = iter(joined)
+            for found in tokenizer.encode_batch_fast(lines, add_special_tokens=False):
+                line = np.array(found.ids, "<u4")
+                blob, cuts = line.tobytes(), (4 * np.flatnonzero(line == mark[0])).tolist()
+                for a, b in zip([0, *(x + 4 for x in cuts)], [*cuts, len(blob)], strict=True):
+                    out[next(place)] = blob[a:b]
+            alone = sorted(set(range(len(chunks))) - set(joined))
+            for i, found in zip(alone, tokenizer.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, "<u4").tobytes()
             return out
 
         def split(text: str) -> list[str]:
