@@ -20,6 +20,18 @@ def rows_of(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[old].alias(new) for new, old in columns.items()))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of the frame has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def tokenizer_file(name: str) -> str:
     """Where a public vocabulary file lies on this machine (looked up in each worker)."""
     import public_tokenizers

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oligoweave.llm.common import rows_of, text_or_empty
+from oligoweave.llm.common import free_names, rows_of, text_or_empty
 from oligoweave.llm.spans import sha256_of, with_added, written, written_column
 from oligoweave.session import cut_lineage
 
@@ -170,11 +170,12 @@ MASK = "[SECRET]"
 def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
     """`df` with each live value of its texts replaced by a mask; other rows and columns as they are."""
     _, judged = scan(df, id_col, text_col, owner_col, most_owners)
+    live_doc, live_key, live_places, key = free_names(df, "live_doc", "live_key", "live_places", "live_text_key")
     places = (
         judged.where("live")
         .groupBy("doc_id", "text_key")
-        .agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("live_places"))
-        .select(F.col("doc_id").alias("live_doc"), F.col("text_key").alias("live_key"), "live_places")
+        .agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("places"))
+        .select(F.col("doc_id").alias(live_doc), F.col("text_key").alias(live_key), F.col("places").alias(live_places))
     )
 
     @F.pandas_udf("string")
@@ -194,8 +195,8 @@ def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype="object")
 
-    keyed = df.withColumn("live_text_key", F.xxhash64(text_or_empty(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("live_doc")) & (F.col("live_text_key") == F.col("live_key"))
+    keyed = df.withColumn(key, F.xxhash64(text_or_empty(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(live_doc)) & (F.col(key) == F.col(live_key))
     joined = keyed.join(places, same, "left")
-    text = F.when(F.col("live_places").isNotNull(), mask(F.col(text_col), F.coalesce("live_places", F.array().cast("array<struct<from:bigint,to:bigint>>"))))
+    text = F.when(F.col(live_places).isNotNull(), mask(F.col(text_col), F.coalesce(live_places, F.array().cast("array<struct<from:bigint,to:bigint>>"))))
     return joined.withColumn(text_col, F.coalesce(text, F.col(text_col))).select(*df.columns)

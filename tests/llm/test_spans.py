@@ -73,7 +73,7 @@ def test_ownership_separates_examples_from_secrets(spark):
     copied, own = "q8ZpT1xV9kLm2Rw7Yb3Nc6", "Zk4tQ9sWm1Xv7Lp2Hd8Rj5"
     rows = [(i, f"key {copied} end", f"owner{i}", "x") for i in range(10)] + [(20, f"see {own} and token = '{own}'", "owner1", "x")]
     rows += [(21, None, None, None), (None, "password: hunter2hunter2", None, None), (22, "", "owner1", "x"), (22, "", "owner1", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, owner string").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, live_doc string").repartition(3)
     got = {r.doc_id: r for r in secrets.secret_spans(df).collect()}
     assert len(got) == 14 and secrets.secret_spans(df).count() == 15
     assert got[0].spans == "" and got[0].n_copied == 1 and got[0].n_live == 0
