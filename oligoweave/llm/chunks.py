@@ -57,8 +57,8 @@ class ChunkValues:
             plain_new.update(x for x in start if x not in self._plain)
             plain.append(start)
             spaced.append(rest)
-        self._learn(self._plain, sorted(plain_new), "")
-        self._learn(self._spaced, sorted(spaced_new), " ")
+        self._learn(self._plain, list(plain_new), "")
+        self._learn(self._spaced, list(spaced_new), " ")
         for start, rest in zip(plain, spaced, strict=True):
             values = [self._plain[x] for x in start]
             values.extend(map(self._spaced.__getitem__, rest))

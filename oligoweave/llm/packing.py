@@ -69,7 +69,7 @@ def tokenized_pieces(
             """Words after a space go to the tokenizer many at a time, with a sign between them that they do not hold."""
             joined = [i for i, x in enumerate(chunks) if len(mark) == 1 and x[:1] == " " and "\r" not in x and not x[1:2].isspace() and x[1:] and not x[-1].isspace()]
             out: list[bytes] = [b""] * len(chunks)
-            lines = ["\r".join([chunks[i] for i in joined[a : a + 500]]) for a in range(0, len(joined), 500)]
+            lines = ["\r".join([chunks[i] for i in joined[a : a + 40]]) for a in range(0, len(joined), 40)]
             place = iter(joined)
             for found in tokenizer.encode_batch_fast(lines, add_special_tokens=False):
                 line = np.array(found.ids, "<u4")
