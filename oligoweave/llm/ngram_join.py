@@ -10,11 +10,12 @@ Three steps, each exact:
 2. Order. The sets that stay are ordered by the frequency of their shingles, the rarest
    first. Two similar sets share a shingle of their prefixes. Each set is compared with
    the set it meets most often there, and what links is one component from then on.
-3. Prefix trees. Only sets of different components that share a prefix shingle are left.
-   For each two such components the sets of one are kept as a trie of ordered shingles;
-   those of the other traverse it, overlaps of a common path are counted once, and a
-   subtree is left as soon as too few shingles remain. The first link found joins the two
-   components, so copies are never expanded into pairs.
+3. Prefix trees. Only sets of different components that share a prefix shingle are left,
+   and of these only such as have enough shingles of other components. For each two
+   components that meet, these sets are kept as a trie of ordered shingles and traversed:
+   overlaps of a common path are counted once, and a subtree is left as soon as too few
+   shingles remain. The first link found joins the two components, so copies are never
+   expanded into pairs.
 
 Sets are compared by 64-bit hashes of their shingles.
 """
@@ -22,12 +23,11 @@ Sets are compared by 64-bit hashes of their shingles.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oligoweave.llm.common import rows_of, text_or_empty
+from oligoweave.llm.common import free_names, rows_of, text_or_empty
 from oligoweave.llm.graph import components
 from oligoweave.llm.shingles import WORDS, Shingler, sets_of, spread
 from oligoweave.session import cut_lineage
@@ -36,6 +36,8 @@ from oligoweave.session import cut_lineage
 NUMERATOR, DENOMINATOR = 3, 4
 #: Share of a set, in twentieths, that the coverage step wants to see again.
 EXTRA = 3
+#: Times that sets without a possible link to another component are put aside.
+REFINED = 2
 #: Sets of a component that one task takes at a time.
 SIDE = 512
 
@@ -147,11 +149,16 @@ def _ordered(sets: DataFrame) -> DataFrame:
     return ranked.select("set_id", "n", F.col("ranked.token").alias("tokens"), prefix.cast("int").alias("in_prefix")).where("in_prefix > 0")
 
 
-def _stars(prefixes: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Links (a, b) of sets with the set they share most prefix shingles with among the least of each shingle."""
-    order = F.struct(F.xxhash64(F.lit(turn), "set_id").alias("h"), "set_id")
-    heads = prefixes.groupBy("token").agg(F.min(order)["set_id"].alias("head"))
-    met = prefixes.join(heads, "token").where("head <> set_id").groupBy("set_id", "head").agg(F.count("*").alias("times"))
+def _stars(prefixes: DataFrame, sets: DataFrame, order: Column) -> DataFrame:
+    """Links (a, b) of each set with one other: of the first sets by `order` of its prefix shingles, that of another component which it meets most often.
+
+    prefixes: token, set_id, n, component, and what `order` needs.
+    """
+    first = F.struct(order.alias("order"), "set_id", "component")
+    heads = prefixes.groupBy("token").agg(F.min(first).alias("first")).select(
+        "token", F.col("first.set_id").alias("head"), F.col("first.component").alias("head_component")
+    )
+    met = prefixes.join(heads, "token").where("head_component <> component").groupBy("set_id", "head").agg(F.count("*").alias("times"))
     best = met.groupBy("set_id").agg(F.max_by("head", F.struct("times", "head")).alias("head"))
     own = sets.select("set_id", "n", "tokens")
     other = sets.select(F.col("set_id").alias("head"), F.col("n").alias("m"), F.col("tokens").alias("with"))
@@ -160,98 +167,180 @@ def _stars(prefixes: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def trie_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> tuple[int, int] | None:
-    """The first similar pair (positions) of two lists of (set size, ordered shingles), or None.
+def trie_links(sets: list[tuple[int, np.ndarray, int, int]], apart: bool = False) -> list[tuple[int, int]]:
+    """Similar pairs (positions) that connect the components of these sets: (size, ordered shingles, component, part).
 
-    `right` is sorted, so that its sets are the leaves of a trie in order and neighbours
-    share the path of their common beginning. A traversal counts, per place of the path,
-    the shingles missing in the set of `left`; where more are missing than can be made up
-    for by what remains, all sets below that place are passed over.
+    Sorted, the sets are the leaves of a trie in order, and neighbours share the path of
+    their common beginning. For each set the leaves after it are traversed: `missing` holds,
+    for each place of the path, how many shingles up to there are not in the set, so a
+    common path is counted once; where more are missing than the length that remains can
+    make up for, all leaves below that place are passed over. Sets of one component are not
+    compared, nor, if `apart`, sets of one part.
     """
-    known = {x: i for i, x in enumerate(dict.fromkeys(int(t) for _, s in right for t in s))}
-    paths = sorted((([known[int(t)] for t in s], n, j) for j, (n, s) in enumerate(right)), key=lambda x: x[0])
+    paths = sorted(((s.tolist(), n, c, part, j) for j, (n, s, c, part) in enumerate(sets)), key=lambda x: x[0])
     common = [0]
     for (a, *_), (b, *_) in zip(paths, paths[1:], strict=False):
         depth = 0
-        while depth < len(a) and depth < len(b) and a[depth] == b[depth]:
+        for x, y in zip(a, b, strict=False):
+            if x != y:
+                break
             depth += 1
         common.append(depth)
-    scale = NUMERATOR + DENOMINATOR
-    for i, (n, s) in enumerate(left):
-        inside = {known[int(t)] for t in s if int(t) in known}
-        missing, stopped = [0], None
-        for (path, m, j), shared in zip(paths, common, strict=True):
+    parent = {x[2]: x[2] for x in paths}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    scale, links = NUMERATOR + DENOMINATOR, []
+    for i, (own, n, component, part, left) in enumerate(paths):
+        inside, missing, here = set(own), [0] * (len(own) + 1), root(component)
+        for (path, m, other, other_part, right), shared in zip(paths[i + 1 :], common[i + 1 :], strict=True):
+            if shared < len(missing) - 1:
+                del missing[shared + 1 :]
             wanted = -(-NUMERATOR * (n + m) // scale)
             allowed = len(path) - wanted
-            if len(inside) < wanted or allowed < 0:
-                if shared < len(missing) - 1:
-                    del missing[shared + 1 :]
-                    stopped = None
-                if stopped is None:
-                    stopped = len(missing) - 1
-                continue
-            if stopped is not None and shared >= stopped and missing[stopped] > allowed:
-                continue
-            del missing[min(shared, len(missing) - 1) + 1 :]
-            stopped = None
             count = missing[-1]
+            if count > allowed or len(own) < wanted or (apart and part == other_part) or root(other) == here:
+                continue
             for t in path[len(missing) - 1 :]:
-                if count > allowed:
-                    break
                 count += t not in inside
                 missing.append(count)
+                if count > allowed:
+                    break
             if count <= allowed:
-                return i, j
-            stopped = len(missing) - 1
-    return None
-
-
-def _tree_join(rows: pd.DataFrame) -> pd.DataFrame:
-    sides = [rows[rows["side"] == x].sort_values("set_id") for x in (0, 1)]
-    lists = [list(zip(x["n"].tolist(), x["tokens"], strict=True)) for x in sides]
-    found = trie_links(*lists)
-    if not found:
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    return pd.DataFrame({"a": [sides[0]["set_id"].iloc[found[0]]], "b": [sides[1]["set_id"].iloc[found[1]]]})
+                links.append((left, right))
+                parent[root(other)] = here
+    return links
+
+
+def _tree_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of groups (c1, c2, p0, p1; set_id, n, component, tokens), sorted by group: links between their components."""
+    key, ids, sets = None, [], []
+    links: tuple[list, list] = ([], [])
+
+    def close() -> None:
+        for i, j in trie_links(sets):
+            links[0].append(ids[i])
+            links[1].append(ids[j])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        set_id, n, component = (batch.column(i).to_pylist() for i in range(4, 7))
+        tokens = batch.column(7)
+        values, offsets = tokens.flatten().to_numpy(), (tokens.offsets.to_numpy() - tokens.offsets[0].as_py()).tolist()
+        for row, own in enumerate(keys):
+            if own != key:
+                if key is not None:
+                    close()
+                key, ids, sets = own, [], []
+            ids.append(set_id[row])
+            sets.append((n[row], values[offsets[row] : offsets[row + 1]].copy(), component[row], 0))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
+        links[0].clear()
+        links[1].clear()
+    if key is not None:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
 
 def _across(prefixes: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share prefix shingles; prefixes: token, set_id, n, component."""
-    mixed = prefixes.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    left = cut_lineage(prefixes.join(mixed, "token"))
-    held = left.groupBy("token", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    """Links (a, b) that connect components; prefixes: token, set_id, n, component of shingles that several have.
+
+    Two components meet on a shingle if their sizes allow a link; those of their sets that
+    have such a shingle are one trie. Sides of more than SIDE sets are dealt into parts.
+    """
+    held = prefixes.groupBy("token", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"))
     one = held.select("token", F.col("component").alias("c1"), F.col("small").alias("small1"), F.col("large").alias("large1"))
     two = held.select("token", F.col("component").alias("c2"), F.col("small").alias("small2"), F.col("large").alias("large2"))
     fits = (F.col("c1") < F.col("c2")) & (F.col("large1") * DENOMINATOR >= F.col("small2") * NUMERATOR) & (F.col("large2") * DENOMINATOR >= F.col("small1") * NUMERATOR)
     meets = cut_lineage(one.join(two, "token").where(fits).select("token", "c1", "c2"))
     sides = [
-        meets.join(left.select("token", "set_id", F.col("component").alias(c)), ["token", c]).select("c1", "c2", "set_id").distinct().withColumn("side", F.lit(i))
+        meets.join(prefixes.select("token", "set_id", F.col("component").alias(c)), ["token", c])
+        .select("c1", "c2", "set_id", F.col(c).alias("component"), F.lit(i).alias("side"))
+        .distinct()
         for i, c in enumerate(("c1", "c2"))
     ]
     members = cut_lineage(sides[0].union(sides[1]))
-    sizes = members.groupBy("c1", "c2").agg(
-        *(F.ceil(F.count_if(F.col("side") == i) / SIDE).cast("int").alias(f"parts{i}") for i in (0, 1))
-    )
+    sizes = members.groupBy("c1", "c2").agg(*(F.ceil(F.count_if(F.col("side") == i) / SIDE).cast("int").alias(f"parts{i}") for i in (0, 1)))
     part = [F.pmod(F.xxhash64("set_id"), F.col(f"parts{i}")).cast("int") for i in (0, 1)]
     every = [F.sequence(F.lit(0), F.col(f"parts{i}") - 1) for i in (0, 1)]
     blocks = F.when(F.col("side") == 0, F.transform(every[1], lambda y: F.struct(part[0].alias("p0"), y.alias("p1")))).otherwise(
         F.transform(every[0], lambda x: F.struct(x.alias("p0"), part[1].alias("p1")))
     )
-    placed = members.join(sizes, ["c1", "c2"]).select("c1", "c2", "set_id", "side", F.inline(blocks))
-    full = placed.join(ordered.select("set_id", "n", "tokens"), "set_id")
-    return full.groupBy("c1", "c2", "p0", "p1").applyInPandas(_tree_join, "a long, b long")
+    dealt = members.join(sizes, ["c1", "c2"]).select("c1", "c2", "set_id", "component", F.inline(blocks))
+    full = dealt.join(ordered.select("set_id", "n", "tokens"), "set_id")
+    group = ["c1", "c2", "p0", "p1"]
+    full = full.select(*group, "set_id", "n", "component", "tokens").repartition(*group).sortWithinPartitions(*group, "set_id")
+    return full.mapInArrow(_tree_joins, "a long, b long")
+
+
+def _placed(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+    """prefixes with the component that the links put each set into."""
+    near = components(links)
+    placed = prefixes.drop("component").join(near, prefixes["set_id"] == near["node"], "left")
+    return cut_lineage(placed.withColumn("component", F.coalesce("component", "set_id")).drop("node"))
+
+
+def _mixed(prefixes: DataFrame) -> DataFrame:
+    """The rows of shingles that more than one component has."""
+    several = prefixes.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return prefixes.join(several, "token")
+
+
+def _refined(ordered: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets that can still have a link to another component, ordered anew by how many components have a shingle, and their prefixes.
+
+    Only shingles that another component has can be common to a link between components, so
+    a set stays only if enough of its shingles are such.
+    """
+    members = prefixes.select("set_id", "component").distinct()
+    each = ordered.join(members, "set_id").select("set_id", "n", "component", F.explode("tokens").alias("token"))
+    held = each.groupBy("token", "component").agg(F.count("*").alias("sets")).groupBy("token").agg(F.count("*").alias("components"))
+    ranked = each.join(held.where("components > 1"), "token").groupBy("set_id", "n", "component").agg(
+        F.array_sort(F.collect_list(F.struct("components", "token"))).alias("ranked")
+    )
+    prefix = F.size("ranked") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
+    left = cut_lineage(
+        ranked.select("set_id", "n", "component", F.col("ranked.token").alias("tokens"), prefix.cast("int").alias("in_prefix")).where("in_prefix > 0")
+    )
+    anew = left.select("set_id", "n", "component", F.explode(F.slice("tokens", F.lit(1), F.col("in_prefix"))).alias("token"))
+    return left.drop("component"), cut_lineage(_mixed(anew))
+
+
+def _one_of_equal(prefixes: DataFrame) -> DataFrame:
+    """Of shingles that the very same sets have, such as those of a common line, one."""
+    held = prefixes.groupBy("token").agg(
+        F.count("*").alias("sets"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("mark1"), F.bit_xor(F.xxhash64(F.lit(2), "set_id")).alias("mark2")
+    )
+    kept = held.groupBy("sets", "mark1", "mark2").agg(F.min("token").alias("token")).select("token")
+    return cut_lineage(prefixes.join(kept, "token", "left_semi"))
 
 
 def similar_components(sets: DataFrame) -> DataFrame:
-    """set_id, component of the sets (set_id, n, tokens) that are linked to others, directly or by way of others."""
+    """set_id, component of the sets (set_id, n, tokens) that are linked to others, directly or by way of others.
+
+    Sets are first compared with the one that has the least shingles of its own, which is
+    what a group of copies was made from, then with any. What links that leaves are found
+    between the components.
+    """
     ordered = cut_lineage(_ordered(sets))
-    prefixes = cut_lineage(ordered.select("set_id", "n", F.explode(F.slice("tokens", F.lit(1), F.col("in_prefix"))).alias("token")))
-    links = cut_lineage(_stars(prefixes, ordered, 0).union(_stars(prefixes, ordered, 1)))
-    near = components(links)
-    placed = prefixes.join(near, prefixes["set_id"] == near["node"], "left").select(
-        "token", "set_id", "n", F.coalesce("component", "set_id").alias("component")
+    alone = (F.col("n") - F.size("tokens")) / F.col("n")
+    prefixes = cut_lineage(
+        ordered.select(
+            "set_id", "n", alone.alias("alone"), F.col("set_id").alias("component"), F.explode(F.slice("tokens", F.lit(1), F.col("in_prefix"))).alias("token")
+        )
     )
-    across = cut_lineage(_across(placed, ordered))
+    links = None
+    for order in (F.col("alone"), F.xxhash64("set_id"), F.col("alone")):
+        found = cut_lineage(_stars(prefixes, ordered, order))
+        links = found if links is None else links.union(found)
+        prefixes = cut_lineage(_mixed(_placed(prefixes, links)))
+    for _ in range(REFINED):
+        ordered, prefixes = _refined(ordered, prefixes)
+    across = cut_lineage(_across(_one_of_equal(prefixes), ordered))
     return components(links.union(across)).select(F.col("node").alias("set_id"), "component")
 
 
@@ -286,6 +375,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Rows with a null id cannot be named and stay.
     """
     near = near_duplicates(df, id_col, text_col, words)
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("kept_id"), "left_semi")
+    (name,) = free_names(df, "kept_id")
+    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi")
     return named.dropDuplicates([id_col, text_col]).unionByName(df.where(F.col(id_col).isNull()))

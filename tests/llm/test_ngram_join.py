@@ -76,21 +76,35 @@ def test_shingles_equal_brute_force():
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_trie_finds_a_link_if_there_is_one(seed):
+@pytest.mark.parametrize("apart", [False, True])
+def test_trie_connects_what_all_pairs_connect(seed, apart):
     rng = random.Random(seed)
-    for _ in range(400):
+    for _ in range(300):
         pool = range(rng.choice([6, 12, 30]))
-        sides = [[], []]
-        for side in sides:
-            for _ in range(rng.randrange(1, 7)):
-                s = sorted(rng.sample(pool, rng.randrange(1, len(pool))))
-                side.append((len(s) + rng.randrange(2), np.array(s)))
+        sets = []
+        for i in range(rng.randrange(2, 12)):
+            s = sorted(rng.sample(pool, rng.randrange(1, len(pool))))
+            sets.append((len(s) + rng.randrange(2), np.array(s), rng.choice([i, 100]), rng.randrange(2)))
         pairs = {
-            (i, j) for i, (n, a) in enumerate(sides[0]) for j, (m, b) in enumerate(sides[1])
-            if 7 * len(set(a) & set(b)) >= 3 * (n + m)
+            (i, j) for i, (n, a, _, p) in enumerate(sets) for j, (m, b, _, q) in enumerate(sets)
+            if i < j and 7 * len(set(a) & set(b)) >= 3 * (n + m) and not (apart and p == q)
         }
-        found = ngram_join.trie_links(*sides)
-        assert (found in pairs) if pairs else found is None
+        found = ngram_join.trie_links(sets, apart)
+        assert {tuple(sorted(x)) for x in found} <= pairs
+
+        def groups(links):
+            parent = {s[2]: s[2] for s in sets}
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for i, j in links:
+                parent[root(sets[i][2])] = root(sets[j][2])
+            return {frozenset(x for x in parent if root(x) == r) for r in map(root, parent)}
+
+        assert groups(found) == groups(pairs)
 
 
 @pytest.mark.parametrize("seed", range(3))
