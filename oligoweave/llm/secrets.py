@@ -3,9 +3,10 @@
 Each whole text is searched for credentials: assignments, access keys, long hex numbers,
 and loose tokens that mix letters and digits like a generated key. The values are hashed,
 and Spark counts, over all documents, in how many repositories and of how many owners each
-value stands. A value of many owners is an example that people copy; one of few owners that
-looks generated is a live credential. Loose tokens become spans only if they are live.
-Owners are the `source` of a document, repositories the documents.
+value stands. A value of many owners or in many repositories is an example that people copy;
+one of few owners and repositories that looks generated is a live credential. Loose tokens
+become spans only if they are live. Owners are the `source` of a document, repositories the
+distinct texts, so copies of a document are one repository.
 """
 
 import hashlib
@@ -25,6 +26,8 @@ from oligoweave.session import cut_lineage
 
 #: More owners than this make a value an example.
 MOST_OWNERS = 3
+#: So do more repositories than this, also of one owner.
+MOST_REPOSITORIES = 10
 #: Bits a character that a live-looking value has at least.
 LEAST_BITS = 2.5
 
@@ -116,43 +119,45 @@ def ownership(uses: DataFrame) -> DataFrame:
     task, then one row per owner.
     """
     by_repository = uses.groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
-    by_owner = by_repository.groupBy("value", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repositories"))
-    return by_owner.groupBy("value").agg(
-        F.sum("n").alias("n_uses"), F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners")
-    )
+    by_owner = by_repository.groupBy("value", "owner").agg(F.sum("n").alias("n"))
+    owners = by_owner.groupBy("value").agg(F.sum("n").alias("n_uses"), F.count("*").alias("n_owners"))
+    repositories = uses.select("value", "repository").distinct().groupBy("value").agg(F.count("*").alias("n_repositories"))
+    return owners.join(repositories, "value").select("value", "n_uses", "n_repositories", "n_owners")
 
 
 def scan(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
 ) -> tuple[DataFrame, DataFrame]:
     """Two frames: documents, and the judged candidates of each document.
 
     Documents, one per row of `df`: row_id, doc_id, text_key, n_assign, n_access, n_hex,
     base_sha256, spans (base spans). Candidates: row_id, doc_id, text_key, the span (nth,
     kind, start, end), the value's place (from, to), n_uses, n_repositories, n_owners,
-    live. Null text counts as empty, a null owner is an owner, a null id a repository;
-    repeated rows are uses of one repository. Only what was found is written and shuffled,
+    live. Null text counts as empty, a null owner is an owner; rows of one text are uses of
+    one repository. Only what was found is written and shuffled,
     not the texts.
     """
     rows = rows_of(df, doc_id=id_col, text=text_col, owner=owner_col).withColumn("text", text_or_empty())
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "owner", "text")
     found = cut_lineage(rows.mapInArrow(_scan, FOUND).withColumn("row_id", F.monotonically_increasing_id()))
     uses = found.select("row_id", "doc_id", "text_key", "owner", F.inline("candidates"))
-    seen = ownership(uses.select("value", "owner", F.col("doc_id").alias("repository")))
-    few = seen.where(F.col("n_owners") <= most_owners)
+    seen = ownership(uses.select("value", "owner", F.col("text_key").alias("repository")))
+    few = seen.where((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories))
     judged = uses.join(few, "value", "left").withColumn("live", F.col("likely") & F.col("n_owners").isNotNull()).drop("value", "owner", "likely")
     return found.drop("owner", "candidates"), judged
 
 
 def secret_spans(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
 ) -> DataFrame:
     """Per row of `df`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     `spans` holds the base spans and the live loose tokens, by start and kind; n_live and
-    n_copied count the candidates that look live and those of more owners than a secret has.
+    n_copied count the candidates that look live and those of more owners or repositories than a secret has.
     """
-    found, judged = scan(df, id_col, text_col, owner_col, most_owners)
+    found, judged = scan(df, id_col, text_col, owner_col, most_owners, most_repositories)
     counts = judged.groupBy("row_id").agg(
         F.count_if("live").alias("n_live"), F.count_if(F.col("n_owners").isNull()).alias("n_copied")
     )
@@ -167,9 +172,12 @@ def secret_spans(
 MASK = "[SECRET]"
 
 
-def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def masked(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = MOST_OWNERS,
+    most_repositories: int = MOST_REPOSITORIES,
+) -> DataFrame:
     """`df` with each live value of its texts replaced by a mask; other rows and columns as they are."""
-    _, judged = scan(df, id_col, text_col, owner_col, most_owners)
+    _, judged = scan(df, id_col, text_col, owner_col, most_owners, most_repositories)
     live_doc, live_key, live_places, key = free_names(df, "live_doc", "live_key", "live_places", "live_text_key")
     places = (
         judged.where("live")

@@ -87,6 +87,20 @@ def test_ownership_separates_examples_from_secrets(spark):
     assert secrets.secret_spans(df.limit(0)).count() == 0
 
 
+def test_values_wide_within_one_source_are_examples(spark):
+    wide, own = "q8ZpT1xV9kLm2Rw7Yb3Nc6", "Zk4tQ9sWm1Xv7Lp2Hd8Rj5"
+    rows = [(i, f"page {i} has key {wide} end", "hot") for i in range(40)] + [(100 + i, f"see {own} here", f"s{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in secrets.secret_spans(df).collect()}
+    assert all(got[i] == ("", 0, 1) for i in range(40))
+    assert all(got[100 + i] == (f"token:4:{4 + len(own)}", 1, 0) for i in range(40))
+    texts = {r.doc_id: r.text for r in secrets.masked(df).collect()}
+    assert texts[3] == rows[3][1] and texts[103] == f"see {secrets.MASK} here"
+    uses = [(b"v", "a", 1), (b"v", "b", 1), (b"v", "b", 2), (b"v", "b", 2)]
+    seen = secrets.ownership(spark.createDataFrame(uses, "value binary, owner string, repository long")).first()
+    assert (seen.n_uses, seen.n_repositories, seen.n_owners) == (4, 2, 2)
+
+
 def test_contexts_find_identifiers_of_unknown_form(spark):
     seeds = [(i, f"Please call the number +1 (555) 100-{1000 + i} today or so") for i in range(6)]
     new = [(10, "Please call the number 555-4711-99 today again"), (11, "the year was 2024 and 1999 too"), (12, None), (None, ""), (13, "a"), (13, "a")]
