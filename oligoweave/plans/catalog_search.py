@@ -117,6 +117,11 @@ class Search:
     def best_pairs(self):
         return G.best_region_pairs(G.scored_region_pairs(self.restricted_pairs, self.inputs.adapters), 25)
 
+    @cached_property
+    def best_pairs_all_lengths(self):
+        """Best pairs over all combinations of binding lengths."""
+        return G.best_region_pairs(G.scored_region_pairs(self.pairs, self.inputs.adapters), 25)
+
 
 def search(build):
     return lambda spark, sf_dir: build(Search(spark, sf_dir))
@@ -228,6 +233,13 @@ QUERIES = {
     ).select(*TARGET, *PAIR, "adapter", *six("penalty"))),
     "tiered_pair_ranking": search(lambda x: G.tiered_pair_ranking(x.best_pairs, G.best_single_regions(x.penalties, 40), 10).select(*TARGET, *PAIR, "adapter", "tier", "position", *six("final_score"))),
 }
+# The two queries above rank pairs of the ideal length only, as their SQL does; these rank pairs of all lengths and have no SQL.
+QUERIES |= {
+    "best_region_pairs_all_lengths": search(lambda x: x.best_pairs_all_lengths.select(*TARGET, *PAIR, "adapter", *six("penalty"))),
+    "tiered_pair_ranking_all_lengths": search(lambda x: G.tiered_pair_ranking(
+        x.best_pairs_all_lengths, G.best_single_regions(x.penalties, 40), 10
+    ).select(*TARGET, *PAIR, "adapter", "tier", "position", *six("final_score"))),
+}
 
 # --- SQL ---------------------------------------------------------------------------
 
