@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, embedding_join, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding
+from oligoweave.llm import byte_bpe, embedding_join, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding, token_counts
 from oligoweave.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op8_personal_data,
         op9_ngram_jaccard_join,
         op10_sharding,
+        op13_token_counts,
     )
 }
 ORACLE: dict[str, str] = {}
