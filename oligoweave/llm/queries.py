@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oligoweave.llm import byte_bpe, embedding_join, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding, token_counts, word_runs
+from oligoweave.llm import byte_bpe, conversation_repair, embedding_join, fingerprints, language, line_dedup, ngram_join, packing, personal, secrets, sharding, token_counts, word_runs
 from oligoweave.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_digests(word_runs.find_runs(word_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
 
@@ -74,6 +78,7 @@ QUERIES = {
         op8_personal_data,
         op9_ngram_jaccard_join,
         op10_sharding,
+        op11_conversation_repair,
         op12_periodic_runs,
         op13_token_counts,
     )
