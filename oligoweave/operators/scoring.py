@@ -11,6 +11,7 @@ from oligoweave.operators.ranking import top_n
 
 TARGET = ["panel_id", "target"]
 PAIR = ["f_5p", "f_len", "r_5p", "r_len"]
+LIMITS = ["max_tm_deviation", "tm_low", "tm_high"]
 
 
 def pair_conservation(pairs: DataFrame) -> DataFrame:
@@ -76,12 +77,14 @@ def tm_compatibility(pairs: DataFrame) -> DataFrame:
     )
 
 
+def judged(pairs: DataFrame) -> DataFrame:
+    """Pairs (with LIMITS) with scores, temperature verdict and GC clamp."""
+    return tm_compatibility(pair_conservation(pairs)).withColumn("clamp", F.col("f_gc") & F.col("r_gc"))
+
+
 def judged_pairs(pairs: DataFrame, params: DataFrame, temperatures: DataFrame) -> DataFrame:
-    """Pairs with scores, temperature verdict and GC clamp."""
-    limits = params.select("panel_id", "max_tm_deviation").join(temperatures, "panel_id")
-    return tm_compatibility(pair_conservation(pairs).join(limits, "panel_id")).withColumn(
-        "clamp", F.col("f_gc") & F.col("r_gc")
-    )
+    """The same for pairs that do not carry their limits."""
+    return judged(pairs.join(params.select("panel_id", "max_tm_deviation").join(temperatures, "panel_id"), "panel_id"))
 
 
 def valid_pairs(judged: DataFrame) -> DataFrame:

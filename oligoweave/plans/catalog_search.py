@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from oligoweave.functions import dimensions as D
 from oligoweave.operators import candidates as C
+from oligoweave.operators import length_walk as L
 from oligoweave.operators import profile as P
 from oligoweave.operators import quality as Q
 from oligoweave.operators import scoring as G
+from oligoweave.operators import threshold_join as T
 from oligoweave.plans import panel_search as PS
 from oligoweave.plans import views as V
 from oligoweave.plans.catalog_sequences import _TM, overlap_ctes
@@ -74,12 +76,12 @@ class Search:
         return cut_lineage(self.singles)
 
     @cached_property
-    def pairs(self):
-        return C.enumerate_pairs(C.open_length_windows(self.windows), self.written_singles)
+    def open_windows(self):
+        return C.open_length_windows(self.windows)
 
     @cached_property
-    def restricted_pairs(self):
-        return C.enumerate_pairs(C.restricted_windows(self.windows), self.written_singles)
+    def pairs(self):
+        return C.enumerate_pairs(self.open_windows, self.written_singles)
 
     @cached_property
     def temperatures(self):
@@ -87,7 +89,7 @@ class Search:
 
     @cached_property
     def judged(self):
-        return G.judged_pairs(self.pairs, self.inputs.params, self.temperatures)
+        return G.judged(C.enumerate_pairs(self.open_windows.join(self.temperatures, "panel_id"), self.written_singles, G.LIMITS))
 
     @cached_property
     def kept(self):
@@ -115,12 +117,8 @@ class Search:
 
     @cached_property
     def best_pairs(self):
-        return G.best_region_pairs(G.scored_region_pairs(self.restricted_pairs, self.inputs.adapters), 25)
-
-    @cached_property
-    def best_pairs_all_lengths(self):
         """Best pairs over all combinations of binding lengths."""
-        return G.best_region_pairs(G.scored_region_pairs(self.pairs, self.inputs.adapters), 25)
+        return T.best_pairs(self.open_windows, self.written_singles, self.inputs.adapters, 25)
 
 
 def search(build):
@@ -207,7 +205,9 @@ QUERIES = {
     "rejection_counters": search(lambda x: G.rejection_counters(x.judged).select(
         *TARGET, "total", "good", "n_f_high", "n_f_low", "n_r_high", "n_r_low", "n_no_gc", *six("mean_score", "max_score"))),
     "length_adjustment": search(lambda x: x.steps.select(*TARGET, "f_try", "r_try", "f_next", "r_next")),
-    "adjusted_lengths": search(lambda x: G.adjusted_lengths(x.steps)),
+    "adjusted_lengths": search(lambda x: L.walked_lengths(x.windows, x.written_singles, x.temperatures).drop("steps")),
+    "visited_lengths": search(lambda x: L.walked_lengths(x.windows, x.written_singles, x.temperatures).select(
+        *TARGET, F.posexplode("steps").alias("step", "s")).select(*TARGET, "step", "s.*")),
     "top_n_conserved": search(lambda x: x.kept.select(*TARGET, *PAIR, *six("score"))),
     "panel_dimer_structures": search(lambda x: G.panel_dimer_structures(x.close, x.partners).select(
         *TARGET, *PAIR, *six("energy"))),
@@ -228,18 +228,9 @@ QUERIES = {
     "best_single_regions": search(lambda x: G.best_single_regions(
         x.penalties, 20
     ).select(*TARGET, "side", "five_p", "len", "adapter", *six("penalty"))),
-    "best_region_pairs": search(lambda x: G.best_region_pairs(
-        G.scored_region_pairs(x.restricted_pairs, x.inputs.adapters), 25
-    ).select(*TARGET, *PAIR, "adapter", *six("penalty"))),
+    "best_region_pairs": search(lambda x: x.best_pairs.select(*TARGET, *PAIR, "adapter", *six("penalty"))),
     "tiered_pair_ranking": search(lambda x: G.tiered_pair_ranking(x.best_pairs, G.best_single_regions(x.penalties, 40), 10).select(*TARGET, *PAIR, "adapter", "tier", "position", *six("final_score"))),
 }
-# The two queries above rank pairs of the ideal length only, as their SQL does; these rank pairs of all lengths and have no SQL.
-QUERIES |= {
-    "best_region_pairs_all_lengths": search(lambda x: x.best_pairs_all_lengths.select(*TARGET, *PAIR, "adapter", *six("penalty"))),
-    "tiered_pair_ranking_all_lengths": search(lambda x: G.tiered_pair_ranking(
-        x.best_pairs_all_lengths, G.best_single_regions(x.penalties, 40), 10
-    ).select(*TARGET, *PAIR, "adapter", "tier", "position", *six("final_score"))),
-}
 
 # --- SQL ---------------------------------------------------------------------------
 
@@ -346,6 +337,20 @@ _GRID_PAIRS = {
       CASE WHEN retry AND ro THEN greatest(8,least(12,r_try-CAST(sign(nr_) AS INTEGER))) ELSE r_try END AS r_next FROM gs""",
 }
 
+# The walk: from the ideal lengths along the steps until nothing moves, lengths come up again or have no pair.
+_WALK = {
+    **_GRID_PAIRS,
+    "gr": """SELECT panel_id, target, f_try, r_try,
+      count(*) FILTER (NOT in_range AND ((abs(f_dev)>dv AND f_dev>0) OR (apart AND f_dev>r_dev))) AS n_f_high, count(*) FILTER (NOT in_range AND ((abs(f_dev)>dv AND f_dev<=0) OR (apart AND NOT f_dev>r_dev))) AS n_f_low,
+      count(*) FILTER (NOT in_range AND ((abs(r_dev)>dv AND r_dev>0) OR (apart AND NOT f_dev>r_dev))) AS n_r_high, count(*) FILTER (NOT in_range AND ((abs(r_dev)>dv AND r_dev<=0) OR (apart AND f_dev>r_dev))) AS n_r_low,
+      count(*) AS total, count(*) FILTER (in_range AND NOT clamp) AS n_no_gc FROM gj GROUP BY 1,2,3,4""",
+    "gk": "SELECT gn.*, total, n_f_high, n_f_low, n_r_high, n_r_low, n_no_gc, f_next*100+r_next AS onward FROM gn JOIN gr USING (panel_id, target, f_try, r_try)",
+    "wk": """SELECT * FROM (WITH RECURSIVE w AS (
+      SELECT 0 AS n, gk.*, CAST([] AS INTEGER[]) AS seen, onward = 1010 AS stop FROM gk WHERE f_try=10 AND r_try=10
+      UNION ALL SELECT n+1, gk.*, list_append(seen, w.f_try*100+w.r_try), gk.onward = gk.f_try*100+gk.r_try OR list_contains(list_append(seen, w.f_try*100+w.r_try), gk.onward)
+      FROM w JOIN gk ON gk.panel_id=w.panel_id AND gk.target=w.target AND gk.f_try=w.f_next AND gk.r_try=w.r_next WHERE NOT stop) SELECT * FROM w)""",
+}
+
 _PEN = {
     **_OPEN,
     **overlap_ctes("SELECT DISTINCT seq||':'||o AS id, seq AS a, o AS b, 0 AS f_skip, 0 AS r_skip FROM sg JOIN (SELECT 'F' AS side, forward AS o FROM v_adapters UNION ALL SELECT 'R', reverse FROM v_adapters) USING (side)"),
@@ -354,10 +359,7 @@ _PEN = {
       SELECT sg.*, adapter, round(12*(3*run+total)/(length(seq)+length(o))::DOUBLE,9) AS dimer_score FROM sg JOIN ads USING (side) JOIN ov_scores ON id=seq||':'||o)""",
 }
 _RPAIRS = {
-    "rp": """SELECT f.panel_id, f.target, f.five_p AS f_5p, f.len AS f_len, r.five_p AS r_5p, r.len AS r_len, f.seq AS f_seq, r.seq AS r_seq, round((f.mean_cons+r.mean_cons)/2,9) AS mean_cons
-      FROM sgr f JOIN sgr r ON f.panel_id=r.panel_id AND f.target=r.target AND f.side='F' AND r.side='R' JOIN rst o ON o.panel_id=f.panel_id AND o.target=f.target
-      WHERE r.five_p-f.five_p+1 >= o.amp_lo AND r.five_p-f.five_p+1 < o.amp_hi""",
-    "rq": """SELECT rp.*, i AS adapter, forward, reverse FROM rp, v_adapters""",
+    "rq": "SELECT panel_id, target, f_5p, f_len, r_5p, r_len, f_seq, r_seq, round(mean_cons,9) AS mean_cons, i AS adapter, forward, reverse FROM pr, v_adapters",
 }
 
 
@@ -373,17 +375,13 @@ def _renamed(ctes: dict[str, str], suffix: str) -> dict[str, str]:
     return out
 
 
-_RSING = {
-    "sgr": f"""SELECT panel_id, target, side, five_p, len, seq, mean_cons FROM sg JOIN rst USING (panel_id, target) WHERE len=10
-      AND ((side='F' AND five_p BETWEEN f_lo AND f_hi) OR (side='R' AND five_p BETWEEN r_lo AND r_hi))""",
-}
-# Restricted singles reach further than the open ones, so they come from the widest windows.
-_WIDE = {**_BASE, **_singles_sql(_WIDEST, _LENS), **_RSING, **_RPAIRS}
 _QUAD_PARTS = """SELECT DISTINCT a||':'||b AS id, a, b, 0 AS f_skip, 0 AS r_skip FROM (SELECT forward AS a, r_seq AS b FROM rq UNION ALL SELECT f_seq, r_seq FROM rq UNION ALL SELECT f_seq, reverse FROM rq UNION ALL SELECT forward, reverse FROM rq)"""
 _BESTP = {
-    **_WIDE,
+    **_PAIRS,
+    **_RPAIRS,
     **overlap_ctes(_QUAD_PARTS),
-    "od": "SELECT ov_scores.id, 12*(3*run+total)/(length(a)+length(b))::DOUBLE AS d FROM ov_scores JOIN ov_in USING (id)",
+    "od": """SELECT id, 12*(3*coalesce(run,0)+coalesce(total,0))/(length(a)+length(b))::DOUBLE AS d FROM ov_in LEFT JOIN (SELECT id, max(c) AS total FROM ov_t GROUP BY 1) USING (id)
+      LEFT JOIN (SELECT id, max(c) AS run FROM ov_r GROUP BY 1) USING (id)""",
     "bp0": """SELECT rq.*, round(sqrt(p1.d*p1.d+p2.d*p2.d+p3.d*p3.d+p4.d*p4.d)/4,9) AS dimer_score FROM rq JOIN od p1 ON p1.id=forward||':'||r_seq JOIN od p2 ON p2.id=f_seq||':'||r_seq
       JOIN od p3 ON p3.id=f_seq||':'||reverse JOIN od p4 ON p4.id=forward||':'||reverse""",
     "bp1": "SELECT *, round(pow(100-mean_cons,2)*dimer_score,9) AS penalty FROM bp0",
@@ -432,6 +430,9 @@ ORACLE = {
   count(*) FILTER (r_high) AS n_r_high, count(*) FILTER (r_low) AS n_r_low, count(*) FILTER (in_range AND NOT clamp) AS n_no_gc,
   round(avg(score) FILTER (in_range AND clamp),6) AS mean_score, round(max(score) FILTER (in_range AND clamp),6) AS max_score FROM jf GROUP BY 1,2""", _PAIRS),
     "length_adjustment": duck_with(_VIEWS, "SELECT panel_id, target, f_try, r_try, f_next, r_next FROM gn", _GRID_PAIRS),
+    "adjusted_lengths": duck_with(_VIEWS, """SELECT panel_id, target, CAST(f AS INTEGER) AS f_try, CAST(r AS INTEGER) AS r_try, f IS NOT NULL AS found FROM win LEFT JOIN (
+  SELECT panel_id, target, arg_max(f_try, n) AS f, arg_max(r_try, n) AS r FROM wk WHERE good > 0 AND (n > 0 OR stop) GROUP BY 1,2) USING (panel_id, target)""", _WALK),
+    "visited_lengths": duck_with(_VIEWS, """SELECT panel_id, target, CAST(n AS INTEGER) AS step, f_try, r_try, total, good, n_f_high, n_f_low, n_r_high, n_r_low, n_no_gc FROM wk""", _WALK),
     "top_n_conserved": duck_with(_VIEWS, f"SELECT {_PK}, round(score,6) AS score FROM kp", _PAIRS),
     "panel_dimer_structures": duck_with(_VIEWS, f"SELECT {_PK}, round(energy,6) AS energy FROM se", _ENERGY),
     "worst_quartile_energy": duck_with(_VIEWS, f"SELECT {_PK}, round(dimer_score,6) AS dimer_score FROM wq", _ENERGY),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oligoweave.operators import candidates as C
+from oligoweave.operators import length_walk as L
 from oligoweave.operators import scoring as G
 from oligoweave.operators.profile import alignment_lengths
 from oligoweave.session import cut_lineage, scratch_path
@@ -72,22 +73,19 @@ def search_step(
     partners = G.panel_partners(inputs.adapters, chosen, windows)
     free = _free_regions(singles, inputs, chosen)
 
-    # Lengths: count the rejections of every length combination in one aggregate, then
-    # follow the adjustments on that small table.
-    tried = C.enumerate_pairs(C.length_grid_windows(windows), free, ["f_try", "r_try"])
-    judged = G.judged_pairs(tried, inputs.params, temperatures)
-    counters = G.rejection_counters(judged, [*TARGET, "f_try", "r_try"])
-    limits = windows.select(*TARGET, "binding_len_min", "binding_len_max", "ideal_binding_size")
-    lengths = cut_lineage(G.adjusted_lengths(G.next_lengths(counters.join(limits, TARGET))))
-
-    # Targets with a valid pair on their way use its lengths, the others all lengths.
-    found = lengths.where("found")
-    fixed = C.resize_windows(windows.join(found, TARGET), "f_try", "r_try").withColumns(
+    # Lengths: follow the rejections from the ideal ones, counted without making pairs.
+    lengths = cut_lineage(L.walked_lengths(windows, free, temperatures).drop("steps"))
+
+    # Targets with a valid pair on their way use its lengths, the others all lengths. The
+    # limits of a panel stand on its windows, so no join follows the pairs.
+    limited = windows.join(temperatures, "panel_id")
+    found = lengths.where("found").select(*TARGET, "f_try", "r_try")
+    fixed = C.resize_windows(limited.join(found, TARGET), "f_try", "r_try").withColumns(
         {"f_lens": F.array("f_try"), "r_lens": F.array("r_try")}
     )
-    opened = C.open_length_windows(windows.join(found.select(*TARGET), TARGET, "left_anti"))
+    opened = C.open_length_windows(limited.join(found.select(*TARGET), TARGET, "left_anti"))
     sized = fixed.select(*opened.columns).unionByName(opened)
-    judged = G.judged_pairs(C.enumerate_pairs(sized, free), inputs.params, temperatures)
+    judged = G.judged(C.enumerate_pairs(sized, free, G.LIMITS))
     valid = cut_lineage(G.valid_pairs(judged))
     return G.select_pair(G.dimer_scored(G.near_best(valid), partners))
 

@@ -57,10 +57,10 @@ def test_best_pairs_are_found_at_every_length(spark):
 
     x = Search(spark, SF)
     every = G.scored_region_pairs(x.pairs, x.inputs.adapters).select(*TARGET, *PAIR, "adapter", "penalty").collect()
-    got = entry.queries()["best_region_pairs_all_lengths"](spark, SF).collect()
+    got = entry.queries()["best_region_pairs"](spark, SF).collect()
     for target in {r[:2] for r in every}:
         want = sorted((round(r.penalty, 6), *r[2:7]) for r in every if r[:2] == target)[:25]
         assert sorted((r.penalty, *r[2:7]) for r in got if r[:2] == target) == want
     assert len({(r.f_len, r.r_len) for r in got}) > 1
-    tiers = entry.queries()["tiered_pair_ranking_all_lengths"](spark, SF).collect()
+    tiers = entry.queries()["tiered_pair_ranking"](spark, SF).collect()
     assert {r[:7] for r in tiers} <= {r[:7] for r in got} and len({(r.f_len, r.r_len) for r in tiers}) > 1
