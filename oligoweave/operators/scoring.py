@@ -256,13 +256,18 @@ def panel_partners(adapters: DataFrame, chosen: DataFrame | None, panels: DataFr
 def panel_dimer_structures(pairs: DataFrame, partners: DataFrame) -> DataFrame:
     """One row per pair and structure with its energy."""
     joined = pairs.join(partners, "panel_id")
-    energies = structure_energies(F.col("f_seq"), F.col("r_seq"), F.col("partners"))
+    energies = pair_energies()
     return joined.select(*TARGET, *PAIR, F.posexplode(energies).alias("structure", "energy"))
 
 
-def dimer_scored(pairs: DataFrame, partners: DataFrame) -> DataFrame:
+def pair_energies() -> Column:
+    """Energies of all structures of a row's pair (f_seq, r_seq) and partners; long to build, the same for every table."""
+    return structure_energies(F.col("f_seq"), F.col("r_seq"), F.col("partners"))
+
+
+def dimer_scored(pairs: DataFrame, partners: DataFrame, energies: Column | None = None) -> DataFrame:
     """Pairs with the mean of their worst quarter of structure energies."""
-    energies = structure_energies(F.col("f_seq"), F.col("r_seq"), F.col("partners"))
+    energies = pair_energies() if energies is None else energies
     return (
         pairs.join(partners, "panel_id")
         .withColumn("dimer_score", F.round(worst_share_mean(energies), 9))

@@ -8,9 +8,10 @@ number of steps is the largest number of targets in a panel.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oligoweave.operators import candidates as C
@@ -34,12 +35,11 @@ class PanelInputs:
     lengths: DataFrame
 
     def written(self) -> PanelInputs:
-        """The same inputs as tables: the alignments are read and profiled once."""
-        profiles = cut_lineage(self.profiles)
-        return PanelInputs(
-            cut_lineage(self.targets), cut_lineage(self.params), cut_lineage(self.adapters),
-            profiles, cut_lineage(alignment_lengths(profiles)),
-        )
+        """The same inputs as tables: the alignments are read and profiled once, the others beside it."""
+        names = ("profiles", "targets", "params", "adapters")
+        with ThreadPoolExecutor(len(names)) as pool:
+            tables = dict(zip(names, pool.map(lambda name: cut_lineage(getattr(self, name)), names), strict=True))
+        return PanelInputs(**tables, lengths=cut_lineage(alignment_lengths(tables["profiles"])))
 
 
 def planned_windows(inputs: PanelInputs) -> DataFrame:
@@ -66,9 +66,12 @@ def _free_regions(singles: DataFrame, inputs: PanelInputs, chosen: DataFrame | N
 
 
 def search_step(
-    windows: DataFrame, singles: DataFrame, inputs: PanelInputs, chosen: DataFrame | None
+    windows: DataFrame, singles: DataFrame, inputs: PanelInputs, chosen: DataFrame | None, energies: Column | None = None
 ) -> DataFrame:
-    """Best pair of each given target, given what its panel has chosen so far."""
+    """Best pair of each given target, given what its panel has chosen so far.
+
+    ``energies``: the expression of ``pair_energies``, if the caller has it.
+    """
     temperatures = G.panel_temperatures(inputs.params, chosen)
     partners = G.panel_partners(inputs.adapters, chosen, windows)
     free = _free_regions(singles, inputs, chosen)
@@ -87,7 +90,7 @@ def search_step(
     sized = fixed.select(*opened.columns).unionByName(opened)
     judged = G.judged(C.enumerate_pairs(sized, free, G.LIMITS))
     valid = cut_lineage(G.valid_pairs(judged))
-    return G.select_pair(G.dimer_scored(G.near_best(valid), partners))
+    return G.select_pair(G.dimer_scored(G.near_best(valid), partners, energies))
 
 
 def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) -> DataFrame:
@@ -106,9 +109,10 @@ def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) ->
         deepest = min(deepest, max_rank)
     chosen: DataFrame | None = None
     path = scratch_path(inputs.targets.sparkSession, "chosen")
+    energies = G.pair_energies()
     for rank in range(1, deepest + 1):
         at = F.col("rank") == rank
-        step = search_step(ranked.where(at), singles.where(at).drop("rank"), inputs, chosen)
+        step = search_step(ranked.where(at), singles.where(at).drop("rank"), inputs, chosen, energies)
         step = step.withColumn("rank", F.lit(rank)).select(*CHOSEN)
         step.write.mode("append").parquet(path)
         chosen = step.sparkSession.read.schema(step.schema).parquet(path)
