@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oligoweave.functions import constants as C
 from oligoweave.functions import sequence as S
-from oligoweave.operators.ranking import top_n
+from oligoweave.operators.ranking import mean_of_lowest
 from oligoweave.session import cut_lineage
 
 
@@ -94,22 +95,6 @@ def _grow(df: DataFrame, n: int, limit: Column, keep) -> DataFrame:
     return df
 
 
-def fixed_total_compositions(requests: DataFrame, n: int, limit: str, total: str) -> DataFrame:
-    """All n-tuples of 0..limit with a given sum, numbered with the first digit fastest.
-
-    requests(panel_id, limit, total). Prefixes that cannot reach the sum are cut.
-    """
-    so_far = F.aggregate("combo", F.lit(0), lambda a, x: a + x)
-
-    def keep(k: int) -> Column:
-        reached = so_far + F.col("s")
-        return (reached <= F.col(total)) & (reached + (n - k - 1) * F.col(limit) >= F.col(total))
-
-    grown = _grow(requests, n, F.col(limit), keep)
-    order = Window.partitionBy("panel_id").orderBy(F.reverse("combo"))
-    return grown.withColumn("ord", F.row_number().over(order) - 1)
-
-
 def all_spacer_vectors(panels: DataFrame, n: int, limit: int) -> DataFrame:
     """All (limit + 1)^n tuples, least significant digit first."""
     grown = _grow(panels, n, F.lit(limit), lambda k: F.lit(True))
@@ -137,112 +122,16 @@ def count_compositions(n: Column, limit: Column, total: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)
 
 
-def nth_compositions(compositions: DataFrame, parts: int) -> DataFrame:
-    """First tuple and size of each of ``parts`` nearly equal ranges of a panel's tuples."""
-    size = compositions.groupBy("panel_id").agg(F.count(F.lit(1)).alias("size"))
-    # Range p of parts starts at floor(p * size / parts).
-    starts = size.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumns(
-        {
-            "ord": F.floor(F.col("part") * F.col("size") / parts).cast("int"),
-            "next": F.floor((F.col("part") + 1) * F.col("size") / parts).cast("int"),
-        }
-    )
-    wanted = starts.withColumn("range_size", F.col("next") - F.col("ord")).where("range_size > 0")
-    return wanted.join(compositions.select("panel_id", "ord", "combo"), ["panel_id", "ord"]).select(
-        "panel_id", "part", "range_size", "combo"
-    )
-
-
-# --- searches -----------------------------------------------------------------------
+# --- panels of several sizes ----------------------------------------------------------
 
 
 def by_panel_size(panels: DataFrame, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """``search(panels of n sequences, n)`` for every panel size there is; the sizes are few."""
     panels = cut_lineage(panels)
     sizes = sorted(r[0] for r in panels.select(F.size("seqs")).distinct().collect())
-    return reduce(DataFrame.unionByName, [search(panels.where(F.size("seqs") == n), n) for n in sizes or [1]])
-
-
-def balanced_combos(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
-    """Spacer combos of each panel, at its own size, whose worst column is as diverse as can be."""
-    return by_panel_size(panels, lambda sized, n: _balanced(sized, n, n_hetero, limit))
-
-
-def _balanced(sized: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
-    """The same for panels(panel_id, seqs) of n sequences.
-
-    Sequences are added one by one; a prefix is cut as soon as a
-    column holds more than ceil(n / 4) of one base, which no best combo does.
-    """
-    quota = -(-n // 4)
-
-    def keep(k: int) -> Column:
-        seq = F.get("seqs", F.lit(k))
-
-        def fits(col: Column) -> Column:
-            base = F.substring(seq, col - F.col("s") + 1, F.lit(1))
-            same = F.filter(
-                F.arrays_zip(F.slice("seqs", 1, k).alias("q"), F.col("combo").alias("c")),
-                lambda r: (r["c"] <= col) & (F.substring(r["q"], col - r["c"] + 1, F.lit(1)) == base),
-            )
-            return F.size(same) < quota
-
-        if k == 0:
-            return F.lit(True)
-        columns = F.when(F.col("s") < n_hetero, F.sequence(F.col("s"), F.lit(n_hetero - 1)))
-        return F.coalesce(F.forall(columns, fits), F.lit(True))
-
-    grown = _grow(sized, n, F.lit(limit), keep)
-    score = min_diversity(F.col("seqs"), F.col("combo"), F.lit(n_hetero))
-    return grown.withColumn("score", score).where(F.col("score") >= max_diversity(F.lit(n)))
-
-
-def _combo_order(df: DataFrame) -> list[Column]:
-    return [F.aggregate("combo", F.lit(0), lambda a, x: a + x).alias("total"), F.reverse("combo").alias("rev")]
-
-
-def balanced_spacer_search(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
-    """Balanced combo of the smallest total per panel, and how many there are."""
-    found = balanced_combos(panels, n_hetero, limit)
-    best = F.min(F.struct(*_combo_order(found), "combo")).alias("b")
-    return found.groupBy("panel_id").agg(best, F.count(F.lit(1)).alias("n_balanced")).select(
-        "panel_id", F.col("b.combo").alias("combo"), F.col("b.total").alias("total"), "n_balanced"
-    )
-
-
-def smallest_max_spacer(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
-    """Balanced combo with the smallest longest spacer, then the smallest total."""
-    found = balanced_combos(panels, n_hetero, limit)
-    best = F.min(F.struct(F.array_max("combo").alias("longest"), *_combo_order(found), "combo")).alias("b")
-    return found.groupBy("panel_id").agg(best).select(
-        "panel_id", F.col("b.combo").alias("combo"), F.col("b.longest").alias("longest"), F.col("b.total").alias("total")
-    )
-
-
-def sampled_spacer_search(panels: DataFrame, n_hetero: int, total: Column, draws: int, seed: str) -> DataFrame:
-    """Seeded random combos of a fixed total with their scores.
-
-    Units are dealt one by one to a hash-drawn sequence that still has room.
-    """
-    rows = panels.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("total", total)
-
-    def deal(combo: Column, unit: Column) -> Column:
-        keyed = F.transform(
-            combo,
-            lambda x, i: F.struct(
-                F.md5(F.concat_ws(":", F.lit(seed), F.col("panel_id").cast("string"), F.col("draw").cast("string"),
-                                  unit.cast("string"), i.cast("string"))).alias("h"),
-                i.alias("i"), x.alias("x"),
-            ),
-        )
-        chosen = F.array_min(F.filter(keyed, lambda e: e["x"] < n_hetero))["i"]
-        return S.let(chosen, lambda c: F.transform(combo, lambda x, i: F.when(i == c, x + 1).otherwise(x)))
-
-    empty = F.transform("seqs", lambda _: F.lit(0))
-    dealt = F.when(F.col("total") > 0, F.aggregate(F.sequence(F.lit(1), F.col("total")), empty, deal)).otherwise(empty)
-    return rows.withColumn("combo", dealt).withColumn(
-        "score", min_diversity(F.col("seqs"), F.col("combo"), F.lit(n_hetero))
-    )
+    with ThreadPoolExecutor(4) as pool:  # a search may run jobs of its own; the sizes run side by side
+        found = pool.map(lambda n: search(panels.where(F.size("seqs") == n), n), sizes or [1])
+        return reduce(DataFrame.unionByName, found)
 
 
 def spacer_landscape(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
@@ -412,15 +301,8 @@ def pool_score(energies: DataFrame, keys: list[str], loci: DataFrame) -> DataFra
 
     loci(keys, n_loci)
     """
-    k = F.floor(F.col("n_loci") * F.col("n_loci") / 2)
-    order = Window.partitionBy(*keys).orderBy("energy", "i", "j")
-    return (
-        energies.join(loci, keys)
-        .withColumns({"rank": F.row_number().over(order), "k": k})
-        .where((F.col("k") == 0) | (F.col("rank") <= F.col("k")))
-        .groupBy(*keys)
-        .agg(F.round(F.avg("energy"), 9).alias("score"))
-    )
+    sizes = loci.withColumn("k", F.floor(F.col("n_loci") * F.col("n_loci") / 2))
+    return mean_of_lowest(energies, keys, "energy", sizes, "k").select(*keys, F.round("mean", 9).alias("score"))
 
 
 def best_pool(scores: DataFrame) -> DataFrame:

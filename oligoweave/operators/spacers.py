@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from oligoweave.functions import constants as C
 from oligoweave.functions import dimensions as D
 from oligoweave.functions import sequence as S
-from oligoweave.operators.ranking import top_n
+from oligoweave.operators.ranking import lowest_by_counts, top_n
 from oligoweave.session import cut_lineage, scratch_path
 
 COMBO = ["s1", "s2", "s3", "s4"]
@@ -491,14 +491,15 @@ def simultaneous_filter(sets: DataFrame, keys: list[str], percent: float) -> Dat
 
     keys name the locus and direction; sets carry set_no, total and run.
     """
+    sets = cut_lineage(sets)
     size = sets.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     drop = F.col("size") * ((100 - percent) / 2) / 100
 
     def trim(df: DataFrame, score: str, stage: int) -> DataFrame:
-        position = F.row_number().over(Window.partitionBy(*keys).orderBy(score, "set_no"))
-        return df.withColumn("p", position).where(F.col("p") <= F.floor(F.col("size") - stage * drop)).drop("p")
+        left = size.select(*keys, F.floor(F.col("size") - stage * drop).alias("k"))
+        return lowest_by_counts(df, keys, score, "set_no", left, "k")
 
-    return trim(trim(sets.join(size, keys), "total", 1), "run", 2).drop("size")
+    return trim(cut_lineage(trim(sets, "total", 1)), "run", 2)
 
 
 def cross_set_complementarity(primers: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from oligoweave.functions import dimensions as D
 from oligoweave.functions import sequence as S
+from oligoweave.operators import balance as B
 from oligoweave.operators import multiplex as M
 from oligoweave.operators import spacers as H
 from oligoweave.plans import views as V
@@ -17,6 +18,8 @@ N_HETERO = 8
 LIMIT = 8
 M_HETERO = 5
 M_LIMIT = 4
+WIDE_HETERO = 12
+WIDE_LIMIT = 12
 COMBO = H.COMBO
 LOCUS = ["locus"]
 
@@ -76,13 +79,26 @@ def mixed_panels(s, d):
     return M.panel_rows(V.mixed_panels(s, d), "f_bind")
 
 
+def wide_panels(s, d):
+    """Panels of nine binding sequences."""
+    key = F.col("panel_id") * 4 + F.col("i")
+    rows = V.panel_seqs(s, d).select(F.floor(key / 9).cast("bigint").alias("panel_id"), (key % 9).cast("int").alias("i"), "f_bind")
+    return M.panel_rows(rows, "f_bind").where(F.size("seqs") == 9)
+
+
+def drawn(s, d):
+    """Six random compositions of four spacers per panel."""
+    rows = V.panel_seqs(s, d).select("panel_id").distinct()
+    return B.drawn_compositions(rows.withColumn("total", F.pmod("panel_id", F.lit(9)).cast("int") + 2), 4, M_HETERO, 6, "seed")
+
+
 def requests(s, d):
     p = V.panel_seqs(s, d).select("panel_id").distinct()
     return p.select("panel_id", F.lit(4).alias("limit"), F.pmod("panel_id", F.lit(13)).cast("int").alias("total"))
 
 
 def compositions(s, d):
-    return M.fixed_total_compositions(requests(s, d), 4, "limit", "total")
+    return B.fixed_total_compositions(requests(s, d), 4, "limit", "total")
 
 
 def shifted_rows(s, d):
@@ -236,18 +252,19 @@ QUERIES = {
     "all_spacer_vectors": lambda s, d: M.all_spacer_vectors(requests(s, d).select("panel_id"), 3, 3).select("panel_id", "ord", text("combo")),
     "count_compositions": lambda s, d: requests(s, d).select(
         "panel_id", M.count_compositions(F.lit(4), F.col("limit"), F.col("total")).alias("n")),
-    "nth_compositions": lambda s, d: M.nth_compositions(compositions(s, d), 5).select("panel_id", "part", "range_size", text("combo")),
-    "balanced_spacer_search": lambda s, d: M.balanced_spacer_search(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
+    "nth_compositions": lambda s, d: B.compositions_at(requests(s, d), 4, "limit", "total", 5).select("panel_id", "part", "range_size", text("combo")),
+    "balanced_spacer_search": lambda s, d: B.balanced_spacer_search(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), "total", "n_balanced"),
-    "smallest_max_spacer": lambda s, d: M.smallest_max_spacer(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
+    "smallest_max_spacer": lambda s, d: B.smallest_longest(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
+        "panel_id", text("combo"), "longest", "total"),
+    "smallest_total_wide": lambda s, d: B.smallest_total(wide_panels(s, d), WIDE_HETERO, WIDE_LIMIT).select("panel_id", text("combo"), "total"),
+    "smallest_longest_wide": lambda s, d: B.smallest_longest(wide_panels(s, d), WIDE_HETERO, WIDE_LIMIT).select(
         "panel_id", text("combo"), "longest", "total"),
-    "sampled_spacer_search": lambda s, d: M.sampled_spacer_search(
-        panels(s, d), M_HETERO, F.pmod("panel_id", F.lit(9)).cast("int") + 2, 6, "seed"
-    ).select("panel_id", "draw", text("combo"), "score"),
-    "sampled_spacer_invariants": lambda s, d: M.sampled_spacer_search(
-        panels(s, d), M_HETERO, F.pmod("panel_id", F.lit(9)).cast("int") + 2, 6, "seed"
-    ).select("panel_id", "draw", F.aggregate("combo", F.lit(0), lambda a, x: a + x).alias("total"),
-             (F.array_max("combo") <= M_HETERO).alias("within")),
+    "sampled_spacer_search": lambda s, d: B.sampled_search(mixed_panels(s, d), M_HETERO, M_LIMIT, 6, "seed").select(
+        "panel_id", text("combo"), "total", "score"),
+    "drawn_compositions": lambda s, d: drawn(s, d).select("panel_id", "draw", text("combo")),
+    "sampled_spacer_invariants": lambda s, d: drawn(s, d).select(
+        "panel_id", "draw", F.aggregate("combo", F.lit(0), lambda a, x: a + x).alias("total"), (F.array_max("combo") <= M_HETERO).alias("within")),
     "spacer_landscape": lambda s, d: M.spacer_landscape(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), *six("mean_length", "sd_length"), "score"),
     "hetero_alignment": lambda s, d: M.hetero_alignment(shifted_rows(s, d)),
@@ -482,6 +499,17 @@ ORACLE = {
   JOIN cm USING (panel_id) WHERE ord=st AND nx > st""", _COMPS),
     "balanced_spacer_search": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, total, n_balanced FROM (SELECT *, count(*) OVER (PARTITION BY panel_id) AS n_balanced, row_number() OVER (PARTITION BY panel_id ORDER BY total, rev) AS rn FROM bal) WHERE rn=1""", _VECTORS),
     "smallest_max_spacer": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, longest, total FROM (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY longest, total, rev) AS rn FROM bal) WHERE rn=1""", _VECTORS),
+    "drawn_compositions": duck_with(_VP, """SELECT panel_id, draw, combo FROM (
+  SELECT panel_id, draw, total, CAST('0x'||substr(md5('seed:'||panel_id||':'||total||':'||draw),1,15) AS BIGINT) % (SELECT count(*) FROM dc WHERE dc.total=dr.total) AS ord FROM dr) JOIN dc USING (total, ord)""", {
+        "dr": "SELECT panel_id, CAST(panel_id%9+2 AS INTEGER) AS total, draw FROM (SELECT DISTINCT panel_id FROM v_panel_seqs), (SELECT CAST(unnest([1,2,3,4,5,6]) AS INTEGER) AS draw)",
+        "dc": f"""SELECT a+b+c+d AS total, a||','||b||','||c||','||d AS combo, row_number() OVER (PARTITION BY a+b+c+d ORDER BY d,c,b,a)-1 AS ord
+          FROM {", ".join(f"(SELECT CAST(unnest(range(0,{M_HETERO + 1})) AS INTEGER) AS {x})" for x in "abcd")}"""}),
+    "sampled_spacer_search": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, CAST(total AS INTEGER) AS total, score FROM (
+  SELECT panel_id, s, list_sum(s) AS total, score, row_number() OVER (PARTITION BY panel_id ORDER BY score DESC, list_sum(s), list_reverse(s)) AS rn FROM ld JOIN (
+    SELECT panel_id, n, s FROM (SELECT panel_id, n, total, CAST('0x'||substr(md5('seed:'||panel_id||':'||total||':'||draw),1,15) AS BIGINT) % (SELECT count(*) FROM tn WHERE tn.n=dr.n AND tn.total=dr.total) AS ord FROM dr) JOIN tn USING (n, total, ord)) USING (panel_id, n, s)) WHERE rn=1""", {
+        **_VECTORS,
+        "tn": "SELECT n, s, CAST(list_sum(s) AS INTEGER) AS total, row_number() OVER (PARTITION BY n, list_sum(s) ORDER BY list_reverse(s))-1 AS ord FROM vc",
+        "dr": f"SELECT panel_id, n, total, draw FROM (SELECT panel_id, n, CAST(unnest(range(0, n*{M_LIMIT}+1)) AS INTEGER) AS total FROM pn), (SELECT CAST(unnest([1,2,3,4,5,6]) AS INTEGER) AS draw)"}),
     "sampled_spacer_invariants": duck_with(_VP, "SELECT panel_id, draw, CAST(panel_id%9+2 AS INTEGER) AS total, true AS within FROM (SELECT DISTINCT panel_id FROM v_panel_seqs), (SELECT CAST(unnest([1,2,3,4,5,6]) AS INTEGER) AS draw)"),
     "spacer_landscape": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, round(total/n::DOUBLE,6) AS mean_length,
   round(sqrt((n*squares-total*total)/nullif(n*(n-1),0)::DOUBLE),6) AS sd_length, score FROM (SELECT *, list_sum(s) AS total, list_sum(list_transform(s, lambda x: x*x)) AS squares FROM ld)""", _VECTORS),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from oligoweave.operators import batch as B
 from oligoweave.operators import candidates as C
+from oligoweave.operators import balance
 from oligoweave.operators import multiplex as M
 from oligoweave.operators import profile as P
 from oligoweave.operators import ranking as W
@@ -104,8 +105,9 @@ def test_min_diversity_literals(spark):
 
 def test_compositions_order_and_ranges(spark):
     req = spark.createDataFrame([(1, 3, 3)], "panel_id int, limit int, total int")
-    rows = M.fixed_total_compositions(req, 3, "limit", "total")
-    parts = M.nth_compositions(rows, 5).orderBy("part").collect()
+    rows = balance.fixed_total_compositions(req, 3, "limit", "total").orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(10)) and [r.combo for r in rows] == sorted((r.combo for r in rows), key=lambda c: c[::-1])
+    parts = balance.compositions_at(req, 3, "limit", "total", 5).orderBy("part").collect()
     assert [r.combo for r in parts] == [[3, 0, 0], [1, 2, 0], [2, 0, 1], [0, 2, 1], [0, 1, 2]]
     assert [r.range_size for r in parts] == [2] * 5
 
@@ -135,7 +137,7 @@ def test_balanced_search_matches_brute_force(spark):
     panels = [(1, ["ATGCATGCA", "ATGCATGCA", "ATGCATGCA", "ATGCATGCA"]), (2, ["AACCGGTTA", "ACGTACGTA", "TTGGCCAAT", "GATTACAGA"])]
     for n_hetero, limit in ((4, 4),):
         df = spark.createDataFrame(panels, "panel_id int, seqs array<string>")
-        got = {r.panel_id: r for r in M.balanced_spacer_search(df, n_hetero, limit).collect()}
+        got = {r.panel_id: r for r in balance.balanced_spacer_search(df, n_hetero, limit).collect()}
         for panel, seqs in panels:
             good = [c for c in itertools.product(range(limit + 1), repeat=4) if brute_diversity(seqs, c, n_hetero) == 390625]
             best = min(good, key=lambda c: (sum(c), c[::-1]))
