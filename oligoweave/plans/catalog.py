@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from oligoweave.plans import catalog_profile, catalog_search, catalog_sequences, catalog_spacers, catalog_tables
+from oligoweave.plans import catalog_pool, catalog_profile, catalog_search, catalog_sequences, catalog_spacers, catalog_tables
 
-_PARTS = [catalog_profile, catalog_sequences, catalog_tables, catalog_search, catalog_spacers]
+_PARTS = [catalog_profile, catalog_sequences, catalog_tables, catalog_search, catalog_spacers, catalog_pool]
 
 FLAGSHIP = "greedy_panel_selection"
 QUERIES: dict = {}

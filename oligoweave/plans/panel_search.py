@@ -117,8 +117,3 @@ def greedy_panel_selection(inputs: PanelInputs, max_rank: int | None = None) ->
         step.write.mode("append").parquet(path)
         chosen = step.sparkSession.read.schema(step.schema).parquet(path)
     return chosen
-
-
-def unserved_targets(inputs: PanelInputs, chosen: DataFrame) -> DataFrame:
-    """Targets for which no valid pair was left."""
-    return inputs.targets.select(*TARGET).join(chosen.select(*TARGET), TARGET, "left_anti")

@@ -7,6 +7,8 @@ written separately, for the value checks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -455,5 +457,7 @@ def duck_with(views: list[str], query: str, extra: dict[str, str] | None = None)
     for view in views:
         add(view)
     parts = [f"{name} AS MATERIALIZED ({DUCK[name]})" for name in ordered]
-    parts += [f"{name} AS ({text})" for name, text in (extra or {}).items()]
+    # what a query names more than once is worked out once
+    once = {name for name in extra or {} if sum(len(re.findall(rf"\b{name}\b", text)) for text in [*extra.values(), query]) > 1}
+    parts += [f"{name} AS {'MATERIALIZED ' if name in once else ''}({text})" for name, text in (extra or {}).items()]
     return f"WITH {', '.join(parts)} {query}"
