@@ -48,6 +48,7 @@ COMBO_DISTINCT_WEIGHT = 4
 VARIANCE_DIVISOR = 3
 HAIRPIN_WEIGHT = 1
 HOMODIMER_WEIGHT = 4
+HETERODIMER_WEIGHT = 1
 # Binding search.
 KEEP_PER_TARGET = 1000
 CONSERVATION_LOSS = 0.2

@@ -6,6 +6,9 @@ shuffled until sets are compared or ranked.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import permutations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,15 +145,15 @@ def allowed_column_bases(combos: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def random_spacer_sets(combos: DataFrame, n_sets: int, seed: str) -> DataFrame:
-    """n seeded fillings per combo: (.., set_id, k, spacer).
+def random_spacer_sets(combos: DataFrame, n_sets: int | Column, seed: str) -> DataFrame:
+    """n seeded fillings per combo: (.., set_id, k, spacer); n may be a column.
 
     Columns are filled right to left. In a column every copy gets another base; a copy
     avoids the base to its right where it has a choice. Order and choice come from a
     keyed hash, so the same seed gives the same sets on any cluster.
     """
     sets = combos.withColumn("masked", S.mask_degenerate("seq")).withColumn(
-        "set_id", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1)))
+        "set_id", F.explode(F.sequence(F.lit(0), (n_sets if isinstance(n_sets, Column) else F.lit(n_sets)).cast("int") - 1))
     )
     tag = F.concat_ws(":", F.lit(seed), F.col("seq_id").cast("string"), F.col("set_id").cast("string"),
                       *[F.col(c).cast("string") for c in COMBO])
@@ -238,6 +241,7 @@ def spacer_space_by_gc(seqs: DataFrame, n_hetero: int, max_spacer: int, bands: i
 # --- scores -------------------------------------------------------------------------
 
 OVERLAP_CRITERIA = {"run": C.RUN_WEIGHT, "total": C.TOTAL_WEIGHT}
+PAIR_ENERGY_CRITERIA = {"heterodimer": C.HETERODIMER_WEIGHT}
 ENERGY_CRITERIA = {"hairpin": C.HAIRPIN_WEIGHT, "homodimer": C.HOMODIMER_WEIGHT}
 
 
@@ -283,13 +287,14 @@ def self_dimer_scores(primers: DataFrame, keys: list[str], by_energy: bool = Fal
     return _criteria_rows(scored, keys, {"run": F.col("o.run"), "total": F.col("o.total")}, OVERLAP_CRITERIA)
 
 
-def pair_dimer_scores(primers: DataFrame, keys: list[str]) -> DataFrame:
+def pair_dimer_scores(primers: DataFrame, keys: list[str], by_energy: bool = False) -> DataFrame:
     """Criterion scores of every forward with every reverse primer of a locus.
 
-    Oligos are encoded once, before the join. A locus has (sets x 4) primers per side, a
-    number set by the sampling budget.
+    By overlap, or by the energy of the duplex for loci whose primers are all shorter than the
+    solver limit. Oligos are encoded once, before the join. A locus has (sets x 4) primers per
+    side, a number set by the sampling budget.
     """
-    coded = primers.withColumn("e", S.encode_overlap("primer"))
+    coded = primers.withColumn("e", S.encode_energy("primer") if by_energy else S.encode_overlap("primer"))
 
     def side(direction: str, p: str) -> DataFrame:
         return coded.where(F.col("dir") == direction).select(
@@ -298,14 +303,14 @@ def pair_dimer_scores(primers: DataFrame, keys: list[str]) -> DataFrame:
         )
 
     pairs = side("F", "f").join(side("R", "r"), keys)
+    found = [*keys, "f_set", "f_k", "r_set", "r_k"]
+    if by_energy:
+        return _criteria_rows(pairs, found, {"heterodimer": S.energy_as_int(S.dimer_energy_encoded("f_e", "r_e"))}, PAIR_ENERGY_CRITERIA)
     scored = pairs.withColumn(
         "o",
         S.overlap_scores("f_e", "r_e", F.least("f_five", "r_five"), F.least("f_three", "r_three")),
     )
-    return _criteria_rows(
-        scored, [*keys, "f_set", "f_k", "r_set", "r_k"],
-        {"run": F.col("o.run"), "total": F.col("o.total")}, OVERLAP_CRITERIA,
-    )
+    return _criteria_rows(scored, found, {"run": F.col("o.run"), "total": F.col("o.total")}, OVERLAP_CRITERIA)
 
 
 def inherent_dimer_scores(loci: DataFrame, keys: list[str]) -> DataFrame:
@@ -354,21 +359,40 @@ def trim_spacer_sets(scored: DataFrame, keys: list[str], n: int) -> DataFrame:
     return top_n(scored, [*keys, "dir"], [F.col("set_score"), F.col("set_no")], n)
 
 
+#: The pairings of four forward with four reverse primers, in lexicographic order.
+PAIRINGS = list(permutations(range(4)))
+
+
+def penalised_of_four(scores: list[Column]) -> Column:
+    """``variance_penalised`` of the scores of four primer pairs that stand on one row."""
+    total = reduce(Column.__add__, scores)
+    squares = reduce(Column.__add__, [x * x for x in scores])
+    variance = (4 * squares - total * total) / F.lit(4 * 3)
+    return (total / F.lit(4) + F.sqrt(variance) / C.VARIANCE_DIVISOR).cast("bigint")
+
+
+def scores_of_pairings(cells: list[Column], weights: list[int | Column]) -> Column:
+    """Scores of the 24 pairings; a cell is an array of 16 scores of one criterion, the reverse primer running faster."""
+
+    def score(pairing: tuple[int, ...]) -> Column:
+        parts = [weight * penalised_of_four([F.get(cell, F.lit(4 * f + r)) for f, r in enumerate(pairing)]) for cell, weight in zip(cells, weights, strict=True)]
+        return reduce(Column.__add__, parts)
+
+    return F.array(*(score(pairing) for pairing in PAIRINGS))
+
+
 def pairing_scores(pair_criteria: DataFrame, keys: list[str]) -> DataFrame:
     """Score of each of the 24 pairings of every forward and reverse set.
 
-    The 16 primer pairs of two sets are scored once and gathered by the pairings.
+    The 16 scores of two sets and a criterion meet in an array; the pairings are expressions
+    over it, and their weighted scores are added up over the criteria.
     """
-    perms = D.arrangements(pair_criteria.sparkSession, 4, 4).select(
-        "perm_id", F.posexplode("perm").alias("f_k", "r_k")
-    )
     sets = [*keys, "f_set", "r_set"]
-    per_criterion = (
-        pair_criteria.join(F.broadcast(perms), ["f_k", "r_k"])  # 96 rows by definition
-        .groupBy(*sets, "perm_id", "criterion", "weight")
-        .agg(variance_penalised("score").alias("s"))
-    )
-    return per_criterion.groupBy(*sets, "perm_id").agg(F.sum(F.col("weight") * F.col("s")).alias("score"))
+    cell = F.array_sort(F.collect_list(F.struct("f_k", "r_k", "score")))
+    per_criterion = pair_criteria.groupBy(*sets, "criterion", "weight").agg(F.transform(cell, lambda x: x["score"]).alias("cell"))
+    scored = per_criterion.select(*sets, scores_of_pairings([F.col("cell")], [F.col("weight")]).alias("scores"))
+    summed = scored.groupBy(*sets).agg(*(F.sum(F.get("scores", F.lit(i))).alias(f"p{i}") for i in range(len(PAIRINGS))))
+    return summed.select(*sets, F.posexplode(F.array(*(F.col(f"p{i}") for i in range(len(PAIRINGS))))).alias("perm_id", "score"))
 
 
 def best_pairing(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -217,6 +217,7 @@ QUERIES = {
     "self_dimer_scores": lambda s, d: H.self_dimer_scores(primers(s, d), PRIMER),
     "self_dimer_energy_scores": lambda s, d: H.self_dimer_scores(primers(s, d), PRIMER, by_energy=True),
     "pair_dimer_scores": pair_scores,
+    "pair_dimer_energy_scores": lambda s, d: H.pair_dimer_scores(primers(s, d), LOCUS, by_energy=True),
     "inherent_dimer_scores": lambda s, d: H.inherent_dimer_scores(fixed_parts(s, d), ["panel_id", "i"]),
     "variance_penalised_score": lambda s, d: H.self_dimer_scores(primers(s, d), PRIMER).groupBy(
         "locus", "dir", "set_no", "criterion").agg(H.variance_penalised("score").alias("score")),
@@ -462,6 +463,11 @@ ORACLE = {
         "hp": _HAIR,
     }),
     "pair_dimer_scores": duck_with(_VS, "SELECT * FROM ps", _PAIRS),
+    "pair_dimer_energy_scores": duck_with(_VS, """SELECT locus, f_set, f_k, r_set, r_k, 'heterodimer' AS criterion, 1 AS weight, CAST(-trunc(e/100.0::DOUBLE) AS BIGINT) AS score FROM pq JOIN ov_scores USING (id)""", {
+        "pm2": _PRIMERS,
+        "pq": """SELECT f.locus||':'||f.set_no||':'||f.k||':'||r.set_no||':'||r.k AS id, f.locus, f.set_no AS f_set, f.k AS f_k, r.set_no AS r_set, r.k AS r_k, f.p AS a, r.p AS b
+          FROM pm2 f JOIN pm2 r ON f.locus=r.locus AND f.dir='F' AND r.dir='R'""",
+        **overlap_ctes("SELECT id, a, b, 0 AS f_skip, 0 AS r_skip FROM pq")}),
     "inherent_dimer_scores": duck_with(_VP, "SELECT panel_id, i, CAST(max(run) AS INTEGER) AS run, CAST(max(total) AS INTEGER) AS total FROM ii JOIN ov_scores USING (id) GROUP BY 1,2", {
         "ii": """SELECT panel_id||':'||i||':'||k AS id, panel_id, i, a, b FROM (SELECT panel_id, i, 1 AS k, f_adapt AS a, r_adapt AS b FROM v_panel_seqs UNION ALL SELECT panel_id, i, 2, f_adapt, r_bind FROM v_panel_seqs
           UNION ALL SELECT panel_id, i, 3, f_bind, r_adapt FROM v_panel_seqs UNION ALL SELECT panel_id, i, 4, f_bind, r_bind FROM v_panel_seqs)""",
