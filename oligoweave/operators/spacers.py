@@ -374,11 +374,14 @@ def penalised_of_four(scores: list[Column]) -> Column:
 def scores_of_pairings(cells: list[Column], weights: list[int | Column]) -> Column:
     """Scores of the 24 pairings; a cell is an array of 16 scores of one criterion, the reverse primer running faster."""
 
-    def score(pairing: tuple[int, ...]) -> Column:
-        parts = [weight * penalised_of_four([F.get(cell, F.lit(4 * f + r)) for f, r in enumerate(pairing)]) for cell, weight in zip(cells, weights, strict=True)]
+    def score(pairing: Column) -> Column:
+        parts = [
+            weight * penalised_of_four([F.get(cell, F.get(pairing, F.lit(f)) + 4 * f) for f in range(4)])
+            for cell, weight in zip(cells, weights, strict=True)
+        ]
         return reduce(Column.__add__, parts)
 
-    return F.array(*(score(pairing) for pairing in PAIRINGS))
+    return F.transform(F.array(*(F.array(*map(F.lit, pairing)) for pairing in PAIRINGS)), score)
 
 
 def pairing_scores(pair_criteria: DataFrame, keys: list[str]) -> DataFrame:
@@ -597,19 +600,3 @@ def weighted_criteria(first: str, second: str, criteria: dict | None = None) ->
     for build, weight in (criteria or CRITERIA).values():
         total = total + build(F.col(first), F.col(second)) * weight
     return total
-
-
-def genset_batch(loci: DataFrame, n_hetero: int, max_spacer: int, n_sets: int, seed: str) -> DataFrame:
-    """Spacer sets for template primers: set j uses one of the four best combos.
-
-    loci(seq_id, seq, ...). The combo is drawn per set by a keyed hash among the ranks
-    that exist.
-    """
-    best = rank_spacer_combos(spacer_length_combos(loci, n_hetero, max_spacer), 4)
-    options = best.groupBy(*loci.columns).agg(F.array_sort(F.collect_list(F.struct("rank", *COMBO))).alias("options"))
-    drawn = options.withColumn("set_no", F.explode(F.sequence(F.lit(0), F.lit(n_sets - 1))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("seq_id").cast("string"),
-                                                F.col("set_no").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    drawn = drawn.withColumn("o", F.get("options", F.pmod(pick, F.size("options")).cast("int")))
-    flat = drawn.select(*loci.columns, "set_no", *[F.col(f"o.{c}").alias(c) for c in COMBO])
-    return random_spacer_sets(flat.withColumn("seq_id", F.concat_ws("-", F.col("seq_id").cast("string"), F.col("set_no").cast("string"))), 1, seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oligoweave.functions import dimensions as D
@@ -9,6 +10,7 @@ from oligoweave.functions import sequence as S
 from oligoweave.operators import balance as B
 from oligoweave.operators import multiplex as M
 from oligoweave.operators import spacers as H
+from oligoweave.plans import four_copy as FC
 from oligoweave.plans import views as V
 from oligoweave.plans.catalog_sequences import _STEPS, overlap_ctes
 from oligoweave.plans.views import duck_with
@@ -19,6 +21,7 @@ LIMIT = 8
 M_HETERO = 5
 M_LIMIT = 4
 WIDE_HETERO = 12
+N_COPIES_HETERO = 12
 WIDE_LIMIT = 12
 COMBO = H.COMBO
 LOCUS = ["locus"]
@@ -176,20 +179,32 @@ def base_counts(s, d):
     )
 
 
+def designs(s, d):
+    """Every template locus in turn, one a supplier, at one of two rigours."""
+    loci = D.template_sets(s).withColumn("n", F.row_number().over(Window.orderBy("name", "i")) - 1)
+    key = F.col("s_suppkey")
+    return V.table(s, d, "supplier").select(
+        key.cast("string").alias("design"), F.pmod(key, F.lit(20)).cast("int").alias("n"), F.when(F.pmod(key, F.lit(3)) == 0, -199).otherwise(-399).alias("rigour")
+    ).join(F.broadcast(loci), "n").select("design", "rigour", "name", "i", "f_adapt", "r_adapt", "f_bind", "r_bind")  # twenty template loci
+
+
 def genset_batch(s, d):
-    """Template bindings per supplier, two rigours, two sets each."""
-    sup = V.table(s, d, "supplier").select("s_suppkey", F.get(
-        F.array(*[F.lit(g[0]) for g in D.GENSETS]), F.pmod("s_suppkey", F.lit(10)).cast("int")).alias("name"))
-    loci = sup.join(F.broadcast(D.template_sets(s)), "name").withColumn("rigour", F.explode(F.array(F.lit(-1), F.lit(1))))
-    loci = loci.where(F.length("f_bind") >= 12).select(
-        F.concat_ws("-", "name", F.col("i").cast("string"), F.col("s_suppkey").cast("string"), F.col("rigour").cast("string")).alias("seq_id"),
-        F.col("f_bind").alias("seq"), "f_adapt", "rigour",
-    )
-    return H.sampling_budget(H.genset_batch(loci, 12, 12, 2, "seed")).select(
-        "seq_id", "set_id", "k", S.assemble_primer("f_adapt", F.lit(""), "spacer", "seq").alias("primer"), "n_random", "n_compare"
+    """The best pair of four-copy sets of every design, as numbered primers."""
+    own = designs(s, d)
+    found = FC.four_copy_design(own, N_COPIES_HETERO, N_COPIES_HETERO, "seed")
+    primers = F.posexplode_outer(F.arrays_zip("f_primers", "r_primers")).alias("k", "p")
+    return own.select("design", "name", "i", "rigour").join(found, "design").select(
+        "design", "name", "i", "rigour", "reason", "score", "n_drawn", "n_compared", "n_scored", primers
+    ).select("design", "name", "i", "rigour", "reason", "score", "n_drawn", "n_compared", "n_scored", "k", "p.f_primers", "p.r_primers").withColumnsRenamed(
+        {"f_primers": "f_primer", "r_primers": "r_primer"}
     )
 
 
+def genset_rules(s, d):
+    own = cut_lineage(designs(s, d))
+    return FC.design_rules(cut_lineage(FC.four_copy_design(own, N_COPIES_HETERO, N_COPIES_HETERO, "seed")), own)
+
+
 def elimination(s, d):
     return H.successive_elimination(matrix(s, d), ["run"], 35, 3, 2, 35).select("run", "f", "r")
 
@@ -244,6 +259,7 @@ QUERIES = {
         "pair_id", S.encode_overlap("s1").alias("a"), S.encode_overlap("s2").alias("b")
     ).select("pair_id", H.weighted_criteria("a", "b").cast("bigint").alias("score")),
     "genset_batch": genset_batch,
+    "genset_rules": genset_rules,
     # N sequences
     "column_diversity": lambda s, d: base_counts(s, d).select(
         "l_partkey", M.column_diversity(F.col("u"), F.array("a", "t", "g", "c")).alias("diversity")),
@@ -495,6 +511,8 @@ ORACLE = {
     "score_distribution": duck_with(["v_score_matrix"], "SELECT run, score AS bin, count(*) AS n FROM mx GROUP BY 1,2", _MAT),
     "score_distribution_stats": duck_with(["v_score_matrix"], "SELECT run, round(avg(score),6) AS mean_score, round(stddev_pop(score),6) AS sd_score FROM mx GROUP BY 1", _MAT),
     "criterion_registry": duck_with(["v_oligo_pairs"], "SELECT id AS pair_id, CAST(3*run+total AS BIGINT) AS score FROM ov_scores", overlap_ctes("SELECT pair_id AS id, s1 AS a, s2 AS b, 0 AS f_skip, 0 AS r_skip FROM v_oligo_pairs")),
+    "genset_rules": """SELECT CAST(s_suppkey AS VARCHAR) AS design, 'designed' AS reason, CAST(CASE s_suppkey%3 WHEN 0 THEN floor(1000/200.0) ELSE floor(1000/400.0) END AS BIGINT) AS n_drawn,
+  CAST(CASE s_suppkey%3 WHEN 0 THEN least(5, trunc(35/pow(200.0,1/3.0::DOUBLE))) ELSE least(2, trunc(35/pow(400.0,1/3.0::DOUBLE))) END AS BIGINT) AS n_compared, true AS whole, true AS scored FROM supplier""",
     "column_diversity": duck_with([], "SELECT l_partkey, diversity FROM dv", {**_BC, "dv": _diversity("bc", "l_partkey")}),
     "min_diversity": duck_with(_VP, "SELECT panel_id, min(diversity) AS score FROM dv GROUP BY 1", {
         **_SHIFT, "ce": _cells("8"), "ct": f"SELECT panel_id, col, {_COUNTED} FROM ce GROUP BY 1,2", "dv": _diversity("ct", "panel_id, col")}),
