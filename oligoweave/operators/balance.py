@@ -15,9 +15,13 @@ its number and drawn with equal chance without listing the others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +136,87 @@ def balanced_spacer_search(panels: DataFrame, width: int, limit: int) -> DataFra
     return smallest_total(panels, width, limit).join(counts, "panel_id")
 
 
+def diversity_table(n: int) -> np.ndarray:
+    """Score of a column of n copies by its counts of the four bases; vacant copies go to the scarcest base, one by one."""
+    table = np.zeros((n + 1,) * 4, np.int64)
+    for counts in itertools.product(range(n + 1), repeat=4):
+        if sum(counts) <= n:
+            poured = sorted(counts)
+            for _ in range(n - sum(counts)):
+                poured = sorted([poured[0] + 1, *poured[1:]])
+            table[counts] = math.floor(round(math.prod(max(x / n * 100, 1.0) for x in poured), 6))
+    return table
+
+
+def counted_vectors(sized: DataFrame, n: int, width: int, limit: int) -> DataFrame:
+    """Every vector of spacers 0..limit of every panel of n sequences with its column counts.
+
+    The counts of a prefix serve all vectors that begin with it: each vector adds one
+    sequence to them. Adds ``combo``, ``total`` and the counts.
+    """
+    tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns, zero = Columns(n, width), F.lit(0).cast("bigint")
+    rows = sized.select(
+        "panel_id", columns.masks(F.col("seqs")).alias("masks"), F.array().cast("array<int>").alias("combo"), F.lit(0).alias("total"),
+        *(zero.alias(name) for name in columns.names),
+    )
+    for k in range(n):
+        grown = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(limit))))
+        added = columns.shifted(F.col("masks"), k, F.col("s"))
+        rows = grown.select(
+            "panel_id", "masks", F.concat("combo", F.array("s")).alias("combo"), (F.col("total") + F.col("s")).alias("total"),
+            *((F.col(name) + more).alias(name) for name, more in zip(columns.names, added, strict=True)),
+        )
+        if k == 1 and n > 3:
+            rows = rows.repartition(tasks, "panel_id", "combo")
+    return rows.drop("masks")
+
+
+def vector_scores(counted: DataFrame, n: int, width: int) -> DataFrame:
+    """panel_id, combo, total, score: the least diverse of the first columns, looked up by their counts."""
+    columns = Columns(n, width)
+    names, bits, per, table = columns.names, columns.bits, columns.per, diversity_table(n)
+    kind = counted.schema["panel_id"].dataType.simpleString()
+    words = columns.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [batch.column(name).to_numpy() for name in names]
+            worst = np.full(batch.num_rows, 25**4, np.int64)
+            for col in range(width):
+                at = [(counts[base * words + col // per] >> (bits * (col % per))) & ((1 << bits) - 1) for base in range(4)]
+                worst = np.minimum(worst, table[tuple(at)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("panel_id"), batch.column("combo"), batch.column("total"), pa.array(worst)], ["panel_id", "combo", "total", "score"]
+            )
+
+    return counted.mapInArrow(run, f"panel_id {kind}, combo array<int>, total int, score bigint")
+
+
+def spacer_landscape(panels: DataFrame, width: int, limit: int) -> DataFrame:
+    """Mean, sample deviation and worst column of every spacer vector of every panel, at its own size.
+
+    A panel of one sequence has no deviation.
+    """
+
+    def of_size(sized: DataFrame, n: int) -> DataFrame:
+        squares = F.aggregate("combo", F.lit(0), lambda a, x: a + x * x)
+        total = F.col("total")
+        return vector_scores(counted_vectors(sized, n, width, limit), n, width).select(
+            "panel_id", "combo", (total / n).alias("mean_length"),
+            F.sqrt((n * squares - total * total) / F.nullif(F.lit(n * (n - 1)), F.lit(0))).alias("sd_length"), "total", "score",
+        )
+
+    return M.by_panel_size(panels, of_size)
+
+
+def landscape_by_total(landscape: DataFrame) -> DataFrame:
+    """Per panel and total: vectors, their best and mean worst column."""
+    return landscape.groupBy("panel_id", "total").agg(
+        F.count("*").alias("n_vectors"), F.max("score").alias("best_score"), F.avg("score").alias("mean_score")
+    )
+
+
 def first_combo(found: DataFrame, *leading: Column) -> DataFrame:
     """Per panel the combo of least total, then of least reversed digits; ``leading`` columns go before."""
     best = F.min(F.struct(*(x.alias(f"lead{i}") for i, x in enumerate(leading)), "total", F.reverse("combo").alias("rev"), "combo")).alias("b")

@@ -134,26 +134,6 @@ def by_panel_size(panels: DataFrame, search: Callable[[DataFrame, int], DataFram
         return reduce(DataFrame.unionByName, found)
 
 
-def spacer_landscape(panels: DataFrame, n_hetero: int, limit: int) -> DataFrame:
-    """Mean, sample deviation and worst column of every spacer vector of every panel, at its own size.
-
-    A panel of one sequence has no deviation.
-    """
-    return by_panel_size(panels, lambda sized, n: _landscape(sized, n, n_hetero, limit))
-
-
-def _landscape(sized: DataFrame, n: int, n_hetero: int, limit: int) -> DataFrame:
-    vectors = all_spacer_vectors(sized, n, limit)
-    total = F.aggregate("combo", F.lit(0), lambda a, x: a + x)
-    squares = F.aggregate("combo", F.lit(0), lambda a, x: a + x * x)
-    return vectors.select(
-        "panel_id", "ord", "combo",
-        (total / n).alias("mean_length"),
-        F.sqrt((n * squares - total * total) / F.nullif(F.lit(n * (n - 1)), F.lit(0))).alias("sd_length"),
-        min_diversity(F.col("seqs"), F.col("combo"), F.lit(n_hetero)).alias("score"),
-    )
-
-
 # --- pools --------------------------------------------------------------------------
 
 
@@ -278,22 +258,32 @@ def pool_oligos(pool: DataFrame, keys: list[str]) -> DataFrame:
     return forward.unionByName(reverse)
 
 
-def all_pairs_energy(oligos: DataFrame, keys: list[str]) -> DataFrame:
+#: Primers of a pool in a tile: a pair of tiles is one row of work.
+TILE = 256
+
+
+def tiled(oligos: DataFrame, keys: list[str], encoded: Column, size: int = TILE) -> DataFrame:
+    """Primers of a pool packed ``size`` to a row: keys, tile, members (idx, e)."""
+    tile = F.floor(F.col("idx") / size).cast("int").alias("tile")
+    rows = oligos.select(*keys, tile, F.struct("idx", encoded.alias("e")).alias("x"))
+    return rows.groupBy(*keys, "tile").agg(F.collect_list("x").alias("members"))
+
+
+def all_pairs_energy(oligos: DataFrame, keys: list[str], size: int = TILE) -> DataFrame:
     """Energy of every unordered pair of a pool, self pairs included.
 
-    Each primer lists the numbers of its partners and meets them in an equi-join on
-    (pool, number): pairs of one large pool are spread over all tasks. Oligos are encoded
-    once, before the join.
+    Primers are encoded once and packed in tiles; a tile travels once for each tile that it
+    meets, not once for each primer. Pairs of tiles meet in an equi-join on (pool, tile) and
+    are opened where they are scored, so one large pool is spread over all tasks.
     """
-    coded = oligos.withColumn("e", S.encode_energy("primer")).drop("primer")
-    last = coded.groupBy(*keys).agg(F.max("idx").alias("last"))
-    left = (
-        coded.join(last, keys)
-        .withColumn("j", F.explode(F.sequence("idx", "last")))
-        .select(*keys, F.col("idx").alias("i"), "j", F.col("e").alias("a"))
+    tiles = cut_lineage(tiled(oligos, keys, S.encode_energy("primer"), size))
+    last = tiles.groupBy(*keys).agg(F.max("tile").alias("last"))
+    left = tiles.select(*keys, F.col("tile").alias("first"), F.col("members").alias("a")).join(last, keys).withColumn(
+        "tile", F.explode(F.sequence("first", "last"))
     )
-    right = coded.select(*keys, F.col("idx").alias("j"), F.col("e").alias("b"))
-    return left.join(right, [*keys, "j"]).select(*keys, "i", "j", S.dimer_energy_encoded("a", "b").alias("energy"))
+    pairs = left.join(tiles, [*keys, "tile"])
+    opened = pairs.select(*keys, F.explode("a").alias("a"), "members").select(*keys, "a", F.explode("members").alias("b")).where("a.idx <= b.idx")
+    return opened.select(*keys, F.col("a.idx").alias("i"), F.col("b.idx").alias("j"), S.dimer_energy_encoded("a.e", "b.e").alias("energy"))
 
 
 def pool_score(energies: DataFrame, keys: list[str], loci: DataFrame) -> DataFrame:

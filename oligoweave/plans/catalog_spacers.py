@@ -82,11 +82,11 @@ def mixed_panels(s, d):
     return M.panel_rows(V.mixed_panels(s, d), "f_bind")
 
 
-def wide_panels(s, d):
-    """Panels of nine binding sequences."""
+def panels_of(s, d, size):
+    """Panels of so many binding sequences; what is left over makes none."""
     key = F.col("panel_id") * 4 + F.col("i")
-    rows = V.panel_seqs(s, d).select(F.floor(key / 9).cast("bigint").alias("panel_id"), (key % 9).cast("int").alias("i"), "f_bind")
-    return M.panel_rows(rows, "f_bind").where(F.size("seqs") == 9)
+    rows = V.panel_seqs(s, d).select(F.floor(key / size).cast("bigint").alias("panel_id"), (key % size).cast("int").alias("i"), "f_bind")
+    return M.panel_rows(rows, "f_bind").where(F.size("seqs") == size)
 
 
 def drawn(s, d):
@@ -274,16 +274,18 @@ QUERIES = {
         "panel_id", text("combo"), "total", "n_balanced"),
     "smallest_max_spacer": lambda s, d: B.smallest_longest(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), "longest", "total"),
-    "smallest_total_wide": lambda s, d: B.smallest_total(wide_panels(s, d), WIDE_HETERO, WIDE_LIMIT).select("panel_id", text("combo"), "total"),
-    "smallest_longest_wide": lambda s, d: B.smallest_longest(wide_panels(s, d), WIDE_HETERO, WIDE_LIMIT).select(
+    "smallest_total_wide": lambda s, d: B.smallest_total(panels_of(s, d, 9), WIDE_HETERO, WIDE_LIMIT).select("panel_id", text("combo"), "total"),
+    "smallest_longest_wide": lambda s, d: B.smallest_longest(panels_of(s, d, 9), WIDE_HETERO, WIDE_LIMIT).select(
         "panel_id", text("combo"), "longest", "total"),
     "sampled_spacer_search": lambda s, d: B.sampled_search(mixed_panels(s, d), M_HETERO, M_LIMIT, 6, "seed").select(
         "panel_id", text("combo"), "total", "score"),
     "drawn_compositions": lambda s, d: drawn(s, d).select("panel_id", "draw", text("combo")),
     "sampled_spacer_invariants": lambda s, d: drawn(s, d).select(
         "panel_id", "draw", F.aggregate("combo", F.lit(0), lambda a, x: a + x).alias("total"), (F.array_max("combo") <= M_HETERO).alias("within")),
-    "spacer_landscape": lambda s, d: M.spacer_landscape(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
+    "spacer_landscape": lambda s, d: B.spacer_landscape(mixed_panels(s, d), M_HETERO, M_LIMIT).select(
         "panel_id", text("combo"), *six("mean_length", "sd_length"), "score"),
+    "spacer_landscape_by_total": lambda s, d: B.landscape_by_total(B.spacer_landscape(panels_of(s, d, 7), M_HETERO, M_LIMIT)).select(
+        "panel_id", "total", "n_vectors", "best_score", *six("mean_score")),
     "hetero_alignment": lambda s, d: M.hetero_alignment(shifted_rows(s, d)),
     "column_base_quota": lambda s, d: M.column_base_quota(M.hetero_alignment(shifted_rows(s, d))),
     "random_balanced_spacers": lambda s, d: M.random_balanced_spacers(shifted_panels(s, d), 3, "seed"),
@@ -537,6 +539,12 @@ ORACLE = {
     "sampled_spacer_invariants": duck_with(_VP, "SELECT panel_id, draw, CAST(panel_id%9+2 AS INTEGER) AS total, true AS within FROM (SELECT DISTINCT panel_id FROM v_panel_seqs), (SELECT CAST(unnest([1,2,3,4,5,6]) AS INTEGER) AS draw)"),
     "spacer_landscape": duck_with(["v_mixed_panels"], """SELECT panel_id, array_to_string(s, ',') AS combo, round(total/n::DOUBLE,6) AS mean_length,
   round(sqrt((n*squares-total*total)/nullif(n*(n-1),0)::DOUBLE),6) AS sd_length, score FROM (SELECT *, list_sum(s) AS total, list_sum(list_transform(s, lambda x: x*x)) AS squares FROM ld)""", _VECTORS),
+    "spacer_landscape_by_total": duck_with(["v_panel_seqs"], """SELECT panel_id, CAST(total AS INTEGER) AS total, count(*) AS n_vectors, max(score) AS best_score, round(avg(score),6) AS mean_score FROM (
+  SELECT panel_id, list_sum(s) AS total, score FROM ld) GROUP BY 1,2""", {
+        "p7": "SELECT (panel_id*4+i)//7 AS panel_id, (panel_id*4+i)%7 AS i, f_bind FROM v_panel_seqs",
+        "pn": "SELECT panel_id, list(f_bind ORDER BY i) AS qs, count(*) AS n FROM p7 GROUP BY 1 HAVING count(*)=7",
+        "vc": f"SELECT 7 AS n, [a,b,c,d,e,f,g] AS s FROM {', '.join(f'(SELECT unnest(range(0,{M_LIMIT + 1})) AS {x})' for x in 'abcdefg')}",
+        **{k: _VECTORS[k] for k in ("cl", "cnt", "kinds", "dv", "ld")}}),
     "hetero_alignment": duck_with(_VP, "SELECT * FROM ce", {**_SHIFT, "ce": _cells("width")}),
     "column_base_quota": duck_with(_VP, """SELECT panel_id, col, vacant, base, q AS quota, q < 0 AS overfull FROM (SELECT panel_id, col, vacant, b.base, CAST(ceil(n/4.0) AS BIGINT) - (SELECT count(*) FROM ce x WHERE x.panel_id=y.panel_id AND x.col=y.col AND x.base=b.base) AS q
   FROM (SELECT panel_id, col, count(*) AS n, count(*) FILTER (base='-') AS vacant FROM ce GROUP BY 1,2) y, (SELECT unnest(['A','T','C','G']) AS base) b)""", {**_SHIFT, "ce": _cells("width")}),

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from oligoweave.operators import balance as B
-from oligoweave.operators import multiplex as M
 from oligoweave.operators import ranking as W
 
 
@@ -112,4 +111,4 @@ def test_lowest_by_counts(spark):
 def test_panels_of_no_rows(spark):
     none = spark.createDataFrame([], "panel_id long, seqs array<string>")
     assert B.smallest_total(none, 3, 2).collect() == [] and B.smallest_longest(none, 3, 2).collect() == []
-    assert M.spacer_landscape(none, 3, 2).collect() == []
+    assert B.spacer_landscape(none, 3, 2).collect() == []
