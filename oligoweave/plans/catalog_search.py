@@ -17,7 +17,7 @@ from oligoweave.plans import panel_search as PS
 from oligoweave.plans import views as V
 from oligoweave.plans.catalog_sequences import _TM, overlap_ctes
 from oligoweave.plans.views import duck_with
-from oligoweave.session import cut_lineage
+from oligoweave.session import cut_lineage, scratch_path
 from oligoweave.sources import sinks as K
 
 TARGET = C.TARGET
@@ -135,9 +135,12 @@ def six(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
-def region_report(spark, sf_dir):
-    picked = PS.greedy_panel_selection(raw_inputs(spark, sf_dir))
-    return K.binding_report(picked.withColumn("score", F.round("score", 6)))
+def region_report(x):
+    """The report of the pairs selected first, written and read back."""
+    picked = G.select_pair(G.dimer_scored(x.close, x.partners)).withColumn("score", F.round("score", 6))
+    path = scratch_path(x.spark, "report")
+    K.sink_binding_report(picked, path)
+    return x.spark.read.schema(K.binding_report(picked).schema).json(path)
 
 
 def panel_rules(spark, sf_dir):
@@ -218,7 +221,7 @@ QUERIES = {
     "select_pair_random_k": search(lambda x: G.select_pair_random_k(x.kept, 10, "seed").select(*TARGET, *PAIR, *six("score"))),
     "greedy_panel_selection": lambda s, d: PS.greedy_panel_selection(raw_inputs(s, d)).select(
         *TARGET, "aln_id", "rank", *PAIR, "f_seq", "r_seq", *six("f_tm", "r_tm", "score", "dimer_score")),
-    "sink_binding_report": region_report,
+    "sink_binding_report": search(region_report),
     "overlap_dimer_score": lambda s, d: V.oligo_pairs(s, d).select(
         "pair_id", F.round(G.S.overlap_dimer_score("s1", "s2"), 6).alias("score")),
     "quad_dimer_score": lambda s, d: V.panel_seqs(s, d).select(
@@ -437,6 +440,9 @@ ORACLE = {
     "panel_dimer_structures": duck_with(_VIEWS, f"SELECT {_PK}, round(energy,6) AS energy FROM se", _ENERGY),
     "worst_quartile_energy": duck_with(_VIEWS, f"SELECT {_PK}, round(dimer_score,6) AS dimer_score FROM wq", _ENERGY),
     "select_pair": duck_with(_VIEWS, f"SELECT {_PK}, round(score,6) AS score, round(dimer_score,6) AS dimer_score FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, target ORDER BY dimer_score DESC, score DESC, f_5p, f_len, r_5p, r_len) AS rn FROM wq) WHERE rn=1", _ENERGY),
+    "sink_binding_report": duck_with(_VIEWS, """SELECT panel_id, target, round(wq.score,6) AS score, f_5p AS f_start, f_5p+f_len-1 AS f_end, f_seq, r_5p-r_len+1 AS r_start, r_5p AS r_end, r_seq,
+  reverse(translate(r_seq,'ATCG','TAGC')) AS r_seq_rc FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, target ORDER BY dimer_score DESC, score DESC, f_5p, f_len, r_5p, r_len) AS rn FROM wq) wq
+  JOIN pr USING (panel_id, target, f_5p, f_len, r_5p, r_len) WHERE rn=1""", _ENERGY),
     "select_pair_random_k": duck_with(_VIEWS, f"""SELECT {_PK}, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY panel_id, target ORDER BY md5('seed:'||target||':'||f_5p||':'||f_len||':'||r_5p||':'||r_len)) AS k FROM kp WHERE rn <= 10) WHERE k=1""", _PAIRS),
     "overlap_dimer_score": duck_with(["v_oligo_pairs"], "SELECT id AS pair_id, round(12*(3*run+total)/(length(a)+length(b))::DOUBLE,6) AS score FROM ov_scores JOIN ov_in USING (id)", overlap_ctes("SELECT pair_id AS id, s1 AS a, s2 AS b, 0 AS f_skip, 0 AS r_skip FROM v_oligo_pairs")),
     "quad_dimer_score": duck_with(["v_panel_seqs"], "SELECT panel_id, i, round(sqrt(sum(d*d))/4,6) AS score FROM (SELECT panel_id, i, 12*(3*run+total)/(length(a)+length(b))::DOUBLE AS d FROM ov_scores JOIN qi USING (id)) GROUP BY 1,2", {

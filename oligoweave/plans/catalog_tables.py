@@ -108,14 +108,13 @@ def load_results_dir(spark, sf_dir):
 
 def load_panel_tables(spark, sf_dir):
     root = scratch_path(spark, "panel")
-    V.targets(spark, sf_dir).write.json(f"{root}/targets")
-    V.params(spark, sf_dir).write.json(f"{root}/params")
-    targets = PT.load_panel_table(spark, f"{root}/targets", "targets")
-    params = PT.load_panel_table(spark, f"{root}/params", "params")
-    return targets.join(params, "panel_id").select(
+    for name, rows in (("targets", V.targets), ("params", V.params), ("adapters", V.panel_adapters)):
+        rows(spark, sf_dir).write.json(f"{root}/{name}")
+    tables = PT.load_panel_tables(spark, root)
+    return tables["targets"].join(tables["params"], "panel_id").join(tables["adapters"], "panel_id").select(
         "panel_id", "target", "aln_id",
         F.get("sites", F.lit(0)).alias("site1"), F.get("sites", F.lit(1)).alias("site2"),
-        "ideal_binding_size", "max_binding_target_len", "target_tm",
+        "ideal_binding_size", "max_binding_target_len", "target_tm", F.col("i").alias("adapter"), "forward", "reverse",
     )
 
 
@@ -209,6 +208,15 @@ def first_dimers(spark, sf_dir):
     return W.dedupe_keep_first([homo, hetero], ["run", "p", "comp"], ["offset"])
 
 
+def set_files(spark, sf_dir):
+    """Four-primer sets written as FASTA and read back: records by name and sequence."""
+    path = scratch_path(spark, "sets")
+    K.sink_fasta_sets(V.spacer_sets(spark, sf_dir), path)
+    fields = A.fasta_fields(F.col("value"))
+    back = spark.read.text(path, lineSep="\n>").select(fields["name"].alias("name"), fields["seq"].alias("seq"))
+    return back.groupBy("name", "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
 def set_text(spark, sf_dir):
     sets = V.spacer_sets(spark, sf_dir)
     plain = K.fasta_set_text(sets, fasta=False).select("locus", "dir", "set_no", "k", F.col("text").alias("plain"))
@@ -240,6 +248,7 @@ QUERIES = {
     "load_panel_tables": load_panel_tables,
     "sink_fasta_pool": sink_fasta_pool,
     "sink_fasta_sets": set_text,
+    "sink_fasta_sets_files": set_files,
     "sink_scores_csv": sink_scores_csv,
     "append_run_log": append_run_log,
     # ranking
@@ -328,10 +337,12 @@ UNION ALL SELECT file, primer, partner%2=0, tail-lead, comp, false FROM it WHERE
   CASE WHEN partner%2=0 THEN tail ELSE tail-lead END AS "offset", comp, false AS misaligned FROM it""", _ITEMS),
     "load_results_dir": duck_with([], """SELECT CAST(supp%21-10 AS INTEGER) AS rig, CAST(supp AS INTEGER) AS set_no, count(*)+count(*) FILTER (twice) AS n_homo,
   CAST(sum(comp)+coalesce(sum(comp) FILTER (twice),0) AS BIGINT) AS homo_comp, count(*) AS n_hetero, CAST(sum(comp) AS BIGINT) AS hetero_comp FROM it GROUP BY supp""", _ITEMS),
-    "load_panel_tables": duck_with(["v_params"], "SELECT panel_id, target, aln_id, site1, site2, ideal_binding_size, max_binding_target_len, target_tm FROM v_targets JOIN v_params USING (panel_id)"),
+    "load_panel_tables": duck_with(["v_params", "v_adapters"], "SELECT panel_id, target, aln_id, site1, site2, ideal_binding_size, max_binding_target_len, target_tm, i AS adapter, forward, reverse FROM v_targets JOIN v_params USING (panel_id), v_adapters"),
     "sink_fasta_pool": duck_with(["v_panel_seqs"], """
 SELECT panel_id, CASE WHEN panel_id%2=0 THEN 'locus'||i||'_F' ELSE '_F'||(i+1) END AS name, f_adapt||f_bind AS seq FROM v_panel_seqs UNION ALL
 SELECT panel_id, CASE WHEN panel_id%2=0 THEN 'locus'||i||'_R' ELSE '_R'||(i+1) END, r_adapt||r_bind FROM v_panel_seqs"""),
+    "sink_fasta_sets_files": duck_with(["v_spacer_sets"], """
+SELECT CASE dir WHEN 'F' THEN 'Forward' ELSE 'Reverse' END||' #'||(set_no*4+1+k) AS name, adapter||lower(spacer)||binding AS seq, count(*) AS n FROM v_spacer_sets GROUP BY 1,2"""),
     "sink_fasta_sets": duck_with(["v_spacer_sets"], """
 SELECT locus, dir, set_no, k, '>'||CASE dir WHEN 'F' THEN 'Forward' ELSE 'Reverse' END||' #'||(set_no*4+1+k)||chr(10)||adapter||lower(spacer)||binding AS text,
   adapter||spacer||binding AS plain FROM v_spacer_sets"""),
