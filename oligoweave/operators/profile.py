@@ -108,13 +108,37 @@ def sliding_profile(profiles: DataFrame, value: str, width: int) -> DataFrame:
     )
 
 
-def consensus_string(profiles: DataFrame) -> DataFrame:
-    """The consensus as one string per alignment (its size is the alignment width)."""
+#: Columns of a consensus chunk.
+CHUNK_COLUMNS = 4096
+
+
+def consensus_chunks(profiles: DataFrame, size: int = CHUNK_COLUMNS) -> DataFrame:
+    """The consensus in rows of ``size`` columns: aln_id, chunk, bases. However wide an alignment, no row is wider."""
+    chunk = F.floor(F.col("pos") / size).alias("chunk")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "cons_base")))
-    return profiles.groupBy("aln_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["cons_base"]), "").alias("consensus"),
-        F.avg("conservation").alias("mean_conservation"),
-    )
+    return profiles.groupBy("aln_id", chunk).agg(F.array_join(F.transform(ordered, lambda x: x["cons_base"]), "").alias("bases"))
+
+
+def consensus_string(profiles: DataFrame, size: int = CHUNK_COLUMNS) -> DataFrame:
+    """The consensus as one string per alignment, put together from its chunks; wide alignments are better left in chunks."""
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "bases")))
+    whole = consensus_chunks(profiles, size).groupBy("aln_id").agg(F.array_join(F.transform(ordered, lambda x: x["bases"]), "").alias("consensus"))
+    means = profiles.groupBy("aln_id").agg(F.avg("conservation").alias("mean_conservation"))
+    return whole.join(means, "aln_id")
+
+
+def consensus_spans(spans: DataFrame, chunks: DataFrame, size: int = CHUNK_COLUMNS) -> DataFrame:
+    """Bases of spans(aln_id, start, len): aln_id, start, len, bases; each distinct span once, cut off where the alignment ends.
+
+    A span meets the chunks that it lies in, one or two unless it is longer than a chunk.
+    """
+    keys = ["aln_id", "start", "len"]
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("len") - 1) / size)
+    placed = spans.select(*keys).distinct().where("start >= 0 and len > 0").withColumn("chunk", F.explode(F.sequence(first, last)))
+    from_, to = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(0)), F.least(F.col("start") + F.col("len") - F.col("chunk") * size, F.lit(size))
+    piece = F.substring(F.col("bases"), (from_ + 1).cast("int"), (to - from_).cast("int"))
+    pieces = placed.join(chunks, ["aln_id", "chunk"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("piece")))).alias("pieces"))
+    return pieces.select(*keys, F.array_join(F.col("pieces.piece"), "").alias("bases"))
 
 
 def _spans(regions: DataFrame, last: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from oligoweave.operators import quality as Q
 from oligoweave.plans import views as V
 from oligoweave.plans.catalog_profile import pairs
 from oligoweave.plans.views import duck_with
+from oligoweave.session import cut_lineage
 from oligoweave.sources import text_fields as T
 
 CODES = "".join(C.IUPAC_OPTIONS)
@@ -64,11 +65,18 @@ def adapter_panels(spark, sf_dir):
 
 
 def consensus_pairs(spark, sf_dir):
-    cons = P.consensus_string(P.profile(V.alignments(spark, sf_dir))).select("aln_id", "consensus")
-    return pairs(spark, sf_dir).join(cons, "aln_id").select(
-        "pair_id",
-        S.binding_forward("consensus", "f_5p", "f_len").alias("f_seq"),
-        S.binding_reverse("consensus", "r_5p", "r_len").alias("r_seq"),
+    """Bindings of every pair, cut from consensus chunks (narrow ones here, so that many bindings lie in two)."""
+    size = 16
+    chunks = cut_lineage(P.consensus_chunks(P.profile(V.alignments(spark, sf_dir)), size))
+    own = pairs(spark, sf_dir).withColumn("r_start", F.col("r_5p") - F.col("r_len") + 1)
+    sides = own.select("aln_id", F.col("f_5p").alias("start"), F.col("f_len").alias("len")).unionByName(
+        own.select("aln_id", F.col("r_start").alias("start"), F.col("r_len").alias("len"))
+    )
+    spans = cut_lineage(P.consensus_spans(sides, chunks, size))
+    f, r = (spans.select("aln_id", F.col("start").alias(start), F.col("len").alias(n), F.col("bases").alias(bases)) for start, n, bases in (
+        ("f_5p", "f_len", "f_bases"), ("r_start", "r_len", "r_bases")))
+    return own.join(f, ["aln_id", "f_5p", "f_len"], "left").join(r, ["aln_id", "r_start", "r_len"], "left").select(
+        "pair_id", F.col("f_bases").alias("f_seq"), S.reverse_complement("r_bases").alias("r_seq")
     )
 
 
