@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oligoweave.llm.common import rows_of, text_or_empty
-from oligoweave.llm.spans import sha256_of, with_added, written, written_column
+from oligoweave.llm.spans import Covered, sha256_of, with_added, written, written_column
 from oligoweave.session import cut_lineage
 
 ROUNDS = 3
@@ -93,12 +93,12 @@ def loose_values(text: str, base: list[tuple]) -> list[tuple[int, str, int, int]
     """Values with digits outside the base spans."""
     if not DIGIT.search(text):
         return []
-    out, covered = [], sorted((x[2], x[3]) for x in base)
+    out, covered = [], Covered([(x[2], x[3]) for x in base])
     for m in LOOSE.finditer(text):
         value = m[0].rstrip("._/-")
         start = m.start() + len(value) - len(value.lstrip("._/-"))
         end = m.start() + len(value)
-        if len(DIGIT.findall(value)) >= LEAST_DIGITS and not any(x < end and start < y for x, y in covered):
+        if len(DIGIT.findall(value)) >= LEAST_DIGITS and not covered.meets(start, end):
             out.append((4, "id", start, end))
     return out
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oligoweave.llm.common import free_names, rows_of, text_or_empty
-from oligoweave.llm.spans import sha256_of, with_added, written, written_column
+from oligoweave.llm.spans import Covered, sha256_of, with_added, written, written_column
 from oligoweave.session import cut_lineage
 
 #: More owners than this make a value an example.
@@ -73,12 +73,12 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, int, int]]:
 
 def loose_tokens(text: str, base: list[tuple]) -> list[tuple[int, str, int, int, int, int]]:
     """Runs of key characters outside the base spans, with small and capital letters and digits."""
-    out, covered = [], sorted((x[2], x[3]) for x in base)
+    out, covered = [], Covered([(x[2], x[3]) for x in base])
     for m in LOOSE.finditer(text):
         a, b = m.span()
         value = m[0]
         mixed = any(c.isdigit() for c in value) and any("a" <= c <= "z" for c in value) and any("A" <= c <= "Z" for c in value)
-        if mixed and not any(x < b and a < y for x, y in covered):
+        if mixed and not covered.meets(a, b):
             out.append((3, "token", a, b, a, b))
     return out
 

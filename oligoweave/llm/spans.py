@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,19 @@ def written(spans: list[tuple[int, str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for _, kind, start, end in spans)
 
 
+class Covered:
+    """Places that spans take up; asking whether a span meets one takes a search, however many there are."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self._starts = [a for a, _ in spans]
+        self._reach = list(accumulate((b for _, b in spans), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self._starts, end)
+        return before > 0 and self._reach[before - 1] > start
+
+
 def sha256_of(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from oligoweave.llm import personal, secrets
+from oligoweave.llm.spans import Covered
 
 RNG = random.Random(4)
 
@@ -62,6 +64,27 @@ def test_personal_spans_equal_plain_patterns():
     assert ("card", 2, 2 + len(card)) in [x[1:] for x in personal.base_spans(f"x {card} y")]
 
 
+def test_places_taken_up_like_one_by_one():
+    rng = random.Random(4)
+    for _ in range(200):
+        taken = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(8)))]
+        covered = Covered(taken)
+        for a in range(62):
+            for b in range(a + 1, a + 6):
+                assert covered.meets(a, b) == any(x < b and a < y for x, y in taken)
+
+
+def test_many_values_in_one_text():
+    """Time grows with the values, not with their square."""
+    text = "password=aB3xY9kLmN2pQ7rS token: Zk8mQ2wE5rT9yU1iO4pA x +49 30 1234567 id 4711-0815-99 " * 20_000
+    start = time.time()
+    base = secrets.base_spans(text)
+    secrets.loose_tokens(text, base)
+    mine = personal.base_spans(text)
+    personal.loose_values(text, mine)
+    assert len(base) >= 20_000 and len(mine) >= 20_000 and time.time() - start < 20
+
+
 def test_long_texts_stay_quick():
     for text in ["a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" * 150_000, "token=" * 50_000, "0" * 300_000]:
         personal.base_spans(text)
