@@ -245,6 +245,28 @@ PAIR_ENERGY_CRITERIA = {"heterodimer": C.HETERODIMER_WEIGHT}
 ENERGY_CRITERIA = {"hairpin": C.HAIRPIN_WEIGHT, "homodimer": C.HOMODIMER_WEIGHT}
 
 
+#: Sets of a locus in a tile.
+SET_TILE = 16
+
+
+def tile_pairs(left: DataFrame, right: DataFrame, keys: list[str], size: int = SET_TILE) -> DataFrame:
+    """Every row of `left` with every row of `right` of equal keys, told apart by ``set_no``: structs ``f`` and ``r``.
+
+    Rows are packed in tiles of ``size`` sets. A forward tile travels once for each reverse
+    tile and meets it in an equi-join, so the sets of one locus are spread over all tasks.
+    """
+
+    def tiles(rows: DataFrame, name: str) -> DataFrame:
+        packed = F.collect_list(F.struct(*(x for x in rows.columns if x not in keys))).alias(name)
+        return rows.groupBy(*keys, F.floor(F.col("set_no") / size).cast("int").alias("tile")).agg(packed)
+
+    reverse = tiles(right, "rs")
+    numbers = right.select(*keys, F.floor(F.col("set_no") / size).cast("int").alias("tile")).distinct()
+    forward = tiles(left, "fs").withColumnRenamed("tile", "f_tile").join(numbers, keys)
+    met = forward.join(reverse, [*keys, "tile"])
+    return met.select(*keys, F.explode("fs").alias("f"), "rs").select(*keys, "f", F.explode("rs").alias("r"))
+
+
 def complete_primers(sets: DataFrame) -> DataFrame:
     """Adds the assembled primer, its part lengths and its encoded form."""
     primer = S.assemble_primer("adapter", "index_seq", "spacer", "binding")
@@ -296,19 +318,18 @@ def pair_dimer_scores(primers: DataFrame, keys: list[str], by_energy: bool = Fal
     """
     coded = primers.withColumn("e", S.encode_energy("primer") if by_energy else S.encode_overlap("primer"))
 
-    def side(direction: str, p: str) -> DataFrame:
-        return coded.where(F.col("dir") == direction).select(
-            *keys, F.col("set_no").alias(f"{p}_set"), F.col("k").alias(f"{p}_k"), F.col("e").alias(f"{p}_e"),
-            F.col("five_p_len").alias(f"{p}_five"), F.col("three_p_len").alias(f"{p}_three"),
-        )
+    def side(direction: str) -> DataFrame:
+        return coded.where(F.col("dir") == direction).select(*keys, "set_no", "k", "e", "five_p_len", "three_p_len")
 
-    pairs = side("F", "f").join(side("R", "r"), keys)
+    pairs = tile_pairs(side("F"), side("R"), keys).select(
+        *keys, *(F.col(f"{p}.{x}").alias(f"{p}_{y}") for p in "fr" for x, y in (("set_no", "set"), ("k", "k"))), "f", "r"
+    )
     found = [*keys, "f_set", "f_k", "r_set", "r_k"]
     if by_energy:
-        return _criteria_rows(pairs, found, {"heterodimer": S.energy_as_int(S.dimer_energy_encoded("f_e", "r_e"))}, PAIR_ENERGY_CRITERIA)
+        return _criteria_rows(pairs, found, {"heterodimer": S.energy_as_int(S.dimer_energy_encoded("f.e", "r.e"))}, PAIR_ENERGY_CRITERIA)
     scored = pairs.withColumn(
         "o",
-        S.overlap_scores("f_e", "r_e", F.least("f_five", "r_five"), F.least("f_three", "r_three")),
+        S.overlap_scores("f.e", "r.e", F.least("f.five_p_len", "r.five_p_len"), F.least("f.three_p_len", "r.three_p_len")),
     )
     return _criteria_rows(scored, found, {"run": F.col("o.run"), "total": F.col("o.total")}, OVERLAP_CRITERIA)
 
@@ -532,26 +553,21 @@ def simultaneous_filter(sets: DataFrame, keys: list[str], percent: float) -> Dat
 def cross_set_complementarity(primers: DataFrame, keys: list[str]) -> DataFrame:
     """Per forward and reverse set: most complementary bases of any spacer of one in any
     primer of the other."""
-    sides = {}
-    for direction, p in (("F", "f"), ("R", "r")):
-        grouped = primers.where(F.col("dir") == direction).groupBy(*keys, "set_no").agg(
-            F.collect_list("spacer").alias("spacers"), F.collect_list("primer").alias("primers")
-        )
-        sides[p] = grouped.select(
-            *keys, F.col("set_no").alias(f"{p}_set"),
-            F.transform("spacers", S.encode_overlap).alias(f"{p}_sp"),
-            F.transform("primers", S.encode_overlap).alias(f"{p}_pr"),
-        )
-    pairs = sides["f"].join(sides["r"], keys)
+    grouped = primers.groupBy(*keys, "dir", "set_no").agg(F.collect_list("spacer").alias("spacers"), F.collect_list("primer").alias("primers"))
+    coded = grouped.select(
+        *keys, "dir", "set_no", F.transform("spacers", S.encode_overlap).alias("sp"), F.transform("primers", S.encode_overlap).alias("pr")
+    )
+    sides = [coded.where(F.col("dir") == d).drop("dir") for d in "FR"]
+    pairs = tile_pairs(*sides, keys)
 
     def crossed(a: str, b: str) -> Column:
         return F.flatten(
             F.transform(a, lambda x: F.transform(F.col(b), lambda y: F.struct(x.alias("a"), y.alias("b"))))
         )
 
-    both = F.concat(crossed("f_sp", "r_pr"), crossed("r_sp", "f_pr"))
+    both = F.concat(crossed("f.sp", "r.pr"), crossed("r.sp", "f.pr"))
     score = F.array_max(F.transform(both, lambda p: S.contained_scores(p["a"], p["b"])["total"]))
-    return pairs.select(*keys, "f_set", "r_set", score.alias("score"))
+    return pairs.select(*keys, F.col("f.set_no").alias("f_set"), F.col("r.set_no").alias("r_set"), score.alias("score"))
 
 
 def sampling_budget(runs: DataFrame, rigour: str = "rigour") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oligoweave.functions import sequence as S
 from oligoweave.operators import multiplex as M
 from oligoweave.operators import profile as P
+from oligoweave.operators import spacers as H
 
 
 def test_spans_from_chunks_equal_slices(spark):
@@ -44,3 +45,13 @@ def test_a_tile_travels_once_for_each_it_meets(spark):
     oligos = spark.range(2000).select(F.lit(1).alias("panel_id"), F.col("id").cast("int").alias("idx"), F.lit("ACGTACGT").alias("primer"))
     tiles = M.tiled(oligos, ["panel_id"], F.col("primer"), 256)
     assert tiles.count() == 8 and tiles.agg(F.max(F.size("members"))).first()[0] == 256
+
+
+def test_tiles_of_sets_meet_all_partners(spark):
+    rows = [(locus, s, k) for locus, n in ((1, 5), (2, 1), (3, 9)) for s in range(n) for k in range(2)]
+    sets = spark.createDataFrame(rows, "locus int, set_no int, k int")
+    fewer = sets.where("locus < 3 or set_no % 4 = 1")
+    want = {(x[0], *x[1:], *y[1:]) for x in rows for y in map(tuple, fewer.collect()) if x[0] == y[0]}
+    for size in (1, 4, 16):
+        got = H.tile_pairs(sets, fewer, ["locus"], size).select("locus", "f.set_no", "f.k", F.col("r.set_no").alias("s2"), F.col("r.k").alias("k2")).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
