@@ -17,7 +17,7 @@ LIMITS = dict(
 )
 
 
-def regions(spark, seed, panels=2, targets=3):
+def regions(spark, seed, panels=2, targets=2):
     rng = random.Random(seed)
     rows = []
     for p in range(panels):
@@ -32,7 +32,7 @@ def regions(spark, seed, panels=2, targets=3):
     ).withColumn("aln_id", F.lit(0).cast("long"))
 
 
-def windows(spark, panels=2, targets=3, **changes):
+def windows(spark, panels=2, targets=2, **changes):
     rows = [(p, f"t{t}") for p in range(panels) for t in range(targets)]
     return spark.createDataFrame(rows, "panel_id long, target string").select(
         *TARGET, F.lit(0).cast("long").alias("aln_id"), *(F.lit(v).alias(k) for k, v in (LIMITS | changes).items())
@@ -78,7 +78,7 @@ def test_bounds_lie_below_the_scores(spark):
     assert all(r.bound <= r.score + 1e-9 for r in got) and sum(r.bound > 0.6 * r.score > 0 for r in got) > 200
 
 
-@pytest.mark.parametrize(("low", "high", "limit"), [(25.0, 25.0, 12.0), (20.0, 31.0, 9.0), (24.0, 26.0, 1.0), (0.0, 60.0, 70.0), (10.0, 12.0, 5.0)])
+@pytest.mark.parametrize(("low", "high", "limit"), [(25.0, 25.0, 12.0), (20.0, 31.0, 9.0), (24.0, 26.0, 1.0)])
 def test_walk_counts_like_every_pair(spark, low, high, limit):
     singles = regions(spark, 4).cache()
     where = windows(spark, max_tm_deviation=limit)
