@@ -103,10 +103,29 @@ def loose_values(text: str, base: list[tuple]) -> list[tuple[int, str, int, int]
     return out
 
 
+def words_before(text: str, start: int, n: int) -> list[str]:
+    """The last n words before a place, whole ones however long they are."""
+    size = 80
+    while True:
+        words = WORD.findall(text[max(0, start - size) : start].lower())
+        if len(words) > n or size >= start:
+            return words[-n:]
+        size *= 4
+
+
+def words_after(text: str, end: int, n: int) -> list[str]:
+    """The first n words after a place, whole ones however long they are."""
+    size = 40
+    while True:
+        words = WORD.findall(text[end : end + size].lower())
+        if len(words) > n or end + size >= len(text):
+            return words[:n]
+        size *= 4
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a place: the two words before it, the word before and the word after."""
-    before = WORD.findall(text[max(0, start - 80) : start].lower())[-2:]
-    after = WORD.findall(text[end : end + 40].lower())[:1]
+    before, after = words_before(text, start, 2), words_after(text, end, 1)
     out = []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
@@ -175,7 +194,7 @@ def bootstrap(
 
 
 def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Per row of `df`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id.
+    """Per row of `df`: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans (of all kinds).
 
     `spans` holds the base spans and the discovered ones, by kind and start. Null text counts
     as empty; repeated rows give equal rows; null ids stay null. What was found is a written
@@ -194,5 +213,6 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = with_added(found.drop("occurrences"), added, ["nth", "start"])
     n_id = F.size(F.filter("spans", lambda s: s["kind"] == "id")).cast("long").alias("n_id")
     return full.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", written_column(F.col("spans")).alias("spans"), n_id
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", written_column(F.col("spans")).alias("spans"), n_id,
+        F.size("spans").cast("long").alias("n_spans"),
     )

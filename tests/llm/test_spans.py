@@ -74,6 +74,13 @@ def test_places_taken_up_like_one_by_one():
                 assert covered.meets(a, b) == any(x < b and a < y for x, y in taken)
 
 
+def test_context_words_are_whole():
+    text = "a " + "b" * 300 + " name " + "c" * 200 + " 4711 " + "d" * 500 + " e"
+    at = text.index("4711")
+    assert personal.contexts(text, at, at + 4) == ["name " + "c" * 200 + " _", "c" * 200 + " _ " + "d" * 500]
+    assert personal.contexts("4711", 0, 4) == [] and personal.words_before("x y", 3, 5) == ["x", "y"]
+
+
 def test_many_values_in_one_text():
     """Time grows with the values, not with their square."""
     text = "password=aB3xY9kLmN2pQ7rS token: Zk8mQ2wE5rT9yU1iO4pA x +49 30 1234567 id 4711-0815-99 " * 20_000
