@@ -24,8 +24,10 @@ def fasta_pool_text(pool: DataFrame) -> DataFrame:
 
 
 def sink_fasta_pool(pool: DataFrame, path: str) -> None:
-    """One folder per panel."""
-    fasta_pool_text(pool).select("panel_id", "text").write.partitionBy("panel_id").text(path)
+    """One folder per panel, written by one task; the panels are spread over all tasks."""
+    fasta_pool_text(pool).select("panel_id", "text").repartition(
+        int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), "panel_id"
+    ).write.partitionBy("panel_id").text(path)
 
 
 def fasta_set_text(sets: DataFrame, fasta: bool = True) -> DataFrame:
