@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from oligoweave.functions import constants as C
 from oligoweave.functions import sequence as S
 from oligoweave.operators import spacers as H
+from oligoweave.plans import four_copy as FC
 from oligoweave.plans import views as V
 from oligoweave.sources import sinks as K
 
@@ -77,3 +78,14 @@ def test_a_pool_is_written_by_one_task_per_panel(spark, tmp_path):
     K.sink_fasta_pool(pool, path)
     for panel in range(5):
         assert len(list((tmp_path / "pool" / f"panel_id={panel}").glob("part-*"))) == 1
+
+
+def test_sets_of_designs_are_scored_by_many_tasks(spark):
+    """A design each in one row of one block: the scores of its sets are worked out over all tasks."""
+    primers = spark.createDataFrame(
+        [(str(i), d, 0, k, "ACGTACGTAC" + "ACGT"[k] * k + "TTGCATGCAT", 10, 10) for i in range(8) for d in "FR" for k in range(4)],
+        "design string, dir string, set_no int, k int, primer string, five_p_len int, three_p_len int",
+    ).coalesce(1)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    plan = FC.scored_alone(primers)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {tasks}, true" in plan or f"RepartitionByExpression {tasks}" in plan
