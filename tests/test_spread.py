@@ -89,3 +89,9 @@ def test_sets_of_designs_are_scored_by_many_tasks(spark):
     tasks = spark.conf.get("spark.sql.shuffle.partitions")
     plan = FC.scored_alone(primers)._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {tasks}, true" in plan or f"RepartitionByExpression {tasks}" in plan
+
+
+def test_fillings_draw_for_vacant_copies_only(spark, tables):
+    best = H.best_combo(H.spacer_length_combos(V.bindings(spark, tables), 8, 8, 1))
+    plan = H.random_spacer_sets(best, 2, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(transform(filter(" in plan
