@@ -8,7 +8,7 @@ the prefix, so a combo costs a few additions per sequence.
 
 Columns are no more than the shortest sequence has bases, so only spacers leave them vacant.
 
-The search raises the total by bands; panels that have a combo go no further. Compositions
+The least combo of a panel is searched with bounds (``least_spacers``). Compositions
 of a total are numbered by counting what comes before them, so any of them can be made from
 its number and drawn with equal chance without listing the others.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from oligoweave.functions import constants as C
 from oligoweave.functions import sequence as S
 from oligoweave.operators import multiplex as M
-from oligoweave.session import cut_lineage
+from oligoweave.operators.least_spacers import Search
+from oligoweave.session import cut_lineage, spread
 
 
 def _shift(value: Column, fields: Column, bits: int) -> Column:
@@ -223,47 +224,70 @@ def first_combo(found: DataFrame, *leading: Column) -> DataFrame:
     return found.groupBy("panel_id").agg(best).select("panel_id", F.col("b.combo").alias("combo"), F.col("b.total").alias("total"))
 
 
-def _raised(panels: DataFrame, bands: list, search: Callable[[DataFrame, tuple], DataFrame]) -> DataFrame:
-    """``search(panels, band)`` band after band; panels that it finds something for go no further."""
-    found = None
-    for band in bands:
-        left = panels if found is None else panels.join(found.select("panel_id"), "panel_id", "left_anti")
-        if found is not None and left.isEmpty():
-            break
-        best = cut_lineage(first_combo(search(left, band)))
-        found = best if found is None else found.union(best)
-    return found
-
-
-def total_bands(most: int) -> list[tuple[int, int]]:
-    """(above, up to) in rising steps: few bands, each with several times the combos of the one before."""
-    bands, above = [], -1
-    while above < most:
-        to = min(most, above + max(3, above // 2))
-        bands.append((above, to))
-        above = to
-    return bands
+def _beams(n: int, width: int, limit: int, longest: bool):
+    """Adds ``most`` to panels(panel_id, seqs): the key of a good even combo, which no least one is above."""
+    columns = Columns(n, width)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            search = Search(batch.column("seqs").to_pylist(), n, width, limit, columns.bits, columns.per, longest)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(search.beam())], ["panel_id", "seqs", "most"])
 
-def smallest_total(panels: DataFrame, width: int, limit: int) -> DataFrame:
-    """panel_id, combo, total: the even combo of the smallest total of each panel that has one, at its own size."""
+    return run
 
-    def of_size(sized: DataFrame, n: int) -> DataFrame:
-        return _raised(sized, total_bands(n * limit), lambda left, band: even_combos(left, n, width, limit, band[1], band[0]))
 
-    return M.by_panel_size(panels, of_size)
+def _least(n: int, width: int, limit: int, longest: bool):
+    """The least even combo of every panel of a batch of rows(panel_id, seqs, most, combo) that begins with one of their combos."""
+    columns = Columns(n, width)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, first, panel = {}, [], []
+            for i, key in enumerate(zip(batch.column("panel_id").to_pylist(), map(tuple, batch.column("seqs").to_pylist()), strict=True)):
+                if key not in numbers:
+                    numbers[key] = len(first)
+                    first.append(i)
+                panel.append(numbers[key])
+            search = Search([list(seqs) for _, seqs in numbers], n, width, limit, columns.bits, columns.per, longest)
+            combos = np.array(batch.column("combo").to_pylist(), np.int64).reshape(batch.num_rows, -1)
+            most = batch.column("most").to_numpy()[first]
+            found = list(search.least(np.array(panel, np.int64), combos, most))
+            ids = batch.column("panel_id").take(pa.array([first[p] for p, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([combo.tolist() for _, combo in found], pa.list_(pa.int32()))], ["panel_id", "combo"])
+
+    return run
+
+
+def least_combos(sized: DataFrame, n: int, width: int, limit: int, longest: bool = False) -> DataFrame:
+    """panel_id, combo, total: the even combo of the smallest total (``longest``: of the shortest longest spacer, then of the
+    smallest total), then of the least reversed digits, for panels(panel_id, seqs) of n sequences that have one.
+
+    A good combo of each panel is found first, as a bound. Then the search is exact, one row per
+    pair of first spacers, so the search of one panel is many tasks.
+    """
+    tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    kind = sized.schema["panel_id"].dataType.simpleString()
+    spacer = F.sequence(F.lit(0), F.lit(limit))
+    rows = spread(sized.select("panel_id", "seqs")).mapInArrow(_beams(n, width, limit, longest), f"panel_id {kind}, seqs array<string>, most bigint")
+    if n > 3:
+        rows = rows.select("*", F.explode(spacer).alias("one")).select("*", F.explode(spacer).alias("two"))
+        rows = rows.select("panel_id", "seqs", "most", F.array("one", "two").alias("combo")).repartition(tasks, "panel_id", "combo")
+    else:
+        rows = rows.withColumn("combo", F.array().cast("array<int>"))
+    found = rows.mapInArrow(_least(n, width, limit, longest), f"panel_id {kind}, combo array<int>")
+    total = F.aggregate("combo", F.lit(0), lambda a, x: a + x)
+    return first_combo(found.withColumn("total", total), *([F.array_max("combo")] if longest else []))
 
-def smallest_longest(panels: DataFrame, width: int, limit: int) -> DataFrame:
-    """panel_id, combo, total, longest: the even combo whose longest spacer is shortest, then of smallest total.
 
-    The limit of all spacers rises from none; panels go on until they have a combo.
-    """
+def smallest_total(panels: DataFrame, width: int, limit: int) -> DataFrame:
+    """panel_id, combo, total: the even combo of the smallest total of each panel that has one, at its own size."""
+    return M.by_panel_size(panels, lambda sized, n: least_combos(sized, n, width, limit))
 
-    def of_size(sized: DataFrame, n: int) -> DataFrame:
-        return _raised(sized, list(range(limit + 1)), lambda left, longest: even_combos(left, n, width, longest))
 
-    return M.by_panel_size(panels, of_size).withColumn("longest", F.array_max("combo"))
+def smallest_longest(panels: DataFrame, width: int, limit: int) -> DataFrame:
+    """panel_id, combo, total, longest: the even combo whose longest spacer is shortest, then of smallest total."""
+    found = M.by_panel_size(panels, lambda sized, n: least_combos(sized, n, width, limit, longest=True))
+    return found.withColumn("longest", F.array_max("combo"))
 
 
 # --- compositions by number ------------------------------------------------------------

@@ -4,10 +4,12 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from oligoweave.operators import balance as B
+from oligoweave.operators import least_spacers as L
 from oligoweave.operators import ranking as W
 
 
@@ -51,6 +53,32 @@ def test_even_combos_equal_brute_force(spark, width, limit, sizes):
             assert counted[panel] == len(good)
 
 
+@pytest.mark.parametrize("longest", [False, True])
+def test_bounds_lose_no_least_combo(longest):
+    """Searched from pairs of first spacers, with bounds of a beam, as the queries do."""
+    seqs = [q for _, q in panel_rows(random.Random(7), [5] * 6, 6)]
+    columns = B.Columns(5, 6)
+    search = L.Search(seqs, 5, 6, 6, columns.bits, columns.per, longest)
+    pieces = [(p, a, b) for p in range(6) for a in range(7) for b in range(7)]
+    found = {p: tuple(c.tolist()) for p, c in search.least(np.array([x[0] for x in pieces]), np.array([x[1:] for x in pieces]), search.beam())}
+    for p, panel in enumerate(seqs):
+        good = [c for c in itertools.product(range(7), repeat=5) if even(panel, c, 6)]
+        assert found[p] == min(good, key=lambda c: (max(c) if longest else 0, sum(c), c[::-1]))
+
+
+@pytest.mark.parametrize("longest", [False, True])
+def test_wide_panels_are_searched_by_bounds(longest, monkeypatch):
+    """Nine sequences, twelve columns: tens of thousands of prefixes, not tens of millions, and blocks of bounded size."""
+    seqs = [q for _, q in panel_rows(random.Random(3), [9] * 4, 12)]
+    grown, sizes = L.Search.grown, []
+    monkeypatch.setattr(L.Search, "grown", lambda self, rows, most: (sizes.append(len(rows)), grown(self, rows, most))[1])
+    columns = B.Columns(9, 12)
+    search = L.Search(seqs, 9, 12, 12, columns.bits, columns.per, longest)
+    found = dict(search.least(np.arange(4), np.zeros((4, 0), np.int64), search.beam()))
+    assert len(found) == 4 and all(even(seqs[p], c.tolist(), 12) for p, c in found.items())
+    assert sum(sizes) < 4 * 200_000 and max(sizes) <= L.BLOCK
+
+
 def test_long_spacers_in_wide_panels(spark):
     """Shifts by more columns than one number holds."""
     seqs = ["A" * 40, "T" * 40, "C" * 40, "G" * 40]
