@@ -102,22 +102,20 @@ class Columns:
         return reduce(Column.__and__, good)
 
 
-def even_combos(sized: DataFrame, n: int, width: int, limit: int, most: int | None = None, above: int = -1) -> DataFrame:
+def even_combos(sized: DataFrame, n: int, width: int, limit: int) -> DataFrame:
     """All combos of 0..limit that make all columns even, for panels(panel_id, seqs) of n sequences.
 
-    Only totals over ``above`` and up to ``most``. A prefix is left as soon as a column cannot
+    A prefix is left as soon as a column cannot
     become even. After the second sequence rows are spread anew, so the search of one panel
     is many tasks. Adds ``combo`` and ``total``.
     """
-    most = n * limit if most is None else most
     tasks = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
     columns = Columns(n, width)
     zero = F.lit(0).cast("bigint")
     rows = sized.select("panel_id", columns.masks(F.col("seqs")).alias("masks"), F.array().cast("array<int>").alias("combo"), F.lit(0).alias("total"))
     rows = rows.select("*", *(zero.alias(name) for name in columns.names))
     for k in range(n):
-        last = F.least(F.lit(limit), F.lit(most) - F.col("total"))
-        grown = rows.withColumn("s", F.explode(F.sequence(F.lit(0), last))).where(F.col("total") + F.col("s") + (n - 1 - k) * limit > above)
+        grown = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(limit))))
         counts = [F.col(name) + added for name, added in zip(columns.names, columns.shifted(F.col("masks"), k, F.col("s")), strict=True)]
         rows = grown.select(
             "panel_id", "masks", F.concat("combo", F.array("s")).alias("combo"), (F.col("total") + F.col("s")).alias("total"),
