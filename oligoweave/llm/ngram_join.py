@@ -11,15 +11,19 @@ Three steps, each exact:
    first. Two similar sets share a shingle of their prefixes. Each set is compared with
    the set it meets most often there, and what links is one component from then on.
 3. Prefix trees. Only sets of different components that share a prefix shingle are left,
-   and of these only such as have enough shingles of other components. For each two
-   components that meet, these sets are kept as a trie of ordered shingles and traversed:
-   overlaps of a common path are counted once, and a subtree is left as soon as too few
-   shingles remain. The first link found joins the two components, so copies are never
-   expanded into pairs.
+   and of these only such as have enough shingles of other components. The smaller of two
+   similar sets has more in common with the larger than its own size alone tells the other
+   way, so its prefix is shorter; sets meet on a shingle and a class of sizes where one of
+   them has it in this shorter prefix. What meets, directly or by way of others, is a piece.
+   The sets of a piece, or of a shingle and class if the piece is large, are kept as a trie
+   of ordered shingles and traversed: overlaps of a common path are counted once, and a
+   subtree is left as soon as too few shingles remain. The first link found joins two
+   components, so copies are never expanded into pairs, nor are components.
 
 Sets are compared by 64-bit hashes of their shingles.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +42,10 @@ NUMERATOR, DENOMINATOR = 3, 4
 EXTRA = 3
 #: Times that sets without a possible link to another component are put aside.
 REFINED = 2
-#: Sets of a component that one task takes at a time.
+#: Sets that a trie has from one part of a group at most; larger groups are dealt into parts, and each two of these meet.
 SIDE = 512
+#: Parts of a piece at most; what is larger is taken by shingle and class of sizes.
+PARTS = 16
 
 
 def least_overlap(n):
@@ -217,19 +223,19 @@ def trie_links(sets: list[tuple[int, np.ndarray, int, int]], apart: bool = False
 
 
 def _tree_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of groups (c1, c2, p0, p1; set_id, n, component, tokens), sorted by group: links between their components."""
+    """Rows of blocks (unit, class, p0, p1; part, set_id, n, component, tokens), sorted by block: links between their components."""
     key, ids, sets = None, [], []
     links: tuple[list, list] = ([], [])
 
     def close() -> None:
-        for i, j in trie_links(sets):
+        for i, j in trie_links(sets, apart=key[2] != key[3]):
             links[0].append(ids[i])
             links[1].append(ids[j])
 
     for batch in batches:
         keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-        set_id, n, component = (batch.column(i).to_pylist() for i in range(4, 7))
-        tokens = batch.column(7)
+        part, set_id, n, component = (batch.column(i).to_pylist() for i in range(4, 8))
+        tokens = batch.column(8)
         values, offsets = tokens.flatten().to_numpy(), (tokens.offsets.to_numpy() - tokens.offsets[0].as_py()).tolist()
         for row, own in enumerate(keys):
             if own != key:
@@ -237,7 +243,7 @@ def _tree_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     close()
                 key, ids, sets = own, [], []
             ids.append(set_id[row])
-            sets.append((n[row], values[offsets[row] : offsets[row + 1]].copy(), component[row], 0))
+            sets.append((n[row], values[offsets[row] : offsets[row + 1]].copy(), component[row], part[row]))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
         links[0].clear()
         links[1].clear()
@@ -246,34 +252,52 @@ def _tree_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
 
-def _across(prefixes: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Links (a, b) that connect components; prefixes: token, set_id, n, component of shingles that several have.
+def _size_class(n: Column) -> Column:
+    """Similar sets are of one class of sizes or of two next to each other."""
+    return F.floor(F.log(n) / math.log(DENOMINATOR / NUMERATOR)).cast("int")
 
-    Two components meet on a shingle if their sizes allow a link; those of their sets that
-    have such a shingle are one trie. Sides of more than SIDE sets are dealt into parts.
+
+def _meeting(prefixes: DataFrame) -> DataFrame:
+    """token, class, set_id, component: where a set may meet a similar one of another component.
+
+    prefixes: token, set_id, n, component, small (whether the shingle is in the shorter
+    prefix that a set has as the smaller of two). A set is in its class, and as the larger
+    of two in that of the sizes it allows. Each class of a shingle has a smaller set, and
+    sets of several components.
+    """
+    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+    each = prefixes.withColumn("own", _size_class(F.col("n"))).select(
+        "token", "set_id", "component", "small", "own", F.explode(F.sequence(_size_class(least), F.col("own"))).alias("class")
+    )
+    live = each.groupBy("token", "class").agg(
+        F.bool_or(F.col("small") & (F.col("class") == F.col("own"))).alias("smaller"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    )
+    return each.join(live.where("smaller and lo <> hi").select("token", "class"), ["token", "class"]).select("token", "class", "set_id", "component")
+
+
+def _across(groups: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Links (a, b) that connect components; groups: token, class, set_id, component of sets that may meet.
+
+    The sets that hang together by these groups are a piece, and taken at once if they are
+    PARTS * SIDE at most; else those of each group are. What is taken at once is one trie, or,
+    beyond SIDE sets, one for each two of its parts. No two sets, nor two components, are a row.
     """
-    held = prefixes.groupBy("token", "component").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    one = held.select("token", F.col("component").alias("c1"), F.col("small").alias("small1"), F.col("large").alias("large1"))
-    two = held.select("token", F.col("component").alias("c2"), F.col("small").alias("small2"), F.col("large").alias("large2"))
-    fits = (F.col("c1") < F.col("c2")) & (F.col("large1") * DENOMINATOR >= F.col("small2") * NUMERATOR) & (F.col("large2") * DENOMINATOR >= F.col("small1") * NUMERATOR)
-    meets = cut_lineage(one.join(two, "token").where(fits).select("token", "c1", "c2"))
-    sides = [
-        meets.join(prefixes.select("token", "set_id", F.col("component").alias(c)), ["token", c])
-        .select("c1", "c2", "set_id", F.col(c).alias("component"), F.lit(i).alias("side"))
+    heads = groups.groupBy("token", "class").agg(F.min("set_id").alias("a"))
+    pieces = components(groups.join(heads, ["token", "class"]).select("a", F.col("set_id").alias("b")).distinct())
+    small = pieces.groupBy("component").agg(F.count("*").alias("sets")).where(F.col("sets") <= PARTS * SIDE)
+    placed = pieces.join(small, "component", "left").select(F.col("node").alias("set_id"), F.when(F.col("sets").isNotNull(), F.col("component")).alias("piece"))
+    members = cut_lineage(
+        groups.join(placed, "set_id")
+        .select(F.coalesce("piece", "token").alias("unit"), F.when(F.col("piece").isNull(), F.col("class")).otherwise(-1).alias("class"), "set_id", "component")
         .distinct()
-        for i, c in enumerate(("c1", "c2"))
-    ]
-    members = cut_lineage(sides[0].union(sides[1]))
-    sizes = members.groupBy("c1", "c2").agg(*(F.ceil(F.count_if(F.col("side") == i) / SIDE).cast("int").alias(f"parts{i}") for i in (0, 1)))
-    part = [F.pmod(F.xxhash64("set_id"), F.col(f"parts{i}")).cast("int") for i in (0, 1)]
-    every = [F.sequence(F.lit(0), F.col(f"parts{i}") - 1) for i in (0, 1)]
-    blocks = F.when(F.col("side") == 0, F.transform(every[1], lambda y: F.struct(part[0].alias("p0"), y.alias("p1")))).otherwise(
-        F.transform(every[0], lambda x: F.struct(x.alias("p0"), part[1].alias("p1")))
     )
-    dealt = members.join(sizes, ["c1", "c2"]).select("c1", "c2", "set_id", "component", F.inline(blocks))
+    sizes = members.groupBy("unit", "class").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, "part").alias("p0"), F.greatest(i, "part").alias("p1")))
+    block = ["unit", "class", "p0", "p1"]
+    dealt = members.join(sizes, ["unit", "class"]).withColumn("part", part).select("unit", "class", "part", "set_id", "component", F.inline(others))
     full = dealt.join(ordered.select("set_id", "n", "tokens"), "set_id")
-    group = ["c1", "c2", "p0", "p1"]
-    full = full.select(*group, "set_id", "n", "component", "tokens").repartition(*group).sortWithinPartitions(*group, "set_id")
+    full = full.select(*block, "part", "set_id", "n", "component", "tokens").repartition(*block).sortWithinPartitions(*block, "set_id")
     return full.mapInArrow(_tree_joins, "a long, b long")
 
 
@@ -294,7 +318,8 @@ def _refined(ordered: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFr
     """Sets that can still have a link to another component, ordered anew by how many components have a shingle, and their prefixes.
 
     Only shingles that another component has can be common to a link between components, so
-    a set stays only if enough of its shingles are such.
+    a set stays only if enough of its shingles are such. What a set has in common with a
+    similar one of its size or more is a larger share of it, so `small` marks a shorter prefix.
     """
     members = prefixes.select("set_id", "component").distinct()
     each = ordered.join(members, "set_id").select("set_id", "n", "component", F.explode("tokens").alias("token"))
@@ -306,14 +331,16 @@ def _refined(ordered: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFr
     left = cut_lineage(
         ranked.select("set_id", "n", "component", F.col("ranked.token").alias("tokens"), prefix.cast("int").alias("in_prefix")).where("in_prefix > 0")
     )
-    anew = left.select("set_id", "n", "component", F.explode(F.slice("tokens", F.lit(1), F.col("in_prefix"))).alias("token"))
-    return left.drop("component"), cut_lineage(_mixed(anew))
+    shorter = F.size("tokens") - F.ceil(F.col("n") * 2 * NUMERATOR / (NUMERATOR + DENOMINATOR)) + 1
+    anew = left.select("set_id", "n", "component", shorter.alias("shorter"), F.posexplode(F.slice("tokens", F.lit(1), F.col("in_prefix"))).alias("at", "token"))
+    marked = anew.select("set_id", "n", "component", "token", (F.col("at") < F.col("shorter")).alias("small"))
+    return left.drop("component"), cut_lineage(_mixed(marked))
 
 
 def _one_of_equal(prefixes: DataFrame) -> DataFrame:
-    """Of shingles that the very same sets have, such as those of a common line, one."""
+    """Of shingles that the very same sets have in the same prefixes, such as those of a common line, one."""
     held = prefixes.groupBy("token").agg(
-        F.count("*").alias("sets"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("mark1"), F.bit_xor(F.xxhash64(F.lit(2), "set_id")).alias("mark2")
+        F.count("*").alias("sets"), F.bit_xor(F.xxhash64(F.lit(1), "set_id", "small")).alias("mark1"), F.bit_xor(F.xxhash64(F.lit(2), "set_id", "small")).alias("mark2")
     )
     kept = held.groupBy("sets", "mark1", "mark2").agg(F.min("token").alias("token")).select("token")
     return cut_lineage(prefixes.join(kept, "token", "left_semi"))
@@ -338,9 +365,11 @@ def similar_components(sets: DataFrame) -> DataFrame:
         found = cut_lineage(_stars(prefixes, ordered, order))
         links = found if links is None else links.union(found)
         prefixes = cut_lineage(_mixed(_placed(prefixes, links)))
+    meeting = prefixes
     for _ in range(REFINED):
-        ordered, prefixes = _refined(ordered, prefixes)
-    across = cut_lineage(_across(_one_of_equal(prefixes), ordered))
+        ordered, prefixes = _refined(ordered, meeting)
+        meeting = cut_lineage(_meeting(_one_of_equal(prefixes)))
+    across = cut_lineage(_across(meeting, ordered))
     return components(links.union(across)).select(F.col("node").alias("set_id"), "component")
 
 

@@ -117,6 +117,32 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
     assert got == brute(rows)
 
 
+def test_large_pieces_are_taken_by_shingle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE", 2)
+    monkeypatch.setattr(ngram_join, "PARTS", 1)
+    rows = make(7, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(df).collect()), key=str) == brute(rows)
+
+
+def test_components_on_one_shingle_do_not_meet_in_pairs(spark, monkeypatch):
+    """400 sets with 95 shingles in common are not similar, 40 with 110 and up to 12 of their own are."""
+    made, write = [], ngram_join.cut_lineage
+
+    def counted(df):
+        out = write(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", counted)
+    sets = [(1000 + i, 120, list(range(95))) for i in range(400)] + [(i, 110 + i % 13, list(range(110))) for i in range(40)]
+    prefixes = [(0, i, n, i, 7 * (len(tokens) + 1) > 6 * n) for i, n, tokens in sets]
+    groups = ngram_join._meeting(spark.createDataFrame(prefixes, "token long, set_id long, n long, component long, small boolean"))
+    links = ngram_join._across(groups, spark.createDataFrame(sets, "set_id long, n long, tokens array<long>")).collect()
+    assert len(links) == 39 and {x for link in links for x in (link.a, link.b)} == set(range(40))
+    assert max(made) <= 2 * len(sets)
+
+
 def test_one_of_each(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(4, text), (2, text.upper()), (3, text + " eleven"), (9, "other words"), (9, "other words"), (None, text), (5, None)]
