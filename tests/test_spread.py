@@ -11,6 +11,7 @@ from oligoweave.functions import sequence as S
 from oligoweave.operators import spacers as H
 from oligoweave.plans import four_copy as FC
 from oligoweave.plans import views as V
+from oligoweave.session import cut_lineage
 from oligoweave.sources import sinks as K
 
 
@@ -95,3 +96,41 @@ def test_fillings_draw_for_vacant_copies_only(spark, tables):
     best = H.best_combo(H.spacer_length_combos(V.bindings(spark, tables), 8, 8, 1))
     plan = H.random_spacer_sets(best, 2, "x")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_sort(transform(filter(" in plan
+
+
+def _designs(spark, n: int):
+    rows = [(str(i), -399, "ACGTAC", "GTCATG", "ACGGTTACCAGTGGAT", "TTGACCAGTACGATCA") for i in range(n)]
+    return spark.createDataFrame(rows, "design string, rigour int, f_adapt string, r_adapt string, f_bind string, r_bind string")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_designs_are_not_collected_in_the_driver(spark, monkeypatch):
+    """A written table of few compressed bytes may be large in memory, and there is one row or more for each design."""
+    primers = cut_lineage(spark.createDataFrame(
+        [(str(i), d, j, k, "ACGTACGGTTACCAGTGGATC" + "ACGT"[k] * (k + 1), 6, 16, 3) for i in range(3) for d in "FR" for j in range(4) for k in range(4)],
+        "design string, dir string, set_no int, k int, primer string, five_p_len int, three_p_len int, n_compare bigint",
+    ))
+    scores = cut_lineage(FC.scored_alone(primers))
+    sets = cut_lineage(FC.survivors(primers, scores))
+    monkeypatch.setattr(FC.W, "lowest_by_counts", lambda df, *_: df)  # its sums are sized when they are made
+    plans = [_plan(FC.scored_alone(primers)), _plan(FC.survivors(primers, scores))]
+    assert sets.groupBy("design", "dir").count().where("count <> 3").isEmpty() and sets.count() == 18
+    pairs = FC.raced(sets)
+    assert pairs.select("design").distinct().count() == 3
+    plans.append(_plan(FC._leaving(pairs, cut_lineage(FC._leaving(pairs, None)))))
+    assert not any("Broadcast" in plan for plan in plans)
+
+
+def test_rules_of_designs_are_worked_out_by_shuffles(spark):
+    designs = cut_lineage(_designs(spark, 3))
+    primers = lambda a, b: [a + x + b for x in ("", "A", "CA", "TCA")]
+    found = designs.where("design < 2").select(
+        "design", F.lit(FC.DONE).alias("reason"), F.lit(1).cast("bigint").alias("score"), F.lit(2).cast("bigint").alias("n_drawn"), F.lit(2).cast("bigint").alias("n_compared"),
+        F.array(*map(F.lit, primers("ACGTAC", "ACGGTTACCAGTGGAT"))).alias("f_primers"), F.array(*map(F.lit, primers("GTCATG", "TTGACCAGTACGATCA"))).alias("r_primers"),
+    )
+    rules = FC.design_rules(cut_lineage(found), designs)
+    assert _plan(rules).count("BroadcastHashJoin") <= 4  # of tiles, which are sized when they are made
+    assert sorted((r.design, r.whole) for r in rules.collect())[:2] == [("0", True), ("1", True)]
